@@ -13,7 +13,6 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain, count, groupby, islice
 
 import numpy as np
@@ -49,21 +48,24 @@ def byte_symbols() -> list[str]:
 class MergeTable:
     """A byte-level BPE vocabulary as arrays: pair → rank and merged symbol."""
 
-    def __init__(self, path: str):
+    @classmethod
+    def read(cls, path: str) -> MergeTable:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
+        table = cls()
         vocab = model["model"]["vocab"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
-        self.size = len(vocab)
+        table.size = len(vocab)
         left, right = (np.array([vocab[p[i]] for p in pairs], np.int64) for i in (0, 1))
-        keys = left * self.size + right
+        keys = left * table.size + right
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], order
-        self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        self.byte_ids = np.array([vocab[c] for c in byte_symbols()], np.int64)
-        ids = self.byte_ids
-        self.byte_ranks = self.rank(np.repeat(ids, 256), np.tile(ids, 256)).reshape(256, 256)
-        self.special = sorted((t["content"] for t in model["added_tokens"]), key=len, reverse=True)
+        table.keys, table.ranks = keys[order], order
+        table.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        table.byte_ids = np.array([vocab[c] for c in byte_symbols()], np.int64)
+        ids = table.byte_ids
+        table.byte_ranks = table.rank(np.repeat(ids, 256), np.tile(ids, 256)).reshape(256, 256)
+        table.special = sorted((t["content"] for t in model["added_tokens"]), key=len, reverse=True)
+        return table
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = left * self.size + right
@@ -119,11 +121,6 @@ class MergeTable:
         return out
 
 
-@lru_cache(maxsize=2)
-def _table(path: str) -> MergeTable:
-    return MergeTable(path)
-
-
 class Ids(dict):
     """Numbers its keys as they are first looked up."""
 
@@ -149,8 +146,8 @@ def odd_characters() -> str:
 class Counter:
     """Counts tokens of texts, remembering the pre-tokens it has met."""
 
-    def __init__(self, path: str, pattern: str):
-        self.table = _table(path)
+    def __init__(self, table: MergeTable, pattern: str):
+        self.table = table
         self.cut = regex.compile(pattern).findall
         #: A text without odd characters is cut by the faster engine, to the same pieces.
         self.quick = re.compile(QUICK[pattern]).findall if pattern in QUICK else None
@@ -185,7 +182,7 @@ class Counter:
 def token_counts(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", limit: int = 1024) -> DataFrame:
     """``docs`` with ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit``.
 
-    ``vocabulary`` is the path of a byte-level BPE file that every worker can read,
+    ``vocabulary`` is the path of a byte-level BPE file, which the driver reads,
     ``pattern`` its pre-token pattern. Strings of the vocabulary's special tokens
     inside a text are one token each, as the file's library counts them; none are
     added. One row for each row of ``docs``; columns of the same name as an added one
@@ -196,8 +193,13 @@ def token_counts(docs: DataFrame, vocabulary: str, pattern: str, text: str = "te
     kept = docs.drop(*(c for c in added if c != text))
     rest = [c for c in kept.columns if c != text]
 
+    # The vocabulary's arrays: their size is that of the file, whatever the input.
+    shared = docs.sparkSession.sparkContext.broadcast(vars(MergeTable.read(vocabulary)))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(vocabulary, pattern)
+        merges = MergeTable()
+        vars(merges).update(shared.value)
+        counter = Counter(merges, pattern)
         for batch in batches:
             n = counter(texts(batch.column(len(rest))))
             columns = [batch.column(i) for i in range(len(rest))]
