@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, quality, tokens
+from . import chat, contamination, quality, secrets, tokens
 from .common import table
 
 
@@ -26,6 +26,21 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(docs, secrets.learn(docs))
+
+    def number(kind: str):  # noqa: ANN202
+        return F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *(number(k).alias(f"n_{k}") for k in secrets.KINDS),
+        F.sha2(secrets.joined("secrets", base_only=True), 256).alias("base_sha256"),
+        secrets.joined("secrets", base_only=False).alias("spans"),
+    )
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return contamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(
@@ -56,6 +71,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_secret_scan": op4_secret_scan,
     "op6_decontamination": op6_decontamination,
     "op7_token_counts": op7_token_counts,
     "op9_chat_formatting": op9_chat_formatting,
