@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, mixing, quality, secrets, tokens, toxicity, warc
+from . import chat, contamination, jaccard, mixing, quality, secrets, tokens, toxicity, warc
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(*mixing.mix(docs)).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.find_secrets(docs, secrets.learn(docs))
@@ -91,6 +95,7 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mixing": op2_source_mixing,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_secret_scan": op4_secret_scan,
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
