@@ -341,7 +341,7 @@ def exact(sets: list[np.ndarray], similarity: float) -> np.ndarray:
         m[rows[a:b], columns[a:b] - low] = 1
         both += m @ m.T
     total = sizes[:, None] + sizes[None, :]
-    return (both * (1 + similarity) >= similarity * total - 1e-6) & ~np.eye(n, dtype=bool)
+    return (both.astype(np.float64) * (1 + similarity) >= similarity * total - 1e-6) & ~np.eye(n, dtype=bool)
 
 
 def least_reachable(near: np.ndarray) -> np.ndarray:
