@@ -1,10 +1,73 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality rules, near duplicates, decontamination, secrets, mix.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each
+one's rows to the shared folder and hands what it reads from there to the next.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldloom.llm import contamination, jaccard, mixing, quality, secrets
+from fieldloom.llm.common import stored, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.quality_rules(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the least id.
+
+    Repeated rows of that id are one document. Rows without an id stay.
+    """
+    docs = docs.select(*COLUMNS)
+    classes = jaccard.jaccard_join(docs)
+    first = classes.filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(*COLUMNS)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no, or next to nothing, of the benchmark."""
+    found = contamination.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), keep_text=True)
+    return found.filter(~F.col("contaminated")).select(*COLUMNS)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets cut out of their texts."""
+    docs = docs.select(*COLUMNS)
+    found = secrets.redact(secrets.find_secrets(docs, secrets.learn(docs)))
+    length = F.when(F.size("secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumn("n_chars", length).select(*COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document: see ``op2``."""
+    documents, segments = mixing.mix(docs)
+    return mixing.taken(documents, segments).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("secrets", secret_stage),
+    ("mixing", mixing_stage),
+]
 
+#: The near-duplicate and secret stages have no form in SQL.
 ORACLE_SQL = None
-STAGES: list = []
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

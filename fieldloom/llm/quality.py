@@ -74,10 +74,10 @@ def base_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     steps = F.transform(
         "_starts", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("_starts", k + 1) - p, F.lit(WINDOW)))
     )
-    df = df.withColumn(
-        "n_repeat_words",
-        F.coalesce(F.aggregate(steps, F.lit(0), lambda total, x: total + x), F.lit(0)).cast("long"),
-    )
+    repeated = F.coalesce(F.aggregate(steps, F.lit(0), lambda total, x: total + x), F.lit(0)).cast("long")
+    # A partition's number is not deterministic to the optimizer: filters on the counts
+    # stay above this projection, for below it each would repeat all expressions.
+    df = df.withColumns({"n_repeat_words": repeated, "_partition": F.spark_partition_id()})
     return df.drop("_words", "_lines", "_hashes", "_sorted", "_starts")
 
 
@@ -164,6 +164,6 @@ def quality_rules(
     return joined.withColumns(
         {
             "removed_words": F.coalesce(F.col("_removed"), F.lit(0)).cast("long"),
-            "kept": ~F.col("base_failed") & (left >= keep_share * F.col("n_words")),
+            "kept": (F.col("_partition") >= 0) & ~F.col("base_failed") & (left >= keep_share * F.col("n_words")),
         }
-    ).drop("_host", "_content", "_removed")
+    ).drop("_host", "_content", "_removed", "_partition")
