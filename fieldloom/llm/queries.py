@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, jaccard, mixing, quality, secrets, tokens, toxicity, warc
+from . import chat, contamination, jaccard, lm, mixing, quality, secrets, tokens, toxicity, warc
 from .common import table
 
 
@@ -74,6 +74,19 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(docs, where, public_tokenizers.PATTERN)
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores all documents; the target are those that are labelled of good quality."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = (
+        table(spark, sf_dir, "labels")
+        .filter(F.col("doc_id").isNotNull())
+        .groupBy("doc_id")
+        .agg((F.min("quality") == 1).alias("is_target"))
+    )
+    model = lm.fit(docs.join(good, "doc_id", "left"))
+    return lm.cross_entropy_difference(docs, model)
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.lit("\\### Assistant: </turn> ok")
     columns = ["conv_id", "turn", "role", "text"]
@@ -100,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
     "op7_token_counts": op7_token_counts,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_warc_derivatives": op10_warc_derivatives,
 }
