@@ -7,7 +7,8 @@ under the background model: lower is nearer to the target.
 
 The vocabulary is open: words and bigrams are numbered by hashing into tables of fixed
 size, which every document of the corpus is counted into. That bounds what is sent to
-the executors, whatever the corpus; words that share a place share their counts.
+the executors, whatever the corpus; words that share a place share their counts. The start
+of a text counts as a word before it.
 """
 
 from __future__ import annotations
@@ -81,7 +82,9 @@ def counts(docs: DataFrame, text: str, is_target: str) -> DataFrame:
             for raw, hit in zip(raw_texts(batch.column(0)), batch.column(1).to_pylist()):
                 own = word_places(raw, places)
                 kind = 0 if hit else 1
-                held[kind].append(own)
+                if not len(own):
+                    continue
+                held[kind].append(np.r_[0, own])
                 held[kind].append((1 << WORD_BITS) + pair_places(with_start(own), own))
                 waiting[kind] += len(own)
                 if waiting[kind] > CHUNK:
@@ -130,8 +133,8 @@ def model(table: np.ndarray) -> dict:
 def losses(own: np.ndarray, m: dict) -> np.ndarray:
     """Loss in nats of each token (columns) under both models (rows).
 
-    A bigram's share is its count over that of its first word, or of the bigram itself
-    where the start of a text, which no word counts, comes before; at most one.
+    A bigram's share is its count over that of its first word; where bigrams share a
+    place, at most one.
     """
     before = with_start(own)
     pairs = m["pair"][:, pair_places(before, own)]

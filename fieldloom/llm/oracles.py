@@ -2,4 +2,109 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+#: Words of whole texts, as ``words`` splits them.
+WORD = r"[^\x20\x09-\x0D]+"
+
+OP1 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '{WORD}') AS w
+  FROM documents
+), base AS (
+  SELECT r, doc_id, host, t, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols
+  FROM d
+), dup AS (
+  SELECT r, (count(*) - count(DISTINCT l))::BIGINT AS n_dup_lines
+  FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')
+  GROUP BY r
+), windows AS (
+  SELECT r, i, array_to_string(list_slice(w, i, i + 7), ' ') AS g
+  FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)
+), repeated AS (
+  SELECT r, i FROM windows JOIN (SELECT r, g FROM windows GROUP BY r, g HAVING count(*) > 1) USING (r, g)
+), covered AS (
+  SELECT r, count(DISTINCT p)::BIGINT AS n_repeat_words
+  FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM repeated) GROUP BY r
+), lines AS (
+  SELECT r, host, t, coalesce(doc_id, 9223372036854775807) AS id, trim(l) AS l FROM (
+    SELECT r, host, t, doc_id, unnest(string_split(
+      regexp_replace(regexp_replace(lower(t), '[0-9]', '0', 'g'), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10))) AS l
+    FROM d) WHERE trim(l) <> ''
+), held AS (
+  SELECT host, t, l, min(id) AS first_id FROM lines GROUP BY ALL
+), hosts AS (
+  SELECT host, count(DISTINCT t) AS host_docs FROM held GROUP BY host
+), above AS (
+  SELECT host, l, min(first_id) AS holder FROM held JOIN hosts USING (host)
+  GROUP BY host, l, host_docs HAVING count(*) > 20 AND count(*) > 0.005 * host_docs
+), removed AS (
+  SELECT x.r, sum(len(string_split(x.l, ' ')))::BIGINT AS removed_words
+  FROM lines x JOIN held USING (host, t, l) JOIN above USING (host, l) WHERE first_id <> holder GROUP BY x.r
+)
+SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+       coalesce(n_repeat_words, 0) AS n_repeat_words,
+       n_words < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * n_words)
+         AND n_words - coalesce(removed_words, 0) >= 0.3 * n_words AS kept,
+       coalesce(removed_words, 0) AS removed_words
+FROM base LEFT JOIN dup USING (r) LEFT JOIN covered USING (r) LEFT JOIN removed USING (r)
+"""
+
+ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP6 = rf"""
+WITH item AS (
+  SELECT item_id::VARCHAR AS item_id, regexp_extract_all({LOWER}, '{ITEM_WORD}') AS w FROM benchmark
+), item_window AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS size,
+         array_to_string(list_slice(w, i, i + least(13, len(w)) - 1), ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM item WHERE len(w) > 0)
+), size AS (SELECT DISTINCT size FROM item_window),
+doc AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '{ITEM_WORD}') AS w FROM documents
+), doc_window AS (
+  SELECT r, i, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS g
+  FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM doc, size WHERE len(w) >= size)
+), hit AS (
+  SELECT r, i, size, item_id FROM doc_window JOIN item_window USING (size, g)
+), words AS (
+  SELECT r, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS p FROM hit) GROUP BY r
+), items AS (
+  SELECT r, count(*)::BIGINT AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
+
+OP9 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), e AS (
+  SELECT *,
+    replace(replace(replace(replace(role, '\', '\\'), '##', '#\#'), '</', '<\/'), ':' || chr(10), ':\' || chr(10)) AS r,
+    replace(replace(replace(replace(text, '\', '\\'), '##', '#\#'), '</', '<\/'), ':' || chr(10), ':\' || chr(10)) AS x
+  FROM t
+), a AS (
+  SELECT conv_id, count(*)::BIGINT AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+    sum(length(r) + length(x) + 14)::BIGINT AS formatted_chars
+  FROM e GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars,
+       sha256(loss) AS loss_sha256, formatted_chars
+FROM a
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": OP1,
+    "op6_decontamination": OP6,
+    "op9_chat_formatting": OP9,
+}
