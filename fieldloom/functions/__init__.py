@@ -1 +1 @@
-"""Part of fieldloom."""
+"""Column builders: units, compatibility rules, names, evidence and portable casts."""

@@ -1 +1 @@
-"""Part of fieldloom."""
+"""DataFrame operators."""

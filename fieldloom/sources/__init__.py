@@ -1 +1 @@
-"""Part of fieldloom."""
+"""Readers and writers."""

@@ -1 +1 @@
-"""Part of fieldloom."""
+"""Streaming twins of batch operators."""
