@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import profiles
+
+QUERIES = {k: v for m in (profiles,) for k, v in m.registry.queries.items()}
+ORACLES = {k: v for m in (profiles,) for k, v in m.registry.oracles.items()}
