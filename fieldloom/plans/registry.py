@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import profiles
+from . import profiles, rules
 
-QUERIES = {k: v for m in (profiles,) for k, v in m.registry.queries.items()}
-ORACLES = {k: v for m in (profiles,) for k, v in m.registry.oracles.items()}
+MODULES = (profiles, rules)
+QUERIES = {k: v for m in MODULES for k, v in m.registry.queries.items()}
+ORACLES = {k: v for m in MODULES for k, v in m.registry.oracles.items()}
