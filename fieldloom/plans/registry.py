@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import profiles, rules
+from . import matching, profiles, rules
 
-MODULES = (profiles, rules)
+MODULES = (profiles, rules, matching)
 QUERIES = {k: v for m in MODULES for k, v in m.registry.queries.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.registry.oracles.items()}
