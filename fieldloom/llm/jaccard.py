@@ -28,8 +28,9 @@ from .common import raw_texts, stored
 SHINGLE = 5
 #: Minwise values of a sketch.
 TOKENS = 128
-#: Sets in a node that is compared by brute force, and in a block of verification.
-SMALL = 128
+#: Sets in a node that is compared by brute force: a pair of sketches costs less than
+#: the levels that would part them. And sets in a block of verification.
+SMALL, BLOCK = 1024, 128
 #: Runs of one pass, and levels after which what stays large is compared in blocks.
 RUNS, LEVELS = 8, 12
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -446,7 +447,7 @@ def jaccard_join(
     labels = candidates(classes.select("id", "sketch"), similarity, recall, seed)
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     members = labels.join(sizes, "label").join(classes.drop("sketch"), "id")
-    blocks = F.ceil(F.col("n") / SMALL).cast("int")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     members = members.withColumns({"blocks": blocks, "side": F.pmod(F.xxhash64("rep", "id"), blocks).cast("int")})
     members = with_shingles(docs, members.dropDuplicates(["id"]), key, text)
     members = members.dropDuplicates(["id"])
