@@ -30,7 +30,7 @@ SHINGLE = 5
 TOKENS = 128
 #: Sets in a node that is compared by brute force: a pair of sketches costs less than
 #: the levels that would part them. And sets in a block of verification.
-SMALL, BLOCK = 1024, 128
+SMALL, BLOCK = 2048, 128
 #: Runs of one pass, and levels after which what stays large is compared in blocks.
 RUNS, LEVELS = 8, 12
 MIX = np.uint64(0x9E3779B97F4A7C15)
