@@ -27,7 +27,7 @@ BLOCK_WORDS = 512
 MOST_BLOCKS = 1 << 28
 #: Blocks that a shard holds and shuffles, and documents that one task lines up.
 SHARD_BLOCKS = 16_384
-LINE_DOCS = 20_000
+LINE_DOCS = 2_000
 #: Sources of a mix: the tree's quotas, one number each, go to every shard.
 MOST_SOURCES = 1_000_000
 
