@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import raw_texts, stored
 
@@ -93,8 +94,20 @@ def sketches(docs: DataFrame, key: str, text: str, seed: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, set_key binary, sketch binary")
 
 
-def matrix(column: pa.Array, width: int = TOKENS) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, width)
+def matrix(column: pa.Array, kind: type = np.uint16) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, TOKENS)
+
+
+def with_short_sketch(sets: DataFrame) -> DataFrame:
+    """Adds ``short``, the low bytes of the sketch: enough to compare, not to split by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = [x.tobytes() for x in matrix(batch.column("sketch")).astype(np.uint8)]
+            names = [*batch.schema.names, "short"]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low, pa.binary())], names)
+
+    return sets.mapInArrow(run, T.StructType([*sets.schema.fields, T.StructField("short", T.BinaryType())]))
 
 
 # --- the tree of chosen paths ------------------------------------------------------
@@ -201,7 +214,7 @@ def linked(nodes: np.ndarray, values: np.ndarray, least: int) -> tuple[np.ndarra
 
 
 def brute_force(rows: DataFrame, least: int) -> DataFrame:
-    """(a, b) links of small nodes; ``rows`` are (node, id, sketch)."""
+    """(a, b) links of small nodes; ``rows`` are (node, id, short)."""
 
     def compare(nodes: np.ndarray, ids: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
         i, j = linked(nodes, values, least)
@@ -210,7 +223,7 @@ def brute_force(rows: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
         for batch in batches:
-            now = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(2)))
+            now = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(2), np.uint8))
             held = now if held is None else tuple(np.concatenate(x) for x in zip(held, now))
             # The last node may go on in the next batch.
             cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
@@ -220,7 +233,7 @@ def brute_force(rows: DataFrame, least: int) -> DataFrame:
         if held is not None and len(held[0]):
             yield compare(*held)
 
-    ordered = rows.select("node", "id", "sketch").repartition("node").sortWithinPartitions("node")
+    ordered = rows.select("node", "id", "short").repartition("node").sortWithinPartitions("node")
     return ordered.mapInArrow(run, "a bigint, b bigint")
 
 
@@ -274,7 +287,7 @@ def survival(levels: int) -> float:
 def candidates(sets: DataFrame, similarity: float, recall: float, seed: int) -> DataFrame:
     """(id, label): components of what the sketches link, over all runs.
 
-    ``sets`` are (id, sketch). The sketch threshold lies four standard errors below
+    ``sets`` are (id, sketch, short). The sketch threshold lies four standard errors below
     the similarity. A run that went down to level k finds a pair at the threshold
     with chance survival(k); runs go on until all together miss at most 1 - recall.
     """
@@ -306,7 +319,7 @@ def _pass(sets: DataFrame, runs: range, similarity: float, least: int, seed: int
         last = level == LEVELS
         small = rows.join(nodes if last else nodes.filter(F.col("n") <= SMALL), "node")
         small = in_blocks(small) if last else small
-        own = stored(brute_force(small.join(sketches, "id"), least), "links")
+        own = stored(brute_force(small.join(sets.select("id", "short"), "id"), least), "links")
         links = own if links is None else links.union(own)
         if last or is_large.isEmpty():
             return links, level
@@ -398,24 +411,42 @@ def _settled(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
+#: Places of the filter that tells which rows may be members: it is as large for any
+#: corpus. A full one lets all rows pass, to the same result.
+FILTER_PLACES = 1 << 22
+
+
 def with_shingles(docs: DataFrame, members: DataFrame, key: str, text: str) -> DataFrame:
-    """``members`` (set_key, rep, …) with their shingles, from the text of row ``rep``."""
-    kept = [c for c in members.columns if c != "rep"]
+    """``members`` (set_key, rep, …) with their shingles, from the text of row ``rep``.
+
+    Texts are not shuffled: a filter on ids leaves out nearly all rows that are no
+    member, and the shingles of the rest meet their member by id and set.
+    """
+    place = F.pmod(F.xxhash64(F.coalesce(F.col("rep"), F.lit(-1).cast("long"))), FILTER_PLACES).cast("int")
+    # At most FILTER_PLACES numbers of 4 bytes.
+    places = members.select(place.alias("p")).distinct().toArrow().column("p").to_numpy()
+    known = np.zeros(FILTER_PLACES, bool)
+    known[places] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            found = [shingles(raw) for raw in raw_texts(batch.column("_text"))]
-            # Another text may have the row's id: only the set of the key counts.
-            own = [i for i, (f, k) in enumerate(zip(found, batch.column("set_key").to_pylist())) if len(f) and set_key(f) == k]
-            at = pa.array(own, pa.int32())
-            columns = {c: batch.column(c).take(at) for c in kept}
-            columns["shingles"] = pa.array([found[i].tobytes() for i in own], pa.binary())
-            yield pa.RecordBatch.from_pydict(columns)
-
-    texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("_text"))
-    joined = members.join(texts, members["rep"].eqNullSafe(texts["rep"])).drop(texts["rep"]).select(*kept, "_text")
-    schema = members.select(*kept).withColumn("shingles", F.lit(b"")).schema
-    return joined.mapInArrow(run, schema)
+            kept = np.flatnonzero(known[batch.column("place").to_numpy()])
+            if not len(kept):
+                continue
+            at = pa.array(kept)
+            found = [shingles(raw) for raw in raw_texts(batch.column("text").take(at))]
+            columns = [batch.column("rep").take(at), pa.array([set_key(f) for f in found], pa.binary())]
+            columns.append(pa.array([f.tobytes() for f in found], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["rep", "set_key", "shingles"])
+
+    rows = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text"))
+    rows = rows.select("rep", place.alias("place"), "text")
+    # Another text may have the row's id: only the set of the key counts.
+    found = rows.mapInArrow(run, "rep bigint, set_key binary, shingles binary").withColumnsRenamed({"rep": "_rep", "set_key": "_key"})
+    same = (F.col("set_key") == F.col("_key")) & F.col("rep").eqNullSafe(F.col("_rep"))
+    return members.join(found, same).drop("_rep", "_key", "rep")
 
 
 def jaccard_join(
@@ -443,10 +474,10 @@ def jaccard_join(
         .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("sketch").alias("sketch"))
         .withColumn("id", own_id)
     )
-    classes = stored(classes, "classes")
-    labels = candidates(classes.select("id", "sketch"), similarity, recall, seed)
+    classes = stored(with_short_sketch(classes), "classes")
+    labels = candidates(classes.select("id", "sketch", "short"), similarity, recall, seed)
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    members = labels.join(sizes, "label").join(classes.drop("sketch"), "id")
+    members = labels.join(sizes, "label").join(classes.drop("sketch", "short"), "id")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     members = members.withColumns({"blocks": blocks, "side": F.pmod(F.xxhash64("rep", "id"), blocks).cast("int")})
     members = with_shingles(docs, members.dropDuplicates(["id"]), key, text)

@@ -144,7 +144,7 @@ def test_toxicity_on_held_out_labels(spark, docs):
     ranks = got.score.rank()
     p = got.toxic == 1
     auc = (ranks[p].sum() - p.sum() * (p.sum() + 1) / 2) / p.sum() / (~p).sum()
-    assert auc > 0.97 and ((got.predicted == 1) == p).mean() > 0.95
+    assert auc > 0.95 and ((got.predicted == 1) == p).mean() > 0.95
 
 
 def test_offending_sentences_are_found():
