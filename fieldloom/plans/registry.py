@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import matching, profiles, rules, workflow
+from . import calibration, matching, profiles, rules, workflow
 
-MODULES = (profiles, rules, matching, workflow)
+MODULES = (profiles, rules, matching, calibration, workflow)
 QUERIES = {k: v for m in MODULES for k, v in m.registry.queries.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.registry.oracles.items()}
