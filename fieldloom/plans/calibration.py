@@ -146,8 +146,8 @@ MODELS = {"plain": 1, "half": 2, "third": 3}
 
 
 @query(f"WITH {SCORES_SQL}, mm AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in MODELS.items()) + """) v(model, step)),
-p AS (SELECT model, t, gold, CASE WHEN vec_id % step = 0 THEN concept END AS told FROM top, mm)
-SELECT model, t, count(*) AS n, count(*) FILTER (gold = told) AS tp, round(100 * count(told) / count(*), 4) AS coverage FROM p GROUP BY model, t""")
+pp AS (SELECT model, t, gold, CASE WHEN vec_id % step = 0 THEN concept END AS told FROM top, mm)
+SELECT model, t, count(*) AS n, count(*) FILTER (gold = told) AS tp, round(100 * count(told) / count(*), 4) AS coverage FROM pp GROUP BY model, t""")
 def model_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several rankers by domain, in one relation."""
     models = F.explode(F.array(*(F.struct(F.lit(k).alias("model"), F.lit(v).alias("step")) for k, v in MODELS.items()))).alias("m")
