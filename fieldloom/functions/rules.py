@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
@@ -30,9 +30,22 @@ class Field:
     dtype_declared: Column
     specimen: Column
 
+    #: Columns of what the rules derive, where ``prepare`` has worked them out.
+    derived: dict[str, Column] | None = None
+
     @classmethod
-    def at(cls, prefix: str) -> Field:
-        return cls(*(F.col(prefix + name) for name in cls.__annotations__))
+    def at(cls, prefix: str, prepared: bool = False) -> Field:
+        own = [F.col(prefix + name) for name in list(cls.__annotations__)[:6]]
+        return cls(*own, {k: F.col(prefix + k) for k in DERIVED} if prepared else None)
+
+    def get(self, name: str) -> Column:
+        return self.derived[name] if self.derived else DERIVED[name](self)
+
+
+def prepare(df: DataFrame, prefix: str) -> DataFrame:
+    """Adds what the rules derive of a field, so that each is worked out once a row."""
+    field = Field.at(prefix)
+    return df.withColumns({prefix + k: make(field) for k, make in DERIVED.items()})
 
 
 def family(table: Column) -> Column:
@@ -58,9 +71,17 @@ def specimen_class(specimen: Column, name: Column) -> Column:
     return F.coalesce(lookup(s, V.SPECIMENS), F.when(s != "", inside), told)
 
 
+#: What the rules derive of a field.
+DERIVED = {
+    "unit": lambda f: effective_unit(f.unit_observed, f.raw_name)["unit"],
+    "method": lambda f: method(f.raw_name),
+    "family": lambda f: family(f.src_table),
+    "specimen_class": lambda f: specimen_class(f.specimen, f.raw_name),
+}
+
+
 def v_unit(a: Field, b: Field) -> Column:
-    ua, ub = (effective_unit(x.unit_observed, x.raw_name)["unit"] for x in (a, b))
-    found = relation(ua, ub)
+    found = relation(a.get("unit"), b.get("unit"))
     return F.when(found.isin("same", "convertible"), 0.0).when(found == "conflict", 1.0).otherwise(CANNOT_TELL)
 
 
@@ -73,14 +94,14 @@ def v_type(a: Field, b: Field) -> Column:
 
 
 def v_specimen(a: Field, b: Field) -> Column:
-    x, y = (specimen_class(f.specimen, f.raw_name) for f in (a, b))
+    x, y = a.get("specimen_class"), b.get("specimen_class")
     return F.when(x.isNull() | y.isNull(), CANNOT_TELL).when(x == y, 0.0).otherwise(1.0)
 
 
 def v_prov(a: Field, b: Field, concept_mode: bool = False) -> Column:
     """Method first, then table family. A concept is bound to no table: there a
     conflict of families only cannot tell."""
-    fa, fb, ma, mb = family(a.src_table), family(b.src_table), method(a.raw_name), method(b.raw_name)
+    fa, fb, ma, mb = a.get("family"), b.get("family"), a.get("method"), b.get("method")
     pair = F.concat_ws("+", F.least(fa, fb), F.greatest(fa, fb))
     conflict = pair.isin([f"{x}+{y}" for x, y in V.FAMILY_CONFLICTS])
     one_sided = ma.isNull() != mb.isNull()
@@ -97,7 +118,7 @@ def v_prov(a: Field, b: Field, concept_mode: bool = False) -> Column:
 
 def v_method(field: Field, concept: Field) -> Column:
     """A method told by the field only is a conflict, unless the concept bears one."""
-    mf, mc = method(field.raw_name), method(concept.raw_name)
+    mf, mc = field.get("method"), concept.get("method")
     name = F.lower(F.trim(F.coalesce(concept.raw_name, F.lit(""))))
     bearing = F.greatest(*(name.contains(k) for k in V.METHOD_BEARING_CONCEPTS))
     return (

@@ -100,8 +100,8 @@ UNIT_PAIRS_SQL = f"SELECT *, {unit_sql('a_unit_observed')} AS ua, {unit_sql('b_u
 
 @query(f"SELECT p_partkey, a_unit_observed AS spelling, ua AS unit, {lookup_sql('ua', V.UNIT_DIMENSIONS)} AS dimension FROM ({UNIT_PAIRS_SQL})")
 def unit_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    unit = U.normalize_unit(F.col("a_unit_observed"))
-    return fields(spark, sf_dir).select("p_partkey", F.col("a_unit_observed").alias("spelling"), unit.alias("unit"), U.dimension(unit).alias("dimension"))
+    known = fields(spark, sf_dir).withColumn("unit", U.normalize_unit(F.col("a_unit_observed")))
+    return known.select("p_partkey", F.col("a_unit_observed").alias("spelling"), "unit", U.dimension(F.col("unit")).alias("dimension"))
 
 
 @query(f"SELECT ua, ub, {relation_sql('ua', 'ub')} AS relation, count(*) AS n FROM ({UNIT_PAIRS_SQL}) GROUP BY ua, ub")
@@ -165,8 +165,9 @@ FROM ({FACTS_SQL})"""
 
 
 def gates(spark: SparkSession, sf_dir: str, concept_mode: bool) -> DataFrame:
-    a, b = G.Field.at("a_"), G.Field.at("b_")
-    return fields(spark, sf_dir).select("p_partkey", "p_retailprice", "p_size", G.gate(a, b, concept_mode).alias("g"), G.v_method(a, b).alias("v_method"))
+    a, b = G.Field.at("a_", prepared=True), G.Field.at("b_", prepared=True)
+    known = G.prepare(G.prepare(fields(spark, sf_dir), "a_"), "b_")
+    return known.select("p_partkey", "p_retailprice", "p_size", G.gate(a, b, concept_mode).alias("g"), G.v_method(a, b).alias("v_method"))
 
 
 @query(f"SELECT p_partkey, v_unit, v_type, v_prov, v_specimen, v_method, v_unit = 1 OR v_type = 1 OR v_specimen = 1 OR v_prov = 1 AS hard_reject FROM ({verdicts_sql(False)})")
