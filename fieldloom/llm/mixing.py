@@ -236,7 +236,8 @@ def mix(
     plan = quotas(plan_rows, block, seed)
     shards = max(1, math.ceil(int(plan["blocks"].sum()) / SHARD_BLOCKS))
     lined = stored(lined_up(sized, seed), "mix-lines")
-    drawn = draws(sized, plan, block, shards, seed)
+    # Its rows are as many as the blocks, which the optimizer cannot know: no broadcast.
+    drawn = draws(sized, plan, block, shards, seed).hint("merge")
     cut = pieces(lined, block)
     # Blocks spread a hot source over all partitions of the join.
     segments = (
