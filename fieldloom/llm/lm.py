@@ -5,167 +5,275 @@ target model is counted over the documents of a target set, the background model
 all. A document's score is its mean loss per token under the target model less that
 under the background model: lower is nearer to the target.
 
-The vocabulary is open: words and bigrams are numbered by hashing into tables of fixed
-size, which every document of the corpus is counted into. That bounds what is sent to
-the executors, whatever the corpus; words that share a place share their counts. The start
-of a text counts as a word before it.
+The vocabulary is open and nothing is folded together: words and bigrams are counted by
+64-bit hashes in a distributed table that grows with the corpus. Documents are dealt to
+groups of some MB. A group sends each of its distinct words and bigrams once, with its
+counts, to one of as many buckets of hashes; the bucket sums over all groups and answers
+each in its own order, so that a hot word is one row of a group. The start of a text
+counts as a word before it.
 """
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import raw_texts
 
-#: Places of words and of bigrams, as powers of two. The start of a text is place 0.
-WORD_BITS, PAIR_BITS = 18, 20
 #: Interpolation: weight of the bigram's share; the rest is the word's own.
 PAIR_WEIGHT = 0.7
-KNOWN = 400_000
-#: Tokens whose places are counted together.
-CHUNK = 1 << 20
+#: Bytes of text of a group, and of the text whose words a bucket counts.
+GROUP_BYTES = 12 << 20
+#: The hash of the start of a text.
+START = 0x5EED0F7E47
+ASKED = "_group bigint, _bucket bigint, words binary, pairs binary, counts binary"
+ANSWERED = "_group bigint, _bucket bigint, words binary, pairs binary, totals binary"
 
 
-class Places(dict):
-    """Word → its place, from 1."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > KNOWN:
-            self.clear()
-        self[word] = place = 1 + zlib.crc32(word) % ((1 << WORD_BITS) - 1)
-        return place
+class Vocabulary(dict):
+    """Word → its number in a group; number 0 is the start of a text."""
 
+    def __init__(self) -> None:
+        super().__init__()
+        self.hashes = [START]
 
-def word_places(text: bytes, places: Places) -> np.ndarray:
-    """Places of a text's words, lower-cased in ASCII."""
-    words = text.lower().split()
-    return np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self.hashes)
+        self.hashes.append(int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little"))
+        return number
 
 
-def pair_places(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+def pair_hashes(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        mixed = (before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (after.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        mixed = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (after * np.uint64(0xC2B2AE3D27D4EB4F))
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (mixed >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-
+        return mixed ^ (mixed >> np.uint64(32))
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers by planes of bytes, of which most are zeros and cost nothing."""
+    return np.ascontiguousarray(numbers.astype("<i8").reshape(-1).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
+
+
+class Group:
+    """Words and bigrams of some texts: each token's, and the distinct ones in buckets."""
+
+    def __init__(self, texts: Iterator[bytes], buckets: int) -> None:
+        vocabulary, own = Vocabulary(), []
+        for text in texts:
+            # Words are lower-cased in ASCII.
+            found = text.lower().split()
+            own.append(np.fromiter(map(vocabulary.__getitem__, found), np.int64, len(found)))
+        self.sizes = np.array([len(x) for x in own], np.int64)
+        self.words = np.concatenate(own) if own else np.zeros(0, np.int64)
+        del own
+        self.ends = np.cumsum(self.sizes)
+        self.before = np.r_[0, self.words[:-1]] if len(self.words) else self.words.copy()
+        self.before[(self.ends - self.sizes)[self.sizes > 0]] = 0
+        hashes = np.array(vocabulary.hashes, np.uint64)
+        del vocabulary
+        distinct, self.pairs = np.unique(self.before * len(hashes) + self.words, return_inverse=True)
+        self.word_blocks = self._blocks(hashes, buckets)
+        self.pair_blocks = self._blocks(pair_hashes(hashes[distinct // len(hashes)], hashes[distinct % len(hashes)]), buckets)
+
+    @staticmethod
+    def _blocks(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes by bucket, their order, and where each bucket begins and ends in it."""
+        bucket = ((hashes >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((hashes, bucket))
+        return hashes[order], order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+    def counts(self, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(target, background) of each word and of each bigram; ``flags`` are the texts'."""
+        hit = np.repeat(flags, self.sizes)
+        begun = self.sizes > 0
+        words, pairs = (np.zeros((2, len(b[1])), np.int64) for b in (self.word_blocks, self.pair_blocks))
+        for k, (tokens, texts) in enumerate(((hit, begun & flags), (np.ones_like(hit), begun))):
+            words[k] = np.bincount(self.words[tokens], minlength=words.shape[1])
+            words[k, 0] = texts.sum()
+            pairs[k] = np.bincount(self.pairs[tokens], minlength=pairs.shape[1])
+        return words, pairs
+
+
+def asked(table: pa.Table, text: str, flags: np.ndarray, counted: bool, buckets: int) -> pa.Table:
+    """What a group of rows sends to each bucket: hashes of words and bigrams, and counts.
+
+    Rows that are not of the corpus are not ``counted``: they only ask.
+    """
+    number = table.column("_group")[0].as_py()
+    own = Group((x for c in table.column(text).chunks for x in raw_texts(c)), buckets)
+    words, pairs = own.counts(flags)
+    if not counted:
+        words, pairs = words * 0, pairs * 0
+    (wh, wo, wa), (ph, po, pa_) = own.word_blocks, own.pair_blocks
+    words, pairs = words[:, wo], pairs[:, po]
+    made = []
+    for b in range(buckets):
+        w, p = slice(wa[b], wa[b + 1]), slice(pa_[b], pa_[b + 1])
+        counts = np.concatenate([words[0, w], words[1, w], pairs[0, p], pairs[1, p]])
+        made.append((number, b, wh[w].tobytes(), ph[p].tobytes(), packed(counts)))
+    return _rows(made, ASKED)
+
+
+def _rows(made: list[tuple], schema: str) -> pa.Table:
+    kinds = {"bigint": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.table([pa.array([r[i] for r in made], kinds[k]) for i, (_, k) in enumerate(fields)], [n for n, _ in fields])
+
+
+def answered(table: pa.Table) -> pa.Table:
+    """A bucket's sums, for each group whose documents are scored in the order it asked.
+
+    ``totals`` are the bucket's tokens of both models and its words that are used.
+    """
+    groups = table.column("_group").to_pylist()
+    sums, totals = {}, []
+    counts = [unpacked(x) for x in table.column("counts").to_pylist()]
+    asked = {k: [np.frombuffer(x, np.uint64) for x in table.column(k).to_pylist()] for k in ("words", "pairs")}
+    sizes = [len(x) for x in asked["words"]]
+    for k, blocks in asked.items():
+        distinct, at = np.unique(np.concatenate(blocks), return_inverse=True)
+        parts = [c[: 2 * n] if k == "words" else c[2 * n :] for c, n in zip(counts, sizes)]
+        total = np.zeros((2, len(distinct)), np.int64)
+        for i in range(2):
+            every = np.concatenate([p.reshape(2, -1)[i] for p in parts])
+            # Sums of whole numbers below 2⁵³: exact as doubles.
+            total[i] = np.bincount(at, every, len(distinct)).astype(np.int64)
+        if k == "words":
+            totals = [*total.sum(1), (total[1] > 0).sum()]
+        sums[k] = np.split(total[:, at], np.cumsum([len(x) for x in blocks])[:-1], axis=1)
+    bucket = table.column("_bucket")[0].as_py()
+    whole = packed(np.array(totals, np.int64))
+    made = [(g, bucket, packed(w), packed(p), whole) for g, w, p in zip(groups, sums["words"], sums["pairs"]) if g >= 0]
+    return _rows(made, ANSWERED)
+
+
+def losses(own: Group, answers: pa.Table) -> np.ndarray:
+    """Loss in nats of each token (columns) under both models (rows).
 
-def with_start(places: np.ndarray) -> np.ndarray:
-    return np.r_[0, places[:-1]] if len(places) else places
+    The background is scaled to the target's number of tokens, so that both models
+    smooth alike: add one over the words that the corpus uses. A bigram's share is its
+    count over that of its first word.
+    """
+    rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("_bucket", "words", "pairs", "totals"))))
+    whole = sum(unpacked(r[3]) for r in rows)
+    found = []
+    for k, (_, order, _) in ((1, own.word_blocks), (2, own.pair_blocks)):
+        counts = np.empty((2, len(order)))
+        counts[:, order] = np.concatenate([unpacked(r[k]).reshape(2, -1) for r in rows], axis=1)
+        found.append(counts)
+    (words, pairs), tokens, used = found, whole[:2].astype(float), max(int(whole[2]), 1)
+    if tokens[0] and tokens[1]:
+        scale = tokens[0] / tokens[1]
+        words[1] *= scale
+        pairs[1] *= scale
+        tokens[1] *= scale
+    alone = (words + 1) / (tokens[:, None] + used)
+    out = np.empty((2, len(own.words)))
+    for k in range(2):
+        of = words[k][own.before]
+        share = np.divide(pairs[k][own.pairs], of, out=np.zeros_like(of), where=of > 0)
+        out[k] = -np.log(PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * alone[k][own.words])
+    return out
+
+
+def fit(docs: DataFrame, text: str = "text", is_target: str = "is_target") -> DataFrame:
+    """The models' corpus: its texts, and which are the target. Null is not the target.
+
+    Counting is left to where documents are scored, as the counts grow with the corpus.
+    """
+    return docs.select(F.col(text).alias("text"), F.coalesce(F.col(is_target).cast("boolean"), F.lit(False)).alias("is_target"))
 
 
-def counts(docs: DataFrame, text: str, is_target: str) -> DataFrame:
-    """(place, target, background): summed over all documents.
+def cross_entropy_difference(docs: DataFrame, m: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` without text, with ``n_tokens``, both mean losses and ``score``.
 
-    Places of words come first, then those of bigrams. A task holds two counts of each
-    place and sends on those that are not zero.
+    ``m`` is what ``fit`` gives. ``score`` is the mean of the tokens' differences of
+    losses. A null text, or one without words, has no tokens: its losses and score are 0.
+    One row for each row of ``docs``; columns of the same name as an added one are replaced.
     """
-    size = (1 << WORD_BITS) + (1 << PAIR_BITS)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, total = Places(), np.zeros((2, size), np.int64)
-        held: tuple[list, list] = ([], [])
-
-        def add(kind: int) -> None:
-            if held[kind]:
-                total[kind] += np.bincount(np.concatenate(held[kind]), minlength=size)
-                held[kind].clear()
-
-        waiting = [0, 0]
-        for batch in batches:
-            for raw, hit in zip(raw_texts(batch.column(0)), batch.column(1).to_pylist()):
-                own = word_places(raw, places)
-                kind = 0 if hit else 1
-                if not len(own):
-                    continue
-                held[kind].append(np.r_[0, own])
-                held[kind].append((1 << WORD_BITS) + pair_places(with_start(own), own))
-                waiting[kind] += len(own)
-                if waiting[kind] > CHUNK:
-                    add(kind)
-                    waiting[kind] = 0
-        add(0)
-        add(1)
-        seen = np.flatnonzero(total.any(0))
-        for i in range(0, len(seen), 100_000):
-            at = seen[i : i + 100_000]
-            columns = [pa.array(at), pa.array(total[0, at]), pa.array(total.sum(0)[at])]
-            yield pa.RecordBatch.from_arrays(columns, ["place", "target", "background"])
-
-    rows = docs.select(text, is_target).mapInArrow(count, "place bigint, target bigint, background bigint")
-    return rows.groupBy("place").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-def fit(docs: DataFrame, text: str = "text", is_target: str = "is_target") -> dict:
-    """Both models as arrays of fixed size; null in ``is_target`` is not the target."""
-    size = (1 << WORD_BITS) + (1 << PAIR_BITS)
-    table = np.zeros((2, size), np.float64)
-    flagged = docs.withColumn(is_target, F.coalesce(F.col(is_target).cast("boolean"), F.lit(False)))
-    # At most one row for each place of the tables: a proven bound.
-    found = counts(flagged, text, is_target).toArrow()
-    at = found.column("place").to_numpy()
-    table[0, at], table[1, at] = found.column("target").to_numpy(), found.column("background").to_numpy()
-    return model(table)
-
-
-def model(table: np.ndarray) -> dict:
-    """Log-probabilities' parts from counts (target, background) of all places.
+    docs, rest = _kept(docs, text)
+    groups = _groups(_bytes(docs, text) + _bytes(m, "text"))
+    rows = _dealt(docs, rest, text, groups)
+    # Groups of the corpus have negative numbers: they are counted, and not answered.
+    corpus = m.select("text", "is_target", (-1 - F.pmod(F.xxhash64("text"), F.lit(groups))).alias("_group"))
+    asking = rows.select(F.col(text).alias("text"), F.lit(False).alias("is_target"), "_group").unionByName(corpus)
 
-    The background is scaled to the target's number of tokens, so that both models
-    smooth alike: add one over the places of words that the corpus uses.
-    """
-    words, pairs = table[:, : 1 << WORD_BITS].copy(), table[:, 1 << WORD_BITS :].copy()
-    tokens = words.sum(1)
-    if tokens[0] and tokens[1]:
-        words[1] *= tokens[0] / tokens[1]
-        pairs[1] *= tokens[0] / tokens[1]
-    used = max(int((table[1, : 1 << WORD_BITS] > 0).sum()), 1)
-    total = words.sum(1, keepdims=True)
-    return {"word": ((words + 1) / (total + used)).astype(np.float32), "count": words.astype(np.float32), "pair": pairs.astype(np.float32)}
+    def ask(table: pa.Table) -> pa.Table:
+        flags = np.array(table.column("is_target").to_pylist(), bool)
+        return asked(table, "text", flags, table.column("_group")[0].as_py() < 0, groups)
 
+    return _scored(rows, asking.groupBy("_group").applyInArrow(ask, ASKED), rest, text, groups)
 
-def losses(own: np.ndarray, m: dict) -> np.ndarray:
-    """Loss in nats of each token (columns) under both models (rows).
 
-    A bigram's share is its count over that of its first word; where bigrams share a
-    place, at most one.
+def cross_entropy_of_corpus(docs: DataFrame, targets: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """As ``cross_entropy_difference`` of ``docs`` under models fitted to ``docs`` themselves.
+
+    ``targets`` has the keys of the target set. Texts are dealt once, for counting and
+    for scoring: what meets the targets is keys and numbers of groups, without text.
     """
-    before = with_start(own)
-    pairs = m["pair"][:, pair_places(before, own)]
-    seen = np.maximum(m["count"][:, before], pairs)
-    share = np.divide(pairs, seen, out=np.zeros_like(pairs), where=seen > 0)
-    return -np.log(PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * m["word"][:, own])
+    docs, rest = _kept(docs, text)
+    groups = _groups(_bytes(docs, text))
+    rows = _dealt(docs, rest, text, groups)
+    # Keys grow with the documents: the plan that holds at scale, at every size.
+    of = rows.select(F.col(key).alias("_key"), F.col("_group").alias("_of"))
+    hits = of.join(targets.select(F.col(key).alias("_key")).hint("merge"), "_key", "left_semi").distinct()
 
+    def ask(table: pa.Table, hits: pa.Table) -> pa.Table:
+        flags = pc.is_in(table.column(key), value_set=hits.column("_key").combine_chunks())
+        return asked(table, text, np.array(flags.to_pylist(), bool), True, groups)
 
-def cross_entropy_difference(docs: DataFrame, m: dict, text: str = "text") -> DataFrame:
-    """``docs`` without text, with ``n_tokens``, both mean losses and ``score``.
+    asking = rows.groupBy("_group").cogroup(hits.groupBy("_of")).applyInArrow(ask, ASKED)
+    return _scored(rows, asking, rest, text, groups)
+
+
+ADDED = ["n_tokens", "target_loss", "background_loss", "score"]
+
+
+def _kept(docs: DataFrame, text: str) -> tuple[DataFrame, list[str]]:
+    docs = docs.drop(*(c for c in ADDED if c != text))
+    return docs, [c for c in docs.columns if c != text]
+
+
+def _bytes(docs: DataFrame, text: str) -> int:
+    return docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+
+
+def _groups(size: int) -> int:
+    return size // GROUP_BYTES + 1
+
+
+def _dealt(docs: DataFrame, rest: list[str], text: str, groups: int) -> DataFrame:
+    """``docs`` with ``_group``: a function of the row, the same on every run of a task.
 
-    ``score`` is the mean of the tokens' differences of losses. A null text, or one
-    without words, has no tokens: its losses and score are 0. One row for each row of
-    ``docs``; columns of the same name as an added one are replaced.
+    Copies of a text are told apart by the other columns.
     """
-    added = ["n_tokens", "target_loss", "background_loss", "score"]
-    docs = docs.drop(*(c for c in added if c != text))
-    rest = [c for c in docs.columns if c != text]
-    shared = docs.sparkSession.sparkContext.broadcast(m)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = Places()
-        for batch in batches:
-            out = np.zeros((batch.num_rows, 3))
-            for i, raw in enumerate(raw_texts(batch.column(len(rest)))):
-                own = word_places(raw, places)
-                if len(own):
-                    out[i] = len(own), *losses(own, shared.value).astype(np.float64).mean(1)
-            columns = [*(batch.column(i) for i in range(len(rest))), pa.array(out[:, 0].astype(np.int64))]
-            columns += [pa.array(out[:, 1]), pa.array(out[:, 2]), pa.array(out[:, 1] - out[:, 2])]
-            yield pa.RecordBatch.from_arrays(columns, [*rest, *added])
-
-    fields = [T.StructField("n_tokens", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in added[1:]]
-    return docs.select(*rest, text).mapInArrow(run, T.StructType([*(docs.schema[c] for c in rest), *fields]))
+    plain = [c for c in rest if isinstance(docs.schema[c].dataType, (T.StringType, T.NumericType))]
+    return docs.select(*rest, text, F.pmod(F.xxhash64(text, *plain), F.lit(groups)).alias("_group"))
+
+
+def _scored(rows: DataFrame, asking: DataFrame, rest: list[str], text: str, groups: int) -> DataFrame:
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        own = Group((x for c in table.column(text).chunks for x in raw_texts(c)), groups)
+        out = np.zeros((2, table.num_rows))
+        if len(own.words):
+            lost, some = losses(own, answers), own.sizes > 0
+            out[:, some] = np.add.reduceat(lost, (own.ends - own.sizes)[some], axis=1) / own.sizes[some]
+        columns = [*(table.column(c) for c in rest), pa.array(own.sizes), pa.array(out[0]), pa.array(out[1]), pa.array(out[0] - out[1])]
+        return pa.table(columns, [*rest, *ADDED])
+
+    answers = asking.groupBy("_bucket").applyInArrow(answered, ANSWERED)
+    fields = [T.StructField("n_tokens", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in ADDED[1:]]
+    schema = T.StructType([*(rows.schema[c] for c in rest), *fields])
+    return rows.groupBy("_group").cogroup(answers.groupBy("_group")).applyInArrow(run, schema)

@@ -82,10 +82,9 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
         .filter(F.col("doc_id").isNotNull())
         .groupBy("doc_id")
         .agg((F.min("quality") == 1).alias("is_target"))
+        .filter("is_target")
     )
-    # Labels grow with the documents: the plan that holds at scale, at every size.
-    model = lm.fit(docs.join(good.hint("merge"), "doc_id", "left"))
-    return lm.cross_entropy_difference(docs, model)
+    return lm.cross_entropy_of_corpus(docs, good)
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
