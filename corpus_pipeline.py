@@ -18,8 +18,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality.quality_rules(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
+    """Documents that the quality rules keep, without the lines above the limits."""
+    found = quality.quality_rules(docs.select(*COLUMNS)).filter("kept")
+    length = F.when(F.col("removed_words") > 0, F.length("clean_text").cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumns({"n_chars": length, "text": F.col("clean_text")}).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,11 +81,15 @@ def base_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.drop("_words", "_lines", "_hashes", "_sorted", "_starts")
 
 
+def normalised(text: Column) -> Column:
+    """A text or a line as lines are compared, but for blanks at their ends."""
+    plain = F.regexp_replace(F.lower(text), "[0-9]", "0")
+    return F.regexp_replace(plain, "[\\x20\\x09\\x0B-\\x0D]+", " ")
+
+
 def host_lines(docs: DataFrame, text: str, host: str, key: str) -> DataFrame:
     """One row for each host, distinct document content and distinct normalised line."""
-    plain = F.lower(F.coalesce(F.col(text), F.lit("")))
-    plain = F.regexp_replace(plain, "[0-9]", "0")
-    plain = F.regexp_replace(plain, "[\\x20\\x09\\x0B-\\x0D]+", " ")
+    plain = normalised(F.coalesce(F.col(text), F.lit("")))
     lines = F.filter(F.transform(F.split(plain, "\n"), lambda x: F.btrim(x)), lambda x: x != "")
     found = F.transform(
         lines, lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).alias("line_words"))
@@ -134,7 +138,10 @@ def quality_rules(
     min_words: int = 20,
     max_repeat_percent: int = 30,
 ) -> DataFrame:
-    """``docs`` with counts, ``removed_words``, ``base_failed`` and ``kept``.
+    """``docs`` with counts, ``removed_words``, ``base_failed``, ``kept`` and ``clean_text``.
+
+    ``clean_text`` is the text without the lines that are removed from it; all other
+    lines are as they were. Where none is removed it is the text itself.
 
     One row for each row of ``docs``, all its columns first; columns of the same
     name as an added one are replaced. A null text is empty: it has no words and
@@ -147,9 +154,9 @@ def quality_rules(
         lines.join(lines_above_limits(lines, min_docs, share), ["host", "line"])
         .filter(F.col("first_id") != F.col("holder"))
         .groupBy(F.col("host").alias("_host"), F.col("content").alias("_content"))
-        .agg(F.sum("line_words").alias("_removed"))
+        .agg(F.sum("line_words").alias("_removed"), F.collect_list("line").alias("_above"))
     )
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept"]
+    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept", "clean_text"]
     base = base_metrics(docs.drop(*(c for c in added if c not in (text, host, key))), text)
     keyed = base.withColumns(
         {
@@ -160,10 +167,14 @@ def quality_rules(
         }
     )
     joined = keyed.join(removed, ["_host", "_content"], "left")
+    rest = F.filter(
+        F.split(F.col(text), "\n"), lambda x: ~F.array_contains("_above", F.xxhash64(F.btrim(normalised(x))))
+    )
     left = F.col("n_words") - F.coalesce(F.col("_removed"), F.lit(0))
     return joined.withColumns(
         {
             "removed_words": F.coalesce(F.col("_removed"), F.lit(0)).cast("long"),
             "kept": (F.col("_partition") >= 0) & ~F.col("base_failed") & (left >= keep_share * F.col("n_words")),
+            "clean_text": F.when(F.col("_removed") > 0, F.array_join(rest, "\n")).otherwise(F.col(text)),
         }
-    ).drop("_host", "_content", "_removed", "_partition")
+    ).drop("_host", "_content", "_removed", "_above", "_partition")

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 
+import corpus_pipeline
 from fieldloom.llm import lm
 
 
@@ -46,3 +47,17 @@ def test_lm_words_and_bigrams_share_no_counts(spark, monkeypatch):
         for df in got:
             rows = {r["doc_id"]: (r["target_loss"], r["background_loss"]) for r in df.collect()}
             assert np.allclose([rows[i] for i in range(len(made))], want, atol=1e-4)
+
+
+def test_lines_above_limits_leave_the_texts(spark):
+    """A line of more than 20 documents of a host stays with its first holder only."""
+    own = [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(30)]
+    made = [(i, f"{t}\n  All Rights  reserved 20{i:02d}\n\n{t[::-1]}", "en", "h", 7) for i, t in enumerate(own)]
+    made += [(99, own[0] + " b\nall rights reserved 2000", "en", "other", 7)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in corpus_pipeline.quality_stage(spark, docs, "").collect()}
+    assert len(got) == len(made)
+    for i, t in enumerate(own):
+        want = made[0][1] if i == 0 else f"{t}\n\n{t[::-1]}"
+        assert got[i]["text"] == want and got[i]["n_chars"] == (7 if i == 0 else len(want))
+    assert got[99]["text"] == made[-1][1] and got[99]["n_chars"] == 7
