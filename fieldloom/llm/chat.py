@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TURNS = "array<struct<role:string,text:string>>"
+#: Characters up to which no JSON text meets a limit of the parsers: 20 M characters of
+#: one string, 128 MiB of all values.
+PARSED_CHARS = 20_000_000
 OPEN, MIDDLE, CLOSE = "### ", ":\n", "</turn>\n"
 
 
@@ -124,9 +127,14 @@ def canonical_turns(records: DataFrame, record: str = "record", mappings: tuple[
     """``records`` with ``layout_hash``, ``layout`` and ``turns``.
 
     A record whose fingerprint no mapping has keeps a null ``layout`` and null
-    ``turns``: unknown layouts are seen, not guessed. So does a null record.
+    ``turns``: unknown layouts are seen, not guessed. So does a null record. A record
+    that is too long for the parsers is an error, for it would look like an unknown one.
     """
-    df = records.withColumn("layout_hash", fingerprint(field_paths(F.col(record))))
+    whole = F.col(record)
+    too_long = (F.length(whole) > PARSED_CHARS) & F.try_parse_json(whole).isNull()
+    told = F.concat(F.lit("record of "), F.length(whole).cast("string"), F.lit(" characters does not parse"))
+    paths = F.when(too_long, F.raise_error(told).cast("array<string>")).otherwise(field_paths(whole))
+    df = records.withColumn("layout_hash", fingerprint(paths))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for m in mappings:
         own = F.col("layout_hash") == fingerprint(F.array(*map(F.lit, m.paths)))
@@ -226,6 +234,25 @@ def as_records(rows: DataFrame, key: str = "conv_id", order: str = "turn") -> Da
     return rows.groupBy(key).agg(ordered.alias("messages")).select(key, F.to_json(F.struct("messages")).alias("record"))
 
 
+def as_turns(rows: DataFrame, key: str = "conv_id", order: str = "turn", mapping: Mapping = MAPPINGS[0]) -> DataFrame:
+    """Rows of single turns as one row of ``turns`` for each conversation, ready to render.
+
+    Rows as ``as_records`` orders them, under their declared layout: no JSON is written
+    or parsed, so that no length of a text or a conversation changes the layout.
+    """
+    turn = F.struct(
+        F.col(order).alias("at"),
+        F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
+    ordered = F.transform(
+        F.array_sort(F.collect_list(turn)), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))
+    )
+    return rows.groupBy(key).agg(ordered.cast(TURNS).alias("turns")).select(
+        key, fingerprint(F.array(*map(F.lit, mapping.paths))).alias("layout_hash"), F.lit(mapping.name).alias("layout"), "turns"
+    )
+
+
 def digests(df: DataFrame, key: str = "conv_id") -> DataFrame:
     """What was read back, as counts and hashes."""
     told = F.transform("read_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))

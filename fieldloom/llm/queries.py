@@ -97,7 +97,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         said.alias("text"),
     )
     rows = table(spark, sf_dir, "conversations").select(*columns).unionByName(extra)
-    return chat.digests(chat.read_back(chat.format_chats(chat.as_records(rows))))
+    return chat.digests(chat.read_back(chat.render(chat.as_turns(rows))))
 
 
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,11 @@ import collections
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fieldloom.llm import lm
+from fieldloom.llm import chat, lm, queries
 
 
 def plain_losses(made):
@@ -61,3 +63,19 @@ def test_lines_above_limits_leave_the_texts(spark):
         want = made[0][1] if i == 0 else f"{t}\n\n{t[::-1]}"
         assert got[i]["text"] == want and got[i]["n_chars"] == (7 if i == 0 else len(want))
     assert got[99]["text"] == made[-1][1] and got[99]["n_chars"] == 7
+
+
+LONG = 20_000_001
+
+
+def test_a_very_long_turn_is_formatted(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a")], "conv_id long, turn long, role string, text string")
+    rows.withColumn("text", F.when(F.col("turn") == 1, F.repeat(F.lit("a"), F.lit(LONG))).otherwise(F.col("text"))).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op9_chat_formatting(spark, str(tmp_path)).filter("conv_id = 1").first()
+    assert (got["n_turns"], got["loss_chars"]) == (2, LONG) and got["formatted_chars"] == LONG + 1 + 13 + 2 * 14
+
+
+def test_a_record_beyond_the_parsers_is_an_error(spark):
+    record = F.concat(F.lit('{"prompt": "q", "response": "'), F.repeat(F.lit("a"), F.lit(LONG)), F.lit('"}'))
+    with pytest.raises(Exception, match="does not parse"):
+        chat.format_chats(spark.range(1).select(record.alias("record"))).select("layout").collect()
