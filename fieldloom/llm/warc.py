@@ -9,6 +9,7 @@ is kept.
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import json
 import re
@@ -26,7 +27,7 @@ from .common import texts
 
 VERSION = "WARC/1.1"
 #: Elements whose content is no text of the page.
-HIDDEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)")
+HIDDEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)")
 TAG = re.compile(r"""(?s)<(/?)([A-Za-z][A-Za-z0-9-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<![^>]*>|<\?[^>]*>""")
 ATTRIBUTE = re.compile(r"""([A-Za-z_:][\w:.-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 #: Elements that begin a new line of text.
@@ -37,6 +38,11 @@ BLOCKS = frozenset(
 )
 #: (element, attribute) that hold a link, by the path it is listed under.
 LINKS = {"a": "href", "area": "href", "link": "href", "img": "src", "iframe": "src", "script": "src", "form": "action"}
+SCRIPT = re.compile(r"(?is)<script\b[^>]*>")
+#: Elements whose content is no text, but holds links.
+UNSHOWN = ("template", "noscript")
+#: What a page says of its own encoding, within its first bytes.
+META_CHARSET = re.compile(rb"""(?i)<meta\b[^>]*?charset\s*=\s*["']?\s*([\w.:-]+)""")
 BLANKS = re.compile(r"[^\S\n]+")
 COLUMNS = (
     "record_id string, record_type string, refers_to string, target_uri string, warc_date string, "
@@ -58,11 +64,44 @@ def record(headers: dict[str, str], block: bytes) -> bytes:
     return f"{VERSION}\r\n{lines}\r\n".encode() + block + b"\r\n\r\n"
 
 
-def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
+class Headers(list):
+    """(name, value) pairs in their order, repeated names included.
+
+    Looked up by name in any case, the first of a name is found.
+    """
+
+    @classmethod
+    def parse(cls, lines: list[str]) -> Headers:
+        found = cls()
+        for line in lines:
+            name, colon, value = line.partition(":")
+            if line[:1] in (" ", "\t") and found:
+                # A folded line goes on with the value before it.
+                found[-1] = (found[-1][0], f"{found[-1][1]} {line.strip()}".strip())
+            elif colon:
+                found.append((name.strip(), value.strip()))
+        return found
+
+    def get(self, name: str, default: str | None = None) -> str | None:
+        return next((v for k, v in self if k.lower() == name.lower()), default)
+
+    def __getitem__(self, name):  # noqa: ANN001, ANN204
+        if not isinstance(name, str):
+            return super().__getitem__(name)
+        if (value := self.get(name)) is None:
+            raise KeyError(name)
+        return value
+
+    def __contains__(self, name: object) -> bool:
+        return self.get(name) is not None if isinstance(name, str) else super().__contains__(name)
+
+
+def parse_record(raw: bytes) -> tuple[Headers, bytes]:
     """Headers and block of one record; the declared length bounds the block."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    headers = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
-    return headers, rest[: int(headers.get("Content-Length", len(rest)))]
+    headers = Headers.parse(head.decode("utf-8", "replace").split("\r\n")[1:])
+    length = headers.get("Content-Length", "")
+    return headers, rest[: int(length)] if re.fullmatch("[0-9]+", length) else rest
 
 
 def one_line(value: str) -> str:
@@ -89,19 +128,24 @@ def response(uri: str, html: str, date: str) -> bytes:
 
 def page(html: str, base: str) -> tuple[str, str, list[dict[str, str]]]:
     """Title, plain text and links of a page, in one pass over its tags."""
-    html = HIDDEN.sub(" ", html)
-    out, links, title, last, in_title = [], [], [], 0, False
+    html = HIDDEN.sub(_hidden, html)
+    out, links, title, last, in_title, unshown = [], [], [], 0, False, ""
     for m in TAG.finditer(html):
         piece = html[last : m.start()]
         last = m.end()
-        if piece:
+        if piece and not unshown:
             out.append(piece)
             if in_title:
                 title.append(piece)
         name = (m[2] or "").lower()
-        if name in BLOCKS:
+        if name in UNSHOWN and not unshown and not m[1]:
+            unshown = name
+            out.append(" ")
+        elif name == unshown and m[1]:
+            unshown = ""
+        if name in BLOCKS and not unshown:
             out.append("\n")
-        if name == "title":
+        if name == "title" and not unshown:
             in_title = not m[1]
         if not m[1] and name in LINKS:
             wanted = LINKS[name]
@@ -109,11 +153,34 @@ def page(html: str, base: str) -> tuple[str, str, list[dict[str, str]]]:
                 if a[1].lower() == wanted:
                     links.append({"path": f"{name.upper()}@/{wanted}", "url": resolved(base, unescape(a[2] or a[3] or a[4] or ""))})
                     break
-    out.append(html[last:])
+    if not unshown:
+        out.append(html[last:])
     lines = (BLANKS.sub(" ", x).strip() for x in unescape("".join(out)).split("\n"))
     return BLANKS.sub(" ", unescape("".join(title))).strip(), "\n".join(x for x in lines if x), links
 
 
+def _hidden(m: re.Match) -> str:
+    """What stays of a hidden element: a script's own tag, which may hold a link."""
+    tag = SCRIPT.match(m[0])
+    return f" {tag[0]}" if tag and TAG.fullmatch(tag[0]) else " "
+
+
+def decoded(payload: bytes, content_type: str) -> str:
+    """By the byte order mark, else the charset of the header, else of the page, else UTF-8."""
+    marks = ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
+    told = re.search(r"""(?i);\s*charset\s*=\s*["']?\s*([\w.:-]+)""", content_type)
+    inside = META_CHARSET.search(payload[:1024])
+    name = next((n for mark, n in marks if payload.startswith(mark)), None)
+    name = name or (told[1] if told else inside[1].decode("ascii", "replace") if inside else "utf-8")
+    if name.lower() in ("iso-8859-1", "latin1", "latin-1", "us-ascii", "ascii"):
+        # As browsers read these names.
+        name = "cp1252"
+    try:
+        return payload.decode(name, "replace")
+    except (LookupError, ValueError):
+        return payload.decode("utf-8", "replace")
+
+
 def resolved(base: str, url: str) -> str:
     try:
         return urljoin(base, url.strip()) if urlsplit(base).scheme else url.strip()
@@ -121,10 +188,10 @@ def resolved(base: str, url: str) -> str:
         return url.strip()
 
 
-def http_parts(block: bytes) -> tuple[str, dict[str, str], bytes]:
+def http_parts(block: bytes) -> tuple[str, Headers, bytes]:
     head, _, payload = block.partition(b"\r\n\r\n")
     status, *rest = head.decode("latin-1").split("\r\n")
-    return status, dict(x.split(": ", 1) for x in rest if ": " in x), payload
+    return status, Headers.parse(rest), payload
 
 
 def derive(raw: bytes) -> list[tuple[dict[str, str], bytes]]:
@@ -132,7 +199,7 @@ def derive(raw: bytes) -> list[tuple[dict[str, str], bytes]]:
     source, block = parse_record(raw)
     status, http, payload = http_parts(block)
     uri, date, origin = (source.get(k, "") for k in ("WARC-Target-URI", "WARC-Date", "WARC-Record-ID"))
-    title, text, links = page(payload.decode("utf-8", "replace"), uri)
+    title, text, links = page(decoded(payload, http.get("Content-Type", "")), uri)
     conversion = text.encode("utf-8", "replace")
     told = {
         "Envelope": {

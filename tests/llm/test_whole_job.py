@@ -1,6 +1,7 @@
 """Cases in which an operator once did less than its whole job."""
 
 import collections
+import json
 import zlib
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fieldloom.llm import chat, lm, queries
+from fieldloom.llm import chat, lm, queries, warc
 
 
 def plain_losses(made):
@@ -79,3 +80,17 @@ def test_a_record_beyond_the_parsers_is_an_error(spark):
     record = F.concat(F.lit('{"prompt": "q", "response": "'), F.repeat(F.lit("a"), F.lit(LONG)), F.lit('"}'))
     with pytest.raises(Exception, match="does not parse"):
         chat.format_chats(spark.range(1).select(record.alias("record"))).select("layout").collect()
+
+
+def test_warc_keeps_all_headers_links_and_the_charset():
+    page = "<title>caf\u00e9</title><script src='/s.js'>document.write(\"<a href='no'>\")</script><!-- <a href='no'> --><noscript>hidden<img src=i.png></noscript><p>x".encode("cp1252")
+    block = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nset-cookie:b=2\r\nContent-type:text/html; charset=ISO-8859-1\r\n\r\n" + page
+    head = f"WARC/1.1\r\nWARC-Type:response\r\nWARC-Target-URI: http://a.b/\r\nWARC-Concurrent-To: <x>\r\nWARC-Concurrent-To: <y>\r\ncontent-length:{len(block)}\r\n\r\n"
+    (_, metadata), (_, text) = warc.derive(head.encode() + block + b"\r\n\r\n")
+    told = json.loads(metadata)["Envelope"]
+    http = told["Payload-Metadata"]["HTTP-Response-Metadata"]
+    assert told["Actual-Content-Length"] == len(block)
+    assert [v for k, v in told["WARC-Header-Metadata"] if k == "WARC-Concurrent-To"] == ["<x>", "<y>"]
+    assert http["Headers"][:2] == [["Set-Cookie", "a=1"], ["set-cookie", "b=2"]]
+    assert http["HTML-Metadata"] == {"Title": "caf\u00e9", "Links": [{"path": "SCRIPT@/src", "url": "http://a.b/s.js"}, {"path": "IMG@/src", "url": "http://a.b/i.png"}]}
+    assert text.decode() == "caf\u00e9\nx"
