@@ -75,27 +75,43 @@ def fingerprint(paths: Column) -> Column:
     return F.substring(F.sha2(F.array_join(F.array_sort(F.array_distinct(paths)), "\n"), 256), 1, 16)
 
 
+#: Of a schema in words: a field's name, an opening of an object or list, a closing.
+SCHEMA_PIECE = r"(`(?:[^`]|``)*`|[^\s<>,:`]+): |OBJECT<|ARRAY<|>"
+
+
 def field_paths(record: Column) -> Column:
-    """Nested field paths of a JSON object: two levels of objects, objects in lists.
+    """Nested field paths of a JSON object, however deep; a list is marked ``[]``.
 
-    A list's own paths are those of all its objects together. Null, or text that is
-    no object, has none.
+    A list's own paths are those of all its elements together. Null, or text that is
+    no object, has none; below a list that mixes objects with other values there are none.
     """
-    root = F.try_variant_get(F.try_parse_json(record), "$", "map<string,variant>")
+    schema = F.schema_of_variant(F.try_parse_json(record))
+    pieces = F.regexp_extract_all(schema, F.lit(SCHEMA_PIECE), F.lit(0))
+    # ``at`` is the path of the value that is read, ``open`` that of each open bracket.
+    state = "struct<at:string,open:array<string>,paths:array<string>>"
+    start = F.struct(F.lit("").alias("at"), F.array().alias("open"), F.array().alias("paths")).cast(state)
+
+    def step(s: Column, piece: Column) -> Column:
+        prefix = F.coalesce(F.element_at(s["open"], -1), F.lit(""))
+        told = F.regexp_replace(piece, ": $", "")
+        quoted = F.replace(F.substr(told, F.lit(2), F.length(told) - 2), F.lit("``"), F.lit("`"))
+        name = F.when(F.startswith(told, F.lit("`")), quoted).otherwise(told)
+        path = F.concat(prefix, name)
+        listed = F.concat(s["at"], F.lit("[]"))
+        inside = F.when(s["at"] == "", "").otherwise(F.concat(s["at"], F.lit(".")))
+        return (
+            F.when(piece == ">", _state(prefix, F.slice(s["open"], 1, F.greatest(F.size(s["open"]) - 1, F.lit(0))), s["paths"]))
+            .when(piece == "ARRAY<", _state(listed, F.array_append(s["open"], prefix), s["paths"]))
+            .when(piece == "OBJECT<", _state(s["at"], F.array_append(s["open"], inside), s["paths"]))
+            .otherwise(_state(path, s["open"], F.array_append(s["paths"], path)))
+        )
 
-    def inside(value: Column, prefix: Column) -> Column:
-        found = F.map_keys(F.coalesce(F.try_variant_get(value, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>")))
-        return F.transform(found, lambda k: F.concat(prefix, k))
+    found = F.aggregate(pieces, start, step)["paths"]
+    return F.when(F.startswith(schema, F.lit("OBJECT<")), found).otherwise(F.array().cast("array<string>"))
 
-    def below(key: Column, value: Column) -> Column:
-        elements = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))
-        listed = F.flatten(F.transform(elements, lambda e: inside(e, F.concat(key, F.lit("[].")))))
-        return F.concat(F.array(key), inside(value, F.concat(key, F.lit("."))), listed)
 
-    entries = F.map_entries(root)
-    return F.coalesce(
-        F.flatten(F.transform(entries, lambda e: below(e["key"], e["value"]))), F.array().cast("array<string>")
-    )
+def _state(at: Column, opened: Column, paths: Column) -> Column:
+    return F.struct(at.alias("at"), opened.alias("open"), paths.alias("paths"))
 
 
 def _turns(record: Column, m: Mapping) -> Column:
@@ -156,10 +172,12 @@ def unescape(text: Column) -> Column:
 
 
 def render(df: DataFrame, turns: str = "turns", learned: str = "assistant") -> DataFrame:
-    """Adds ``formatted`` and ``loss_mask``, the learned turns' (first, chars) spans in it.
+    """Adds ``formatted`` and ``loss_mask``, a span for each turn.
 
-    A turn is ``### role:``, a new line, its text and ``</turn>`` with a new line.
-    ``first`` counts code points from 1. Null turns give an empty text.
+    A turn is ``### role:``, a new line, its text and ``</turn>`` with a new line. A
+    span says how many code points the turn is ``of``, and where in it the learned
+    text begins (from 1) and how long it is; a turn that is not learned has null there.
+    Null turns give an empty text. The time is linear in turns and text.
     """
     empty = F.array().cast(TURNS)
     written = F.transform(
@@ -170,24 +188,20 @@ def render(df: DataFrame, turns: str = "turns", learned: str = "assistant") -> D
             (F.coalesce(t["role"], F.lit("")) == learned).alias("learned"),
         ),
     )
-    df = df.withColumn("_written", written)
-    # Positions grow along the turns: one pass with the end so far as its state.
-    state = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<first:int,chars:int>>").alias("spans"))
 
-    def step(s: Column, t: Column) -> Column:
-        body_at = s["at"] + F.length(t["head"])
-        span = F.struct(body_at.alias("first"), F.length(t["body"]).alias("chars"))
+    def span(t: Column) -> Column:
         return F.struct(
-            (body_at + F.length(t["body"]) + len(CLOSE)).alias("at"),
-            F.when(t["learned"], F.array_append(s["spans"], span)).otherwise(s["spans"]).alias("spans"),
+            (F.length(t["head"]) + F.length(t["body"]) + len(CLOSE)).alias("of"),
+            F.when(t["learned"], F.length(t["head"]) + 1).alias("first"),
+            F.when(t["learned"], F.length(t["body"])).alias("chars"),
         )
 
-    return df.withColumns(
+    return df.withColumn("_written", written).withColumns(
         {
             "formatted": F.array_join(
                 F.transform("_written", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), ""
             ),
-            "loss_mask": F.aggregate("_written", state, step)["spans"],
+            "loss_mask": F.transform("_written", span),
         }
     ).drop("_written")
 
@@ -203,8 +217,9 @@ def read_back(df: DataFrame) -> DataFrame:
             unescape(F.substr(p, F.length(role) + len(MIDDLE) + 1)).alias("text"),
         )
 
-    masked = F.transform("loss_mask", lambda s: unescape(F.substr(F.col("formatted"), s["first"], s["chars"])))
-    return df.withColumns({"read_turns": F.transform(pieces, turn), "loss_texts": masked})
+    # Each turn is cut by its own span: no text is searched from its beginning twice.
+    masked = F.zip_with(pieces, "loss_mask", lambda p, s: unescape(F.substr(p, s["first"], s["chars"])))
+    return df.withColumns({"read_turns": F.transform(pieces, turn), "loss_texts": F.filter(masked, lambda x: x.isNotNull())})
 
 
 def format_chats(records: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
@@ -234,22 +249,44 @@ def as_records(rows: DataFrame, key: str = "conv_id", order: str = "turn") -> Da
     return rows.groupBy(key).agg(ordered.alias("messages")).select(key, F.to_json(F.struct("messages")).alias("record"))
 
 
-def as_turns(rows: DataFrame, key: str = "conv_id", order: str = "turn", mapping: Mapping = MAPPINGS[0]) -> DataFrame:
+#: Layouts of tables with a turn in each row: beside the order, who speaks and what.
+ROW_MAPPINGS = (
+    Mapping("turn_rows", ("role", "text"), text_field="text"),
+    Mapping("message_rows", ("content", "role")),
+    Mapping("shared_turn_rows", ("from", "value"), role_field="from", text_field="value", roles=(("human", "user"), ("gpt", "assistant"))),
+)
+
+
+def as_turns(rows: DataFrame, key: str = "conv_id", order: str = "turn", mappings: tuple[Mapping, ...] = ROW_MAPPINGS) -> DataFrame:
     """Rows of single turns as one row of ``turns`` for each conversation, ready to render.
 
-    Rows as ``as_records`` orders them, under their declared layout: no JSON is written
-    or parsed, so that no length of a text or a conversation changes the layout.
+    The fingerprint of the rows' fields, taken of a record that has them without their
+    values, selects the mapping; of other columns those that some mapping names count.
+    Unknown fields give a null ``layout`` and null ``turns``. No text is written to JSON
+    or parsed, so no length of a text or a conversation changes the layout. Rows are
+    ordered as ``as_records`` orders them; those without a key are one conversation.
     """
-    turn = F.struct(
-        F.col(order).alias("at"),
-        F.coalesce("role", F.lit("")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    )
+    named = {f for m in mappings for f in m.paths}
+    skeleton = F.to_json(F.struct(*(F.lit("").alias(c) for c in rows.columns if c in named)))
+    found = fingerprint(field_paths(skeleton))
+    role, text, layout = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
+    for m in mappings:
+        if not set(m.paths) <= set(rows.columns):
+            continue
+        own = found == fingerprint(F.array(*map(F.lit, m.paths)))
+        said = F.coalesce(F.col(m.role_field), F.lit(""))
+        for source, target in m.roles:
+            said = F.when(said == source, target).otherwise(said)
+        role = F.when(own, said).otherwise(role)
+        text = F.when(own, F.coalesce(F.col(m.text_field), F.lit(""))).otherwise(text)
+        layout = F.when(own, m.name).otherwise(layout)
+    turn = F.struct(F.col(order).alias("at"), role.alias("role"), text.alias("text"))
     ordered = F.transform(
         F.array_sort(F.collect_list(turn)), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))
     )
-    return rows.groupBy(key).agg(ordered.cast(TURNS).alias("turns")).select(
-        key, fingerprint(F.array(*map(F.lit, mapping.paths))).alias("layout_hash"), F.lit(mapping.name).alias("layout"), "turns"
+    done = rows.groupBy(key).agg(ordered.cast(TURNS).alias("turns"))
+    return done.select(
+        key, found.alias("layout_hash"), layout.alias("layout"), F.when(layout.isNotNull(), F.col("turns")).alias("turns")
     )
 
 
