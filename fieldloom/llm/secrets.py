@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns, and formats learned by grammar inference.
 
 Labelled credentials of one format become a prefix tree of character classes. States
-whose futures are statistically compatible (Hoeffding bound, as in ALERGIA) are merged
-into a probabilistic automaton. Every candidate token of a text is scored by the best
-automaton's log-likelihood per character, against that of the same characters in
-plain words; what is likelier as a credential is a span of kind ``format``.
+whose futures are statistically compatible (Hoeffding bounds, as in ALERGIA, on what
+follows and on how much follows) are merged into a probabilistic automaton, whose
+states tell how far a token has come. Every candidate token of a text is scored by the
+best automaton's log-likelihood, its end included, against that of the same characters
+in plain words; what is likelier as a credential is a span of kind ``format``.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts
+from .common import discard, stored, texts
 
 #: The base patterns, in the order in which kinds are listed.
 ASSIGN = re.compile(
@@ -28,8 +29,8 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "format")
-#: Tokens that are scored by the automata.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{12,}")
+#: Tokens that are scored by the automata: all of them.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{8,}")
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 Span = tuple[int, int, str]
@@ -72,24 +73,29 @@ CLASS_SIZE = {"d": 10, "h": 6, "l": 20, "H": 6, "L": 20}
 
 
 class State:
-    __slots__ = ("stops", "visits", "next")
+    __slots__ = ("stops", "visits", "next", "rest")
 
     def __init__(self) -> None:
         self.stops, self.visits = 0, 0
-        #: symbol → [count, target]
+        #: symbol → [count, target, characters]
         self.next: dict[str, list] = {}
+        #: characters that are still to come → samples
+        self.rest: Counter = Counter()
 
 
-def prefix_tree(samples: list[str], depth: int) -> State:
+def prefix_tree(samples: list[str]) -> State:
     root = State()
     for sample in samples:
         state = root
-        for c in map(symbol, sample[:depth]):
+        for i, c in enumerate(sample):
             state.visits += 1
-            edge = state.next.setdefault(c, [0, State()])
+            state.rest[len(sample) - i] += 1
+            edge = state.next.setdefault(symbol(c), [0, State(), Counter()])
             edge[0] += 1
+            edge[2][c] += 1
             state = edge[1]
         state.visits += 1
+        state.rest[0] += 1
         state.stops += 1
     return root
 
@@ -98,8 +104,19 @@ def _differ(f1: int, n1: int, f2: int, n2: int, bound: float) -> bool:
     return abs(f1 / n1 - f2 / n2) > bound * (n1**-0.5 + n2**-0.5)
 
 
+def apart(a: State, b: State) -> float:
+    """The largest difference of the shares that have no more than some length to come."""
+    gap = total = 0.0
+    for k in sorted(a.rest.keys() | b.rest.keys()):
+        total += a.rest[k] / a.visits - b.rest[k] / b.visits
+        gap = max(gap, abs(total))
+    return gap
+
+
 def compatible(a: State, b: State, bound: float) -> bool:
     """Whether the same future may follow both states, to the end of the smaller tree."""
+    if apart(a, b) > bound * (a.visits**-0.5 + b.visits**-0.5):
+        return False
     work = [(a, b)]
     while work:
         a, b = work.pop()
@@ -123,21 +140,24 @@ def fold(into: State, state: State) -> None:
         into, state = work.pop()
         into.stops += state.stops
         into.visits += state.visits
-        for c, (n, target) in state.next.items():
+        into.rest.update(state.rest)
+        for c, (n, target, chars) in state.next.items():
             if c in into.next:
                 into.next[c][0] += n
+                into.next[c][2].update(chars)
                 work.append((into.next[c][1], target))
             else:
-                into.next[c] = [n, target]
+                into.next[c] = [n, target, Counter(chars)]
 
 
-def infer(samples: list[str], alpha: float = 0.05, depth: int = 64) -> Automaton:
+def infer(samples: list[str], alpha: float = 0.05) -> Automaton:
     """A probabilistic automaton of the samples' format, as plain numbers.
 
-    ``alpha`` is the merge test's error; samples count to ``depth`` characters here,
-    and the last state's edges lead on for longer tokens.
+    ``alpha`` is the merge test's error. A state is merged into the compatible one
+    whose lengths still to come are most alike, the more visited of equal ones.
     """
-    root = prefix_tree(samples, depth)
+    root = prefix_tree(samples)
+    alphabet = sorted({symbol(c) for sample in samples for c in sample})
     bound = math.sqrt(0.5 * math.log(2 / alpha))
     red, blue = [root], [(root, c) for c in sorted(root.next)]
     while blue:
@@ -145,7 +165,8 @@ def infer(samples: list[str], alpha: float = 0.05, depth: int = 64) -> Automaton
         blue.sort(key=lambda e: (-e[0].next[e[1]][1].visits, e[1]))
         parent, c = blue.pop(0)
         state = parent.next[c][1]
-        home = next((r for r in red if compatible(r, state, bound)), None)
+        near = sorted((apart(r, state), -r.visits, i) for i, r in enumerate(red))
+        home = next((red[i] for _, _, i in near if compatible(red[i], state, bound)), None)
         if home is not None:
             parent.next[c][1] = home
             fold(home, state)
@@ -154,30 +175,50 @@ def infer(samples: list[str], alpha: float = 0.05, depth: int = 64) -> Automaton
         known = {id(r) for r in red}
         blue = [(r, x) for r in red for x in sorted(r.next) if id(r.next[x][1]) not in known]
     number = {id(r): i for i, r in enumerate(red)}
-    edges: list[dict[str, tuple[float, int]]] = []
-    for r in red:
-        total = r.visits + 1.0
-        edges.append(
-            {c: (math.log(n / total / CLASS_SIZE.get(c, 1)), number[id(t)]) for c, (n, t) in sorted(r.next.items())}
-        )
-    return {"edges": edges, "states": len(red), "samples": len(samples)}
+    return {
+        "edges": [_emissions(r, alphabet, number) for r in red],
+        "stop": [math.log((r.stops + 0.01) / (r.visits + 1.01)) for r in red],
+        "states": len(red),
+        "samples": len(samples),
+    }
 
 
-#: Of a symbol that a state never saw, each character.
-UNSEEN = math.log(1e-4)
+def _emissions(state: State, alphabet: list[str], number: dict[int, int]) -> dict[str, tuple[float, int]]:
+    """Character → (log-likelihood, next state), for all of the format's classes.
+
+    A class that the state never saw shares one sample with the other classes, and
+    leads where most samples went; a character shares one with those of its class.
+    """
+    out: dict[str, tuple[float, int]] = {}
+    if not state.next:
+        return out
+    main = number[id(max(state.next.values(), key=lambda e: e[0])[1])]
+    for c in alphabet:
+        n, target, chars = state.next.get(c, (0, None, {}))
+        of_class = math.log((n + 1 / len(alphabet)) / (state.visits + 1.01))
+        for x in CHARACTERS.get(c, c):
+            share = (chars.get(x, 0) + 1 / CLASS_SIZE.get(c, 1)) / (n + 1)
+            out[x] = (of_class + math.log(share), main if target is None else number[id(target)])
+    return out
+
+
+CHARACTERS = {"d": "0123456789", "h": "abcdef", "l": "ghijklmnopqrstuvwxyz", "H": "ABCDEF", "L": "GHIJKLMNOPQRSTUVWXYZ"}
 
 
 def likelihood(automaton: Automaton, token: str) -> float:
-    """Log-likelihood of a token per character; unseen symbols keep the state."""
+    """Log-likelihood of a token and its end, per character; -inf of what is no such format."""
     edges, state, total = automaton["edges"], 0, 0.0
     for c in token:
-        edge = edges[state].get(symbol(c))
+        edge = edges[state].get(c)
         if edge is None:
-            total += UNSEEN
-        else:
-            total += edge[0]
-            state = edge[1]
-    return total / len(token)
+            return -math.inf
+        total += edge[0]
+        state = edge[1]
+    return (total + automaton["stop"][state]) / len(token)
+
+
+#: Of a pair of characters that plain words never have.
+UNSEEN = math.log(1e-4)
 
 
 def plain_model(counts: dict[str, int]) -> dict[str, float]:
@@ -201,18 +242,32 @@ def plain_likelihood(model: dict[str, float], token: str) -> float:
 # --- over tables -------------------------------------------------------------------
 
 
+#: Credentials of a format that an automaton takes, and their characters at most.
+FEWEST, LONGEST = 20, 512
+
+
+def alphabet_of(value: str) -> str:
+    """The format's name: which of digits, letters by case and signs a credential uses."""
+    found = {symbol(c) for c in value}
+    signs = "".join(sorted(c for c in found if c not in CLASS_SIZE))
+    lower = "lower" if "l" in found else "hex" if "h" in found else ""
+    upper = "UPPER" if "L" in found else "HEX" if "H" in found else ""
+    return "-".join(x for x in ("digits" * ("d" in found), lower, upper, signs) if x)
+
+
 def labelled_credentials(docs: DataFrame, text: str = "text", each: int = 2000) -> dict[str, list[str]]:
-    """At most ``each`` distinct credentials of each base kind: those with least hash.
+    """At most ``each`` distinct credentials of each base kind, by format.
 
-    The labels are the base patterns' kinds. The bound is on what the automata are
-    fitted to; nothing else is sampled.
+    The labels are the base patterns' kinds; of each, the credentials with least hash
+    are taken, of up to LONGEST characters, whole. The bounds are on what the automata
+    are fitted to; nothing else is sampled.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best: dict[tuple[str, str], None] = {}
             for t in texts(batch.column(0)):
-                best.update({(s[2], credential(t, s)[:256]): None for s in base_spans(t)})
+                best.update({(s[2], v): None for s in base_spans(t) if len(v := credential(t, s)) <= LONGEST})
             if best:
                 kinds, values = zip(*best)
                 yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(values)], ["kind", "value"])
@@ -223,7 +278,11 @@ def labelled_credentials(docs: DataFrame, text: str = "text", each: int = 2000)
         found.filter(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(each) for k in KINDS[:3]
     ]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).collect()
-    return {k: sorted(r["value"] for r in rows if r["kind"] == k) for k in KINDS[:3]}
+    discard(found)
+    formats: dict[str, list[str]] = {}
+    for value in sorted({r["value"] for r in rows}):
+        formats.setdefault(alphabet_of(value), []).append(value)
+    return {k: v for k, v in sorted(formats.items()) if len(v) >= FEWEST}
 
 
 def plain_pairs(docs: DataFrame, text: str = "text") -> dict[str, int]:
@@ -246,26 +305,51 @@ def plain_pairs(docs: DataFrame, text: str = "text") -> dict[str, int]:
     return {chr(p // 128) + chr(p % 128): n for p, n in rows if p % 128 != 32}
 
 
-def learn(docs: DataFrame, text: str = "text", each: int = 2000, alpha: float = 0.05) -> dict:
+#: Errors of the merge test that are tried; a small one merges more.
+ALPHAS = (0.0001, 0.01, 0.3)
+
+
+def fitted(samples: list[str]) -> Automaton:
+    """The automaton whose merge test gives held-out samples the best mean likelihood.
+
+    Every fifth sample by hash is held out; the automaton is then fitted to all.
+    """
+    order = sorted(samples, key=lambda x: hashlib.sha256(x.encode()).digest())
+    held, rest = order[::5], [x for i, x in enumerate(order) if i % 5]
+
+    def mean(alpha: float) -> float:
+        automaton = infer(rest, alpha)
+        return sum(max(likelihood(automaton, x), 10 * UNSEEN) for x in held) / len(held)
+
+    return infer(samples, max(ALPHAS, key=mean))
+
+
+def learn(docs: DataFrame, text: str = "text", each: int = 2000) -> dict:
     """The automata of all labelled formats and the model of plain words."""
-    samples = labelled_credentials(docs, text, each)
-    automata = {k: infer(v, alpha) for k, v in samples.items() if v}
-    return {"automata": automata, "plain": plain_model(plain_pairs(docs, text))}
+    formats = labelled_credentials(docs, text, each)
+    return {"automata": {k: fitted(v) for k, v in formats.items()}, "plain": plain_model(plain_pairs(docs, text))}
 
 
 def learned_spans(text: str, model: dict, taken: list[Span], margin: float) -> list[Span]:
-    """Candidates apart from ``taken`` that some format explains better by ``margin``."""
-    found = []
+    """Candidates that some format explains better by ``margin``, a character on average.
+
+    A token that lies in one of the ``taken`` spans, sorted by start, is one already.
+    Every other is scored whole.
+    """
+    found, plain, automata = [], model["plain"], list(model["automata"].values())
+    next_taken, reach = 0, 0
     for m in CANDIDATE.finditer(text):
+        start, end = m.span()
+        while next_taken < len(taken) and taken[next_taken][0] <= start:
+            reach = max(reach, taken[next_taken][1])
+            next_taken += 1
+        # A full stop or dash at the end belongs to the sentence.
         token = m[0].rstrip(".-")
-        # Of plain words and numbers there is nothing to tell: a format mixes them.
-        if len(token) < 12 or token.isalpha() or not any("0" <= c <= "9" for c in token):
+        end = start + len(token)
+        if not token or end <= reach:
             continue
-        start, end = m.start(), m.start() + len(token)
-        if any(a < end and start < b for a, b, _ in taken) or token.isdigit() or token.count(".") > 2:
-            continue
-        best = max((likelihood(a, token) for a in model["automata"].values()), default=-math.inf)
-        if best - plain_likelihood(model["plain"], token) > margin:
+        best = max((likelihood(a, token) for a in automata), default=-math.inf)
+        if best > -math.inf and best - plain_likelihood(plain, token) > margin:
             found.append((start, end, "format"))
     return found
 
@@ -274,7 +358,7 @@ def find_secrets(docs: DataFrame, model: dict, text: str = "text", margin: float
     """``docs`` with ``secrets``: (kind, start, end), by start, then kind as listed.
 
     Offsets are code points, the end exclusive. The spans of the base patterns are
-    always there; ``format`` spans overlap none. A null text is empty and has none.
+    always there; ``format`` spans lie in none of them. A null text is empty and has none.
     One row for each row of ``docs``; a column ``secrets`` is replaced. Whole texts
     are scanned, one at a time.
     """
@@ -295,22 +379,28 @@ def find_secrets(docs: DataFrame, model: dict, text: str = "text", margin: float
     return docs.mapInArrow(scan, schema)
 
 
+def redacted(text: str, spans: list[dict]) -> str:
+    """``text`` with ``[SECRET]`` for each run of overlapping spans, which are sorted by start."""
+    out, at = [], 0
+    for span in spans:
+        if span["start"] >= at:
+            out += [text[at : span["start"]], "[SECRET]"]
+        at = max(at, span["end"])
+    return "".join([*out, text[at:]])
+
+
 def redact(docs: DataFrame, text: str = "text", secrets: str = "secrets") -> DataFrame:
     """Puts ``[SECRET]`` for each run of overlapping spans in the text."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    piece = "struct<at:int,out:string>"
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(piece)
-
-    def step(s, x):  # noqa: ANN001, ANN202
-        apart = F.concat(s["out"], F.substr(whole, s["at"] + 1, x["start"] - s["at"]), F.lit("[SECRET]"))
-        return F.struct(
-            F.greatest(s["at"], x["end"]).alias("at"),
-            F.when(x["start"] >= s["at"], apart).otherwise(s["out"]).alias("out"),
-        )
-
-    done = F.aggregate(secrets, state, step)
-    rest = F.concat(done["out"], F.substr(whole, done["at"] + 1, F.length(whole)))
-    return docs.withColumn(text, F.when(F.size(secrets) > 0, rest).otherwise(F.col(text)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            column = batch.column(at)
+            spans = batch.column(batch.schema.get_field_index(secrets)).to_pylist()
+            made = [t if not s else redacted(t, s) for t, s in zip(column.to_pylist(), spans)]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(made, column.type))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def joined(spans: str, base_only: bool):  # noqa: ANN201
