@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import discard, stored, texts
 
 BITS = 18
 #: Training documents that a feature needs.
@@ -33,7 +33,7 @@ SPANS = "array<struct<start:int,end:int,score:float>>"
 
 def features(word: str) -> list[int]:
     """Hashed ids of a word, and of its first and last 3 to 6 characters."""
-    marked = f"<{word[:40]}>"
+    marked = f"<{word}>"
     grams = {marked} | {x for n in (4, 5, 6, 7) for x in (marked[:n], marked[-n:])}
     return [zlib.crc32(g.encode("utf-8", "replace")) >> (32 - BITS) for g in sorted(grams)]
 
@@ -152,8 +152,10 @@ def training_rows(
 ) -> list[tuple[str, int]]:
     """At most ``each`` labelled texts of each class, those whose keys hash least.
 
-    Rows are held out by key (see ``held_out``). ``chars`` bounds the text taken from
-    all of them: texts are taken whole, in hash order, as long as they fit.
+    Rows are held out by key (see ``held_out``). A key that is repeated stands for its
+    text of least hash, and is toxic if any of its labels is. ``chars`` bounds the text
+    of each class: texts are taken whole, in hash order; one that does not fit is left
+    out and the next is tried. A class of which no text fits is an error.
     """
     known = (
         labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key)))
@@ -162,27 +164,32 @@ def training_rows(
     )
     parts = [known.filter(F.col("_label") == c).orderBy(F.xxhash64(key), key).limit(each) for c in (0, 1)]
     chosen = parts[0].unionByName(parts[1]).select(F.col(key).alias("_key"), "_label")
-    # At most twice ``each`` ids: a proven bound.
+    # At most twice ``each`` ids: a proven bound. Repeated rows of an id meet in pieces.
     rows = (
         docs.join(F.broadcast(chosen), F.col(key) == F.col("_key"))
-        .select("_key", "_label", text, F.length(text).alias("_size"))
         .filter(F.col(text).isNotNull())
+        .groupBy("_key", "_label")
+        .agg(F.min(F.struct(F.xxhash64(text).alias("h"), F.col(text).alias("t"))).alias("_least"))
+        .select("_key", "_label", F.col("_least.t").alias("_text"))
     )
-    near = F.sum("_size").over(_by_hash())
-    rows = rows.withColumn("_so_far", near).filter(F.col("_so_far") <= chars)
-    found = rows.select("_key", "_label", text).dropDuplicates(["_key"]).collect()
-    return [(r[text], r["_label"]) for r in sorted(found, key=lambda r: r["_key"])]
-
-
-def _by_hash():  # noqa: ANN202
-    from pyspark.sql import Window
-
-    # Over the chosen rows only, of which there are at most twice ``each``.
-    return Window.partitionBy("_label").orderBy(F.xxhash64("_key"), "_key").rowsBetween(Window.unboundedPreceding, 0)
+    rows = stored(rows.withColumns({"_size": F.length("_text"), "_order": F.xxhash64("_key")}), "labelled")
+    room, taken = {0: chars, 1: chars}, []
+    found = rows.select("_order", "_key", "_label", "_size").collect()
+    for r in sorted(found):
+        if r["_size"] <= room[r["_label"]]:
+            room[r["_label"]] -= r["_size"]
+            taken.append(r["_key"])
+    for c in (0, 1):
+        if room[c] == chars and any(r["_label"] == c and r["_size"] for r in found):
+            raise ValueError(f"no labelled text of class {c} has at most {chars} characters")
+    texts_of = {r["_key"]: (r["_text"], r["_label"]) for r in rows.filter(F.col("_key").isin(taken)).collect()}
+    discard(rows)
+    return [texts_of[k] for k in sorted(taken)]
 
 
 def held_out(key):  # noqa: ANN001, ANN201
-    return F.crc32(key.cast("string").cast("binary")) % 5 == 0
+    """Whether a row's labels are never learned by this rule; a null key has no labels, and is not."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def fit(
