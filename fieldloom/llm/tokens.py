@@ -27,8 +27,8 @@ from .common import texts
 NO_RANK = np.iinfo(np.int64).max
 #: Pre-tokens whose counts a worker remembers; past that it starts anew.
 KNOWN = 600_000
-#: Texts whose new pre-tokens are merged together.
-TEXTS = 256
+#: Texts whose new pre-tokens are merged together, and their characters, or one longer.
+TEXTS, CHARS = 256, 4_000_000
 #: By pre-token pattern: one for ``re`` that cuts texts without odd characters alike.
 QUICK = {
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+": (
@@ -143,6 +143,18 @@ def odd_characters() -> str:
     return "[" + "".join(f"\\U{r[0]:08x}-\\U{r[-1]:08x}" for r in runs) + "]"
 
 
+def parts(batch: list[str]) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of at most TEXTS texts and CHARS characters; a longer text is alone."""
+    first = size = 0
+    for i, t in enumerate(batch):
+        if i > first and (i - first == TEXTS or size + len(t) > CHARS):
+            yield first, i
+            first, size = i, 0
+        size += len(t)
+    if first < len(batch):
+        yield first, len(batch)
+
+
 class Counter:
     """Counts tokens of texts, remembering the pre-tokens it has met."""
 
@@ -166,16 +178,16 @@ class Counter:
 
     def __call__(self, batch: list[str]) -> list[int]:
         out = np.zeros(len(batch), np.int64)
-        for i in range(0, len(batch), TEXTS):
+        for i, end in parts(batch):
             if len(self.known) > KNOWN:
                 self.known, self.sizes = Ids(), self.sizes[:0]
-            found = [self.pieces(t) for t in batch[i : i + TEXTS]]
+            found = [self.pieces(t) for t in batch[i:end]]
             ids = np.fromiter(map(self.known.__getitem__, chain.from_iterable(p for p, _ in found)), np.int64)
             new = [p.encode() for p in islice(self.known, len(self.sizes), None)]
             self.sizes = np.r_[self.sizes, self.table.counts(new)]
             sizes = np.r_[0, np.cumsum(self.sizes[ids])]
             ends = np.cumsum([len(p) for p, _ in found])
-            out[i : i + TEXTS] = np.diff(np.r_[0, sizes[ends]]) + [n for _, n in found]
+            out[i:end] = np.diff(np.r_[0, sizes[ends]]) + [n for _, n in found]
         return out.tolist()
 
 
@@ -187,7 +199,8 @@ def token_counts(docs: DataFrame, vocabulary: str, pattern: str, text: str = "te
     inside a text are one token each, as the file's library counts them; none are
     added. One row for each row of ``docs``; columns of the same name as an added one
     are replaced. A null text is empty: no bytes, no tokens. Whole texts are counted;
-    a batch holds as many rows as arrow gives it, its merges ``TEXTS`` texts at a time.
+    a batch holds as many rows as arrow gives it, its merges ``TEXTS`` texts and ``CHARS``
+    characters at a time.
     """
     added = ["n_bytes", "n_tokens", "over_limit"]
     kept = docs.drop(*(c for c in added if c != text))
