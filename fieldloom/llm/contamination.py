@@ -11,16 +11,16 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
+from itertools import chain, repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import raw_texts, stored
+from .common import discard, raw_texts, stored
 
 WINDOW = 13
 #: Item words in one block of the benchmark; a block is broadcast, blocks run in turn.
@@ -86,23 +86,60 @@ class Block:
         return found
 
 
-def read_blocks(items: DataFrame, key: str, text: str, block_words: int) -> Iterator[Block]:
-    """The benchmark in blocks of bounded size, streamed partition by partition."""
+def read_blocks(items: DataFrame, key: str, text: str, block_words: int, window: int, unnamed: bool) -> Iterator[Block]:
+    """The benchmark in blocks of bounded size, streamed partition by partition.
+
+    A longer item is cut into pieces that share ``window`` - 1 words: no window is lost.
+    """
     ids, held, size = [], [], 0
     for row in items.select(F.col(key).cast("string"), F.col(text)).toLocalIterator():
         words = item_words((row[1] or "").encode())
-        if not words or row[0] is None:
+        if not words or (row[0] is None and not unnamed):
             continue
-        ids.append(row[0])
-        held.append(words)
-        size += len(words)
-        if size >= block_words:
-            yield Block(ids, held)
-            ids, held, size = [], [], 0
+        step = max(block_words - window + 1, 1)
+        for start in range(0, max(len(words) - window + 1, 1), step):
+            piece = words[start : start + step + window - 1]
+            ids.append(row[0])
+            held.append(piece)
+            size += len(piece)
+            if size >= block_words:
+                yield Block(ids, held)
+                ids, held, size = [], [], 0
     if ids:
         yield Block(ids, held)
 
 
+def word_frequency(docs: DataFrame, text: str) -> DataFrame:
+    """(word, n): documents that hold each word, in one scan; for benchmarks of many blocks."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for batch in batches:
+            for raw in raw_texts(batch.column(0)):
+                total.update(set(item_words(raw)))
+            # Words are sent before they fill a worker.
+            if len(total) > MOST_WORDS:
+                yield _counted(total)
+                total.clear()
+        yield _counted(total)
+
+    return docs.select(text).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+MOST_WORDS = 1_000_000
+
+
+def _counted(total: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+
+
+def frequency_of(block: Block, counted: DataFrame) -> dict[bytes, int]:
+    """What ``word_frequency`` counted of a block's words, of which there are at most BLOCK_WORDS."""
+    spark = counted.sparkSession
+    own = spark.createDataFrame(pa.table({"word": pa.array(sorted(block.vocabulary()), pa.binary())}))
+    return {bytes(r["word"]): r["n"] for r in counted.join(own, "word").collect()}
+
+
 def document_frequency(docs: DataFrame, text: str, block: Block) -> dict[bytes, int]:
     """Documents that hold each word of the block, over all of ``docs``."""
     wanted = docs.sparkSession.sparkContext.broadcast(block.vocabulary())
@@ -112,9 +149,7 @@ def document_frequency(docs: DataFrame, text: str, block: Block) -> dict[bytes,
         for batch in batches:
             for raw in raw_texts(batch.column(0)):
                 total.update(vocabulary.intersection(item_words(raw)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "n"]
-        )
+        yield _counted(total)
 
     rows = docs.select(text).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     # At most one row for each word of the block, which is bounded.
@@ -140,7 +175,7 @@ def scan(docs: DataFrame, text: str, block: Block, window: int, keep_text: bool)
                 found = block.matches(words, window)
                 n_words.append(len(words))
                 hits.append(merged([(r["first"], r["end"]) for r in runs] + [(a, b) for _, a, b in found]))
-                items.append(sorted({*ids, *(block.ids[k] for k, _, _ in found)}))
+                items.append(sorted({*ids, *(block.ids[k] for k, _, _ in found)}, key=lambda i: (i is None, i)))
             columns = {c: batch.column(c) for c in rest}
             columns["n_words"] = pa.array(n_words, pa.int64())
             columns["hits"] = pa.array([[{"first": a, "end": b} for a, b in h] for h in hits], RUNS)
@@ -168,6 +203,12 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def hits_of(docs: DataFrame, text: str, block: Block, window: int) -> DataFrame:
+    """(_row, hits, items) of the rows of ``docs`` (_row, text) that the block hits."""
+    found = scan(docs, text, block, window, keep_text=False)
+    return found.filter(F.size("hits") > 0).select("_row", "hits", "items")
+
+
 def decontaminate(
     docs: DataFrame,
     items: DataFrame,
@@ -178,6 +219,7 @@ def decontaminate(
     block_words: int = BLOCK_WORDS,
     percent: int = 5,
     keep_text: bool = False,
+    unnamed: bool = False,
 ) -> DataFrame:
     """``docs`` with what of the benchmark each document holds; without text if not kept.
 
@@ -185,24 +227,23 @@ def decontaminate(
     ``items`` (ids with occurring windows, sorted as strings), ``items_sha256``,
     ``hits`` (runs of hit words) and ``contaminated`` (some word is hit, and at least
     ``percent`` in a hundred). Columns of the same name are replaced. A null text has
-    no words and is clean; an item without words or id is left out; items that share
-    an id count once. One row for each row of ``docs``; the texts are not shuffled.
+    no words and is clean; an item without words is left out, and one without an id
+    unless ``unnamed``: then it is hit as others are, and counts as a null, last in
+    ``items``. Items that share an id count once. One row for each row of ``docs``.
 
     The benchmark is read in blocks of ``block_words`` words, each broadcast to one
-    scan of ``docs``; between blocks the rows and what they hold so far are stored.
+    scan of ``docs``; the texts are not shuffled. Of several blocks, rarity is counted
+    in one scan for all, and each stores only the rows that it hits, by their number.
     """
     added = ["n_words", "hits", "items", "n_hit", "n_items", "items_sha256", "contaminated"]
     docs = docs.drop(*(c for c in added if c != text))
-    blocks = read_blocks(items, item_key, item_text, block_words)
-    block = next(blocks, Block([], []))
-    while block is not None:
-        later = next(blocks, None)
-        if block.ids:
-            block.order(document_frequency(docs, text, block), window)
-        docs = scan(docs, text, block, window, keep_text=keep_text or later is not None)
-        if later is not None:
-            docs = stored(docs, "contamination")
-        block = later
+    blocks = read_blocks(items, item_key, item_text, block_words, window, unnamed)
+    block, later = next(blocks, Block([], [])), next(blocks, None)
+    if later is not None:
+        docs, block = _over_blocks(docs, chain([block, later], blocks), text, window), Block([], [])
+    elif block.ids:
+        block.order(document_frequency(docs, text, block), window)
+    docs = scan(docs, text, block, window, keep_text=keep_text)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + (x["end"] - x["first"]))
     return docs.withColumns(
         {
@@ -211,3 +252,22 @@ def decontaminate(
             "items_sha256": F.sha2(F.array_join("items", ","), 256),
         }
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words")))
+
+
+def _over_blocks(docs: DataFrame, blocks: Iterable[Block], text: str, window: int) -> DataFrame:
+    """``docs`` with the ``hits`` and ``items`` of all blocks, not yet merged."""
+    docs = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "contamination")
+    counted = stored(word_frequency(docs, text), "word-frequency")
+    tables = []
+    for block in blocks:
+        block.order(frequency_of(block, counted), window)
+        tables.append(stored(hits_of(docs.select("_row", text), text, block, window), "hits"))
+    every = tables[0]
+    for more in tables[1:]:
+        every = every.unionByName(more)
+    every = stored(
+        every.groupBy("_row").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items")), "hits"
+    )
+    discard(counted, *tables)
+    joined = docs.join(every, "_row", "left").drop("_row")
+    return joined.withColumns({c: F.coalesce(c, F.array().cast(every.schema[c].dataType)) for c in ("hits", "items")})

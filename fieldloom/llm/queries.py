@@ -61,7 +61,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return contamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(
+    return contamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), unnamed=True).select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
     )
 
