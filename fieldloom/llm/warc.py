@@ -26,10 +26,12 @@ from pyspark.sql import types as T
 from .common import texts
 
 VERSION = "WARC/1.1"
-#: Elements whose content is no text of the page.
-HIDDEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)")
-TAG = re.compile(r"""(?s)<(/?)([A-Za-z][A-Za-z0-9-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<![^>]*>|<\?[^>]*>""")
-ATTRIBUTE = re.compile(r"""([A-Za-z_:][\w:.-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: Elements whose content is no text of the page: it ends at their closing tag only.
+RAW_END = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style")}
+NAME = re.compile(r"/?([A-Za-z][A-Za-z0-9-]*)")
+TAG_MARK = re.compile(r"""[>"']""")
+#: A name is tried at its beginning only, and never shortened: linear in the tag.
+ATTRIBUTE = re.compile(r"""(?<![\w:.-])([A-Za-z_:][\w:.-]*+)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 #: Elements that begin a new line of text.
 BLOCKS = frozenset(
     "address article aside blockquote body br caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 "
@@ -38,7 +40,6 @@ BLOCKS = frozenset(
 )
 #: (element, attribute) that hold a link, by the path it is listed under.
 LINKS = {"a": "href", "area": "href", "link": "href", "img": "src", "iframe": "src", "script": "src", "form": "action"}
-SCRIPT = re.compile(r"(?is)<script\b[^>]*>")
 #: Elements whose content is no text, but holds links.
 UNSHOWN = ("template", "noscript")
 #: What a page says of its own encoding, within its first bytes.
@@ -72,15 +73,15 @@ class Headers(list):
 
     @classmethod
     def parse(cls, lines: list[str]) -> Headers:
-        found = cls()
+        found: list[tuple[str, list[str]]] = []
         for line in lines:
             name, colon, value = line.partition(":")
             if line[:1] in (" ", "\t") and found:
                 # A folded line goes on with the value before it.
-                found[-1] = (found[-1][0], f"{found[-1][1]} {line.strip()}".strip())
+                found[-1][1].append(line.strip())
             elif colon:
-                found.append((name.strip(), value.strip()))
-        return found
+                found.append((name.strip(), [value.strip()]))
+        return cls((name, " ".join(filter(None, values))) for name, values in found)
 
     def get(self, name: str, default: str | None = None) -> str | None:
         return next((v for k, v in self if k.lower() == name.lower()), default)
@@ -126,30 +127,85 @@ def response(uri: str, html: str, date: str) -> bytes:
     return record(headers, block)
 
 
+class Tags:
+    """The tags, declarations and hidden parts of a page, from left to right in linear time.
+
+    Iterates over (first, end, name, closing, attributes): the text between them is the
+    page's. A comment, script or style without an end goes to the page's end. In a tag,
+    ``>`` within quotes does not end it; where a quote is never closed, quotes count as
+    plain characters up to it. A ``<`` that begins no tag is text.
+    """
+
+    def __init__(self, html: str):
+        self.html = html
+        #: Where no quote is heeded before, and what is known not to come any more.
+        self.plain_until, self.last_end = 0, html.rfind(">")
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        html, at = self.html, 0
+        while (first := html.find("<", at)) >= 0:
+            at = first + 1
+            if html.startswith("<!--", first):
+                end = html.find("-->", first + 4)
+                at = len(html) if end < 0 else end + 3
+                yield first, at, "", False, ""
+            elif html[at : at + 1] in ("!", "?") and at < self.last_end:
+                at = html.find(">", at) + 1
+                yield first, at, "", False, ""
+            elif name := NAME.match(html, at):
+                end = self.tag_end(name.end())
+                if end < 0:
+                    continue
+                at, closing = end, html[first + 1] == "/"
+                known, inside = name[1].lower(), html[name.end() : end - 1]
+                if known in RAW_END and not closing:
+                    over = RAW_END[known].search(html, end)
+                    at = over.end() if over else len(html)
+                    yield first, at, known, False, inside
+                else:
+                    yield first, at, known, closing, inside
+
+    def tag_end(self, at: int) -> int:
+        """The end of the tag whose name ends here, or -1."""
+        if at > self.last_end:
+            return -1
+        mark = at
+        while mark >= self.plain_until and (m := TAG_MARK.search(self.html, mark)):
+            if m[0] == ">":
+                return m.end()
+            closing = self.html.find(m[0], m.end())
+            if closing < 0:
+                # No such quote comes any more; those before it are plain from now on.
+                self.plain_until = m.end()
+                break
+            mark = closing + 1
+        return self.html.find(">", at) + 1
+
+
 def page(html: str, base: str) -> tuple[str, str, list[dict[str, str]]]:
     """Title, plain text and links of a page, in one pass over its tags."""
-    html = HIDDEN.sub(_hidden, html)
     out, links, title, last, in_title, unshown = [], [], [], 0, False, ""
-    for m in TAG.finditer(html):
-        piece = html[last : m.start()]
-        last = m.end()
+    for first, end, name, closing, attributes in Tags(html):
+        piece = html[last:first]
+        last = end
         if piece and not unshown:
             out.append(piece)
             if in_title:
                 title.append(piece)
-        name = (m[2] or "").lower()
-        if name in UNSHOWN and not unshown and not m[1]:
+        if name in RAW_END and not closing or not name:
+            out.append(" ")
+        if name in UNSHOWN and not unshown and not closing:
             unshown = name
             out.append(" ")
-        elif name == unshown and m[1]:
+        elif name == unshown and closing:
             unshown = ""
         if name in BLOCKS and not unshown:
             out.append("\n")
         if name == "title" and not unshown:
-            in_title = not m[1]
-        if not m[1] and name in LINKS:
+            in_title = not closing
+        if not closing and name in LINKS:
             wanted = LINKS[name]
-            for a in ATTRIBUTE.finditer(m[3]):
+            for a in ATTRIBUTE.finditer(attributes):
                 if a[1].lower() == wanted:
                     links.append({"path": f"{name.upper()}@/{wanted}", "url": resolved(base, unescape(a[2] or a[3] or a[4] or ""))})
                     break
@@ -159,12 +215,6 @@ def page(html: str, base: str) -> tuple[str, str, list[dict[str, str]]]:
     return BLANKS.sub(" ", unescape("".join(title))).strip(), "\n".join(x for x in lines if x), links
 
 
-def _hidden(m: re.Match) -> str:
-    """What stays of a hidden element: a script's own tag, which may hold a link."""
-    tag = SCRIPT.match(m[0])
-    return f" {tag[0]}" if tag and TAG.fullmatch(tag[0]) else " "
-
-
 def decoded(payload: bytes, content_type: str) -> str:
     """By the byte order mark, else the charset of the header, else of the page, else UTF-8."""
     marks = ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
