@@ -4,88 +4,111 @@ Documents of a source lie in hash order on a line of words, which is cut into bl
 An epoch of a source takes whole blocks in the order of a permutation, and the words
 of one more to meet its target exactly. The block quotas of all sources are split
 among output shards by a tree: at each node the left half's share is drawn from the
-node's quotas without replacement, and the rest is the right half's. Every shard walks
-its own path from the root, so that no node is held anywhere; it then draws its ranks
-of each source's permuted blocks, which no other shard has, and shuffles them locally.
+node's quotas without replacement, and the rest is the right half's. The tree has two
+storeys, as such draws may be nested: quotas of groups of sources are split among all
+shards, each shard walking its own path from the root, and then each group's share of
+every shard among its sources. No node is held anywhere, and no list of sources. Each
+shard takes its ranks of each source's permuted blocks, which no other shard has, and
+shuffles them locally.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, word_count
+from .common import SPACE_RUN, SPACES, hot_join, stored, word_count
 
-#: Words of a block; longer in corpora of more than MOST_BLOCKS blocks.
+#: Words of a block.
 BLOCK_WORDS = 512
-MOST_BLOCKS = 1 << 28
 #: Blocks that a shard holds and shuffles, and documents that one task lines up.
 SHARD_BLOCKS = 16_384
 LINE_DOCS = 2_000
-#: Sources of a mix: the tree's quotas, one number each, go to every shard.
-MOST_SOURCES = 1_000_000
+#: Groups of sources, whose quotas the upper tree splits: as many for any corpus.
+GROUPS = 4096
+#: Tasks that walk the upper tree, each for its shards.
+WALKERS = 4096
+#: Blocks of a node from which a share is drawn by the normal law, its limit: there the
+#: generator has no exact draw, and the law's error is far below a thousandth of a share.
+EXACT_BLOCKS = 1_000_000_000
 
 
-def matched(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
-    """A join on columns that are equal or both null; the left ones stay."""
-    renamed = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
-    same = [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in on]
-    return left.join(renamed, same, how).drop(*(f"_right_{c}" for c in on))
+def source_name(source: Column) -> Column:
+    """A source as a key that is never null."""
+    return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), source))
 
 
-def targets(sizes: DataFrame, weights: tuple[float, ...], total_share: float, limit: float) -> DataFrame:
-    """``target`` for each (source, source_size): water-filling in closed form.
+def numbered(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with ``number``, a source's place in code-point order, null last, from 0.
 
-    Weights repeat over the sources in code-point order, null last. A source's target
-    is its share of ``total_share`` times all sizes, at most ``limit`` times its size;
-    what others cannot take is shared again by weight. One row for each source, so the
-    windows over all rows below hold as many rows as there are sources.
+    Sources are dealt into ranges and numbered in each: no task has all.
     """
-    by_name = Window.orderBy(F.col("source").cast("binary").asc_nulls_last())
-    weight = F.element_at(
-        F.array(*(F.lit(float(w)) for w in weights)), (F.row_number().over(by_name) - 1) % len(weights) + 1
-    )
-    df = sizes.withColumn("weight", weight).withColumn("cap", limit * F.col("source_size"))
-    all_rows = Window.partitionBy()
-    fill = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").cast("binary").asc_nulls_last())
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    after = fill.rowsBetween(0, Window.unboundedFollowing)
-    total = total_share * F.sum("source_size").over(all_rows)
-    # The level if all sources before this one are full and it and the later are not.
-    level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    df = df.withColumn("level", level)
-    open_level = F.min(F.when(F.col("cap") > F.col("level") * F.col("weight"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(all_rows)
-    df = df.withColumn("_open", open_level["level"])
-    share = F.least(F.col("cap"), F.col("_open") * F.col("weight"))
-    return df.withColumn("target", F.coalesce(share, F.col("cap")).cast("double")).select(
-        "source", "source_size", "weight", "target"
-    )
+    order = [F.col("source").isNull(), F.col("source").cast("binary")]
+    ranges = stored(sizes.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "mix-ranges")
+    # One number for each range.
+    counts = sorted((r["_range"], r["count"]) for r in ranges.groupBy("_range").count().collect())
+    before = np.cumsum([0, *(n for _, n in counts)])
+    rows = [(k, int(b)) for (k, _), b in zip(counts, before)]
+    first = sizes.sparkSession.createDataFrame(rows, "_range int, _first long")
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranges.withColumn("_place", place).join(F.broadcast(first), "_range").withColumn(
+        "number", F.col("_place") + F.col("_first")
+    ).drop("_range", "_place", "_first")
 
 
-def lined_up(docs: DataFrame, seed: int) -> DataFrame:
-    """``docs`` (source, size, …) with ``start``, a document's first word on its source's line.
+def targets(sizes: DataFrame, weights: tuple[float, ...], total_share: float, limit: float) -> DataFrame:
+    """``sizes`` (source, source_size, …) with ``weight`` and ``target``, by water-filling.
 
-    Lines are in hash order of id and size. A source is dealt into hash ranges of
+    Weights repeat over the sources in code-point order, null last. A source's target
+    is its share of ``total_share`` times all sizes, at most ``limit`` times its size;
+    what others cannot take is shared again by weight. Each round is one sum over the
+    sources: the level rises until no further source is full.
+    """
+    cycle = F.array(*(F.lit(float(w)) for w in weights))
+    df = numbered(sizes).withColumn("weight", F.element_at(cycle, (F.col("number") % len(weights) + 1).cast("int"))).drop("number")
+    df = stored(df.withColumn("cap", limit * F.col("source_size")), "mix-weights")
+    total, open_weight = df.agg(F.sum("source_size"), F.sum("weight")).first()
+    total, full, level = total_share * (total or 0), -1, 0.0
+    while open_weight:
+        # Sums of whole numbers below 2**53: the same in any order.
+        is_full = F.col("cap") <= F.lit(level) * F.col("weight") if full >= 0 else F.lit(False)
+        row = df.agg(
+            F.sum(F.when(is_full, F.col("cap")).otherwise(0.0)),
+            F.sum(F.when(is_full, 0.0).otherwise(F.col("weight"))),
+            F.sum(is_full.cast("long")),
+        ).first()
+        if row[2] == full:
+            break
+        held, open_weight, full = row
+        if open_weight:
+            level = (total - held) / open_weight
+    share = F.least(F.col("cap"), F.lit(level) * F.col("weight")) if open_weight else F.col("cap")
+    return df.withColumn("target", share.cast("double")).drop("cap")
+
+
+def lined_up(docs: DataFrame, counts: DataFrame, total: int, seed: int) -> DataFrame:
+    """``docs`` (name, size, …) with ``start``, a document's first word on its source's line.
+
+    Lines are in hash order of id, text and size. A source is dealt into hash ranges of
     about LINE_DOCS documents; ranges' totals give their offsets, so no task holds a
-    source. (source, part, place) names a row, also among repeated ones.
+    source. (name, part, place) is a row's own, also among repeated ones.
     """
-    counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("_docs"))
-    h = F.xxhash64(F.lit(seed), "doc_id", "size")
-    # 20 bits of the hash choose the range, in hash order.
-    high = F.shiftrightunsigned(h, 44)
-    parts = F.greatest(F.lit(1), F.ceil(F.col("_docs") / LINE_DOCS))
-    dealt = matched(docs, counts, ["source"], "left").withColumns({"part": F.floor(high * parts / (1 << 20)), "_high": h}).drop("_docs")
-    offsets = dealt.groupBy("source", "part").agg(F.sum("size").alias("_words"))
+    h = F.xxhash64(F.lit(seed), "doc_id", "size", "hash")
+    # 40 bits of the hash choose the range, in hash order.
+    high = F.shiftrightunsigned(h, 24)
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / LINE_DOCS))
+    dealt = hot_join(docs, counts.select("name", "n"), "name", total)
+    dealt = dealt.withColumns({"part": F.shiftright(high * parts, 40), "_high": h}).drop("n")
+    offsets = dealt.groupBy("name", "part").agg(F.sum("size").alias("_words"), F.count(F.lit(1)).alias("n"))
     # One row for each LINE_DOCS documents of a source.
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = offsets.select("source", "part", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_offset"))
-    place = Window.partitionBy("source", "part").orderBy("_high", "doc_id", "size")
+    before = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = offsets.select("name", "part", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_offset"))
+    place = Window.partitionBy("name", "part").orderBy("_high", "doc_id", "hash", "size")
     placed = dealt.withColumns(
         {
             "place": F.row_number().over(place),
@@ -93,53 +116,101 @@ def lined_up(docs: DataFrame, seed: int) -> DataFrame:
         }
     )
     return (
-        matched(placed, offsets, ["source", "part"], "left")
+        placed.join(offsets, ["name", "part"], "left")
         .withColumn("start", F.col("_own") + F.col("_offset"))
         .drop("_own", "_offset", "_high")
     )
 
 
-def permutation(seed: int, source: str, epoch: int, n: int) -> tuple[int, int]:
-    """(a, b): block → rank (a·block + b) mod n, one to one as a and n are coprime."""
-    h = hashlib.sha256(f"{seed}:{epoch}:{source}".encode()).digest()
-    a, b = (int.from_bytes(h[i : i + 8], "big") for i in (0, 8))
-    a %= max(n, 1)
-    while math.gcd(a, n) != 1 and n > 1:
-        a += 1
-    return (a % n if n > 1 else 1), b % max(n, 1)
+def mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
 
+def permuted(ranks: np.ndarray, n: int, key: str) -> np.ndarray:
+    """Where a keyed permutation of the numbers below ``n`` puts some of them.
 
-def quotas(sources: pd.DataFrame, block: int, seed: int) -> pd.DataFrame:
+    A Feistel network over the least square of powers of two that holds them, walked
+    on until it comes back below ``n``.
+    """
+    half = np.uint64(max(1, ((n - 1).bit_length() + 1) // 2))
+    mask = (np.uint64(1) << half) - np.uint64(1)
+    digest = hashlib.sha256(key.encode()).digest()
+    keys = np.frombuffer(digest, np.uint64)
+    x = ranks.astype(np.uint64)
+    out = np.ones(len(x), bool)
+    while out.any():
+        left, right = x[out] >> half, x[out] & mask
+        for k in keys:
+            left, right = right, left ^ (mixed(right ^ k) & mask)
+        x[out] = (left << half) | right
+        out = x >= n
+    return x.astype(np.int64)
+
+
+def quotas(sources: DataFrame, block: int) -> DataFrame:
     """A row for each source and epoch that takes any of its words.
 
     Full blocks are permuted; the words that end a line are a short block of their
     own, taken last. ``blocks`` is the quota: ``full`` whole blocks by rank, and
     ``rest`` words of the next one.
     """
-    rows = []
-    for r in sources.itertuples():
-        name = "\x00null" if r.source is None else r.source
-        words = min(round(r.target), 2 * r.source_size)
-        for epoch in (0, 1):
-            taken = min(max(words - epoch * r.source_size, 0), r.source_size)
-            n = r.source_size // block
-            full, rest = (taken // block, taken % block) if taken < n * block else (n, taken - n * block)
-            a, b = permutation(seed, name, epoch, n)
-            if taken:
-                rows.append((r.source, epoch, n, a, b, full, rest, full + (rest > 0)))
-    return pd.DataFrame(rows, columns=["source", "epoch", "n", "a", "b", "full", "rest", "blocks"])
+    words = F.least(F.bround("target").cast("long"), 2 * F.col("source_size"))
+    df = sources.withColumns({"_words": words, "epoch": F.explode(F.array(F.lit(0), F.lit(1)))})
+    size = F.col("source_size")
+    df = df.withColumn("_taken", F.least(F.greatest(F.col("_words") - F.col("epoch") * size, F.lit(0)), size))
+    df = df.filter(F.col("_taken") > 0).withColumn("n", F.floor(size / block))
+    short = F.col("_taken") < F.col("n") * block
+    df = df.withColumns(
+        {
+            "full": F.when(short, F.floor(F.col("_taken") / block)).otherwise(F.col("n")),
+            "rest": F.when(short, F.col("_taken") % block).otherwise(F.col("_taken") - F.col("n") * block),
+        }
+    )
+    return df.select(
+        F.pmod(F.xxhash64("name"), F.lit(GROUPS)).cast("int").alias("group"),
+        "name",
+        "epoch",
+        "n",
+        "full",
+        "rest",
+        (F.col("full") + (F.col("rest") > 0).cast("long")).alias("blocks"),
+    )
+
+
+def drawn(random: np.random.Generator, held: np.ndarray, total: int) -> np.ndarray:
+    """``total`` blocks drawn without replacement from quotas, how many of each."""
+    left = int(held.sum())
+    if left < EXACT_BLOCKS:
+        return random.multivariate_hypergeometric(held, total, method="marginals")
+    out = np.zeros_like(held)
+    for i, own in enumerate(map(int, held)):
+        others = left - own
+        low, high = max(0, total - others), min(own, total)
+        if others < EXACT_BLOCKS and own < EXACT_BLOCKS and 0 < total <= left:
+            out[i] = random.hypergeometric(own, others, total) if left else 0
+        elif low < high:
+            share = own / left
+            spread = (total * share * (1 - share) * (left - total) / max(left - 1, 1)) ** 0.5
+            out[i] = min(max(round(random.normal(total * share, spread)), low), high)
+        else:
+            out[i] = low
+        total -= int(out[i])
+        left = others
+    return out
 
 
 def shard_counts(quota: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first rank, blocks) of each source in one shard: its path through the tree."""
+    """(first rank, blocks) of each quota in one shard: its path through the tree."""
     low, high = 0, shards
     first, held = np.zeros_like(quota), quota.copy()
     while high - low > 1:
         middle = (low + high) // 2
         # The left half gets blocks by its number of shards, exactly.
         left_total = int(held.sum()) * (middle - low) // (high - low)
-        random = np.random.default_rng([seed, low, high])
-        left = random.multivariate_hypergeometric(held, left_total, method="marginals")
+        left = drawn(np.random.default_rng([seed, low, high]), held, left_total)
         if shard < middle:
             held, high = left, middle
         else:
@@ -147,36 +218,82 @@ def shard_counts(quota: np.ndarray, shards: int, shard: int, seed: int) -> tuple
     return first, held
 
 
-def draws(df: DataFrame, plan: pd.DataFrame, block: int, shards: int, seed: int) -> DataFrame:
-    """(source, epoch, block, words, shard, slot): the blocks that each shard draws."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast({c: plan[c].to_numpy() for c in plan.columns})  # at most MOST_SOURCES rows
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = shared.value
+def cells(quota: np.ndarray, counts: np.ndarray, seed: int, group: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(cell, which quotas, first ranks, blocks): quotas split so that cell k gets ``counts[k]``."""
+    index = np.flatnonzero(quota)
+    work = [(0, len(counts), index, np.zeros(len(index), np.int64), quota[index])]
+    while work:
+        low, high, index, first, held = work.pop()
+        if high - low == 1:
+            yield low, index, first, held
+            continue
+        middle = (low + high) // 2
+        left = drawn(np.random.default_rng([seed, 1 << 29, group, low, high]), held, int(counts[low:middle].sum()))
+        for a, b, begun, own in ((middle, high, first + left, held - left), (low, middle, first, left)):
+            some = own > 0
+            if some.any():
+                work.append((a, b, index[some], begun[some], own[some]))
+
+
+def draws(plan: DataFrame, block: int, seed: int) -> DataFrame:
+    """(name, epoch, block, words, shard, slot): the blocks that each shard draws."""
+    spark = plan.sparkSession
+    # At most GROUPS numbers.
+    quota = np.zeros(GROUPS, np.int64)
+    for r in plan.groupBy("group").agg(F.sum("blocks").alias("blocks")).collect():
+        quota[r["group"]] = r["blocks"]
+    shards = max(1, -(-int(quota.sum()) // SHARD_BLOCKS))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for shard in batch["id"]:
-                first, count = shard_counts(p["blocks"].astype(np.int64), shards, int(shard), seed)
-                slots = np.random.default_rng([seed, 1 << 30, int(shard)]).permutation(int(count.sum()))
-                done = 0
-                for i in np.flatnonzero(count):
-                    ranks = np.arange(first[i], first[i] + count[i])
-                    yield _drawn(p, i, ranks, block, int(shard), slots[done : done + len(ranks)])
-                    done += len(ranks)
-
-    columns = "source string, epoch int, block bigint, words bigint, shard int, slot int"
-    return spark.range(shards, numPartitions=shards).mapInPandas(draw, columns)
-
-
-def _drawn(p: dict, i: int, ranks: np.ndarray, block: int, shard: int, slots: np.ndarray) -> pd.DataFrame:
-    n, a, b = int(p["n"][i]), int(p["a"][i]), int(p["b"][i])
-    # rank → block by the inverse; the short block at the line's end has rank n.
-    inverse = pow(a, -1, n) if n > 1 else 0
-    blocks = [n if r >= n else (int(r) - b) * inverse % n for r in ranks]
-    words = np.where(ranks < p["full"][i], block, p["rest"][i])
-    return pd.DataFrame(
-        {"source": p["source"][i], "epoch": int(p["epoch"][i]), "block": blocks, "words": words, "shard": shard, "slot": slots}
+                _, held = shard_counts(quota, shards, int(shard), seed)
+                some = np.flatnonzero(held)
+                yield pd.DataFrame({"group": some.astype(np.int32), "shard": np.int64(shard), "count": held[some]})
+
+    def divide(sources: pd.DataFrame, shares: pd.DataFrame) -> pd.DataFrame:
+        sources = sources.sort_values(["name", "epoch"], ignore_index=True)
+        shares = shares.sort_values("shard", ignore_index=True)
+        at, cell, first, count = [], [], [], []
+        if len(sources):
+            for k, index, begun, own in cells(sources["blocks"].to_numpy(), shares["count"].to_numpy(), seed, int(sources["group"][0])):
+                at.append(index)
+                cell.append(np.full(len(index), k))
+                first.append(begun)
+                count.append(own)
+        none = [np.zeros(0, np.int64)]
+        out = sources.loc[np.concatenate(at or none), ["name", "epoch", "n", "full", "rest"]].reset_index(drop=True)
+        out["first"], out["count"] = np.concatenate(first or none), np.concatenate(count or none)
+        out["shard"] = shares["shard"].to_numpy()[np.concatenate(cell or none)]
+        return out
+
+    def draw(parts: pd.DataFrame) -> pd.DataFrame:
+        parts = parts.sort_values(["name", "epoch"], ignore_index=True)
+        shard = int(parts["shard"][0])
+        slots = np.random.default_rng([seed, 1 << 30, shard]).permutation(int(parts["count"].sum()))
+        blocks, words = [], []
+        for r in parts.itertuples():
+            ranks = np.arange(r.first, r.first + r.count)
+            # The short block at the line's end has rank n.
+            blocks.append(np.where(ranks < r.n, permuted(np.minimum(ranks, max(r.n - 1, 0)), r.n, f"{seed}:{r.epoch}:{r.name}"), r.n) if r.n else ranks)
+            words.append(np.where(ranks < r.full, block, r.rest))
+        rows = np.repeat(np.arange(len(parts)), parts["count"])
+        return pd.DataFrame(
+            {
+                "name": parts["name"].to_numpy()[rows],
+                "epoch": parts["epoch"].to_numpy()[rows],
+                "block": np.concatenate(blocks),
+                "words": np.concatenate(words),
+                "shard": shard,
+                "slot": slots,
+            }
+        )
+
+    shares = spark.range(shards, numPartitions=min(shards, WALKERS)).mapInPandas(walk, "group int, shard bigint, count bigint")
+    divided = plan.groupBy("group").cogroup(shares.groupBy("group")).applyInPandas(
+        divide, "name string, epoch int, n bigint, full bigint, rest bigint, first bigint, count bigint, shard bigint"
     )
+    return divided.groupBy("shard").applyInPandas(draw, "name string, epoch int, block bigint, words bigint, shard bigint, slot bigint")
 
 
 def pieces(lined: DataFrame, block: int) -> DataFrame:
@@ -210,53 +327,89 @@ def mix(
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, segments) of the mix.
 
-    Documents: a row for each row of ``docs``: ``doc_id``, ``source``, ``size`` in
-    words, ``source_size``, ``target`` (words, the source's) and (``part``, ``place``),
-    which with the source name the row. Segments: what the mix takes of them:
-    ``shard`` and ``slot`` (the block's place in it), ``at`` (within the block),
-    ``epoch``, and the document's words from ``first`` to ``end``.
+    Documents: a row for each row of ``docs``: ``doc_id``, ``source`` and its ``name``,
+    the text's ``hash``, ``size`` in words, ``source_size``, ``target`` (words, the
+    source's) and (``part``, ``place``), which with the name are the row's own.
+    Segments: what the mix takes of them: ``shard`` and ``slot`` (the block's place in
+    it), ``at`` (within the block), ``epoch``, and the document's words from ``first``
+    to ``end``.
 
     A null text has size 0 and is never taken; a null source is a source, last in
     order; a null key sorts first. Repeated rows are taken each for itself. Without
     any words all targets are 0. Reruns agree: all order and chance come from hashes
     of ``seed``. Takes of a source sum to its target, rounded.
     """
-    spark = docs.sparkSession
     sized = stored(
-        docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")),
+        docs.select(
+            F.col(key).alias("doc_id"),
+            F.col(source).alias("source"),
+            source_name(F.col(source)).alias("name"),
+            word_count(F.col(text)).alias("size"),
+            F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"),
+        ),
         "mix-sizes",
     )
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    total = sized.count()
+    totals = sized.groupBy("source", "name").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     wanted = stored(targets(totals, weights, total_share, limit), "mix-targets")
-    if wanted.count() > MOST_SOURCES:
-        raise ValueError(f"a mix of more than {MOST_SOURCES} sources; group them first")
-    plan_rows = wanted.toPandas().sort_values("source", na_position="last", kind="stable")
-    plan_rows["source"] = plan_rows["source"].astype(object).where(plan_rows["source"].notna(), None)
-    block = max(BLOCK_WORDS, math.ceil(float(plan_rows["target"].sum()) / MOST_BLOCKS))
-    plan = quotas(plan_rows, block, seed)
-    shards = max(1, math.ceil(int(plan["blocks"].sum()) / SHARD_BLOCKS))
-    lined = stored(lined_up(sized, seed), "mix-lines")
+    lined = stored(lined_up(sized, wanted, total, seed), "mix-lines")
     # Its rows are as many as the blocks, which the optimizer cannot know: no broadcast.
-    drawn = draws(sized, plan, block, shards, seed).hint("merge")
-    cut = pieces(lined, block)
+    taken_blocks = draws(stored(quotas(wanted, BLOCK_WORDS), "mix-quotas"), BLOCK_WORDS, seed).hint("merge")
     # Blocks spread a hot source over all partitions of the join.
     segments = (
-        matched(cut, drawn, ["source", "block"], "inner")
+        pieces(lined, BLOCK_WORDS)
+        .join(taken_blocks, ["name", "block"])
         .withColumn("end", F.least("end", F.col("first") + F.greatest(F.col("words") - F.col("at"), F.lit(0))))
         .filter(F.col("end") > F.col("first"))
-        .select("source", "part", "place", "doc_id", "shard", "slot", "at", "epoch", "first", "end")
+        .select("source", "name", "part", "place", "doc_id", "hash", "shard", "slot", "at", "epoch", "first", "end")
     )
-    documents = matched(lined, wanted, ["source"], "left").select(
-        "doc_id", "source", "part", "place", "size", "source_size", "target"
+    sums = wanted.select("name", "source_size", "target", "n")
+    documents = hot_join(lined, sums, "name", total).select(
+        "doc_id", "source", "name", "hash", "part", "place", "size", "source_size", "target"
     )
     return documents, segments
 
 
+ROW = ["name", "part", "place"]
+
+
 def taken(documents: DataFrame, segments: DataFrame) -> DataFrame:
     """``documents`` with ``taken``: the words that the segments hold of each."""
-    held = segments.groupBy("source", "part", "place").agg(F.sum(F.col("end") - F.col("first")).alias("_taken"))
+    held = segments.groupBy(*ROW).agg(F.sum(F.col("end") - F.col("first")).alias("_taken"))
     return (
-        matched(documents, held, ["source", "part", "place"], "left")
-        .withColumn("taken", F.coalesce(F.col("_taken"), F.lit(0)).cast("long"))
-        .drop("_taken")
+        documents.join(held, ROW, "left").withColumn("taken", F.coalesce(F.col("_taken"), F.lit(0)).cast("long")).drop("_taken")
+    )
+
+
+def mixed_texts(docs: DataFrame, documents: DataFrame, segments: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
+    """``documents`` with ``taken`` and ``pieces``: (shard, slot, at, epoch, text) that the mix takes.
+
+    A shard's training text is its pieces by slot and place; a piece's words are joined
+    by blanks. Texts are shuffled once, to the rows that have them.
+    """
+    piece = F.struct("shard", "slot", "at", "epoch", "first", "end")
+    held = segments.groupBy(*ROW).agg(
+        F.sum(F.col("end") - F.col("first")).alias("taken"), F.array_sort(F.collect_list(piece)).alias("_spans")
+    )
+
+    def whole(name: Column, doc: Column, hashed: Column) -> Column:
+        return F.concat_ws("\x00", hashed.cast("string"), F.coalesce(doc.cast("string"), F.lit("null")), name)
+
+    own = whole(source_name(F.col(source)), F.col(key), F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    texts = docs.select(own.alias("_whole"), F.col(text).alias("_text")).groupBy("_whole").agg(F.first("_text").alias("_text"))
+    rows = documents.join(held, ROW, "left").withColumn("_whole", whole(F.col("name"), F.col("doc_id"), F.col("hash")))
+    rows = rows.join(texts, "_whole", "left")
+    kept = F.btrim(F.coalesce(F.col("_text"), F.lit("")), F.lit(SPACES))
+    words = F.split(kept, SPACE_RUN)
+    rows = rows.withColumns({"_words": words, "taken": F.coalesce("taken", F.lit(0)).cast("long")})
+    out = F.transform(
+        F.coalesce("_spans", F.array().cast(rows.schema["_spans"].dataType)),
+        lambda s: F.struct(
+            s["shard"].alias("shard"),
+            s["slot"].alias("slot"),
+            s["at"].alias("at"),
+            s["epoch"].alias("epoch"),
+            F.array_join(F.slice("_words", (s["first"] + 1).cast("int"), (s["end"] - s["first"]).cast("int")), " ").alias("text"),
+        ),
     )
+    return rows.withColumn("pieces", out).drop("_whole", "_text", "_words", "_spans")
