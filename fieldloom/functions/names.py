@@ -65,9 +65,43 @@ def source_triples(texts: DataFrame, db: str, text: str, file: str) -> DataFrame
             .select("db", F.explode(keys).alias("field_key"), F.trim("hit.concept").alias("concept_raw"), "src_file", F.lit(name).alias("pattern"))
         )
         found = rows if found is None else found.unionByName(rows)
+    return found.unionByName(two_level_triples(texts, db, text, file))
+
+
+def two_level_triples(texts: DataFrame, db: str, text: str, file: str) -> DataFrame:
+    """Triples whose key is ``label|name``; a long body spans other cases and is left out."""
+    found = None
+    for name, pattern, levels, concept, body in V.TWO_LEVEL_PATTERNS:
+
+        def group(n: int, p: str = pattern) -> Column:
+            return F.regexp_extract_all(text, F.lit(p), F.lit(n))
+
+        first, second = map(group, levels)
+        hits = F.arrays_zip(first.alias("first"), second.alias("second"), group(concept).alias("concept"), group(body).alias("body"))
+        rows = (
+            texts.select(F.col(db).alias("db"), F.col(file).alias("src_file"), F.explode(hits).alias("hit"))
+            .filter(F.length("hit.body") <= 900)
+            .select("db", F.concat_ws("|", "hit.first", "hit.second").alias("field_key"), F.trim("hit.concept").alias("concept_raw"), "src_file", F.lit(name).alias("pattern"))
+        )
+        found = rows if found is None else found.unionByName(rows)
     return found
 
 
+def error_type(notes: Column, model: Column) -> Column:
+    """The kind of a model's error, from what the experts noted."""
+    told = F.lower(F.coalesce(notes, F.lit("")))
+
+    def has(words: list[str]) -> Column:
+        return F.array_contains(F.transform(F.array(*map(F.lit, words)), lambda w: F.contains(told, w)), True)
+
+    kind = F.lit("concept naming granularity")
+    kind = F.when(has(V.UNDECIDED_WORDS), "insufficient metadata to decide").otherwise(kind)
+    kind = F.when(model == "UNKNOWN", "model abstained, experts assigned").otherwise(kind)
+    for words, name in reversed(V.ERROR_WORDS):
+        kind = F.when(has(words), name).otherwise(kind)
+    return kind
+
+
 #: Words that a card may not show: they would give the key away.
 FORBIDDEN_IN_CARDS = ["itemid", "field_key"]
 
@@ -89,6 +123,14 @@ def field_line(table: Column, label: Column, category: Column, unit: Column, kin
     return F.concat_ws(" -- ", F.concat_ws(".", table, label), F.nullif(parts, F.lit("")))
 
 
+def field_line_with_key(key: Column, table: Column, label: Column, category: Column, unit: Column, kind: Column, median: Column) -> Column:
+    """As ``field_line``, with the raw key as its first attribute: for the memory check only."""
+    plain = field_line(table, label, category, unit, kind, median)
+    head = F.concat_ws(".", table, label)
+    rest = F.substr(plain, F.length(head) + 5)
+    return F.concat_ws("; ", F.concat(head, F.lit(" -- itemid "), key), F.nullif(rest, F.lit("")))
+
+
 MAPPING_SHAPE = "mappings array<struct<source_column:string,target_mappings:array<struct<mapping:string>>>>"
 
 

@@ -187,3 +187,17 @@ SOURCE_PATTERNS = [
     ("P4", r"(?is)case\s+when\s+labname\s*(?:=\s*'([^']+)'|in\s*\(([^)]*)\)).*?end\s*\)?\s*as\s+([A-Za-z_][\w]*)", 1, 2, 3, None),
     ("P5b", r"(?is)respchartvaluelabel\s*(?:=\s*'([^']+)'|in\s*\(([^)]*)\))(.*?)end\s*(?:\)\s*)?as\s+([A-Za-z_][\w]*)", 1, 2, 4, 3),
 ]
+
+#: Statements with a key of two levels, whose body may not be long: (name, pattern,
+#: groups of both levels, of the concept, of the body).
+TWO_LEVEL_PATTERNS = [
+    ("P5", r"(?is)nursingchartcelltypevallabel\s*=\s*'([^']+)'\s*and\s*nursingchartcelltypevalname\s*=\s*'([^']+)'(.*?)end\s*(?:\)\s*)?as\s+([A-Za-z_][\w]*)", (1, 2), 4, 3),
+]
+
+#: Words in experts' notes → the kind of error, the first that is found.
+ERROR_WORDS = [
+    (["poc", "fingerstick", "床旁", "末梢", "指血"], "measurement method: point-of-care vs laboratory"),
+    (["set rate", "设定"], "measurement method: ventilator setting vs measured"),
+    (["sao2", "pulse oximetry"], "measurement method: arterial SaO2 vs pulse oximetry"),
+]
+UNDECIDED_WORDS = ["cannot", "拿不准", "没有单位"]

@@ -116,3 +116,47 @@ def graded_rerank(ranking: DataFrame, violation: str) -> DataFrame:
 
 def graded_reject(ranking: DataFrame, violation: str, w: float, kappa: float) -> DataFrame:
     return ranking.filter(F.coalesce(w * F.col(violation), F.lit(0.0)) < kappa)
+
+
+def violations(g: Column, has_representative: Column, dims: tuple[str, ...] = ("unit", "type", "specimen")) -> Column:
+    """struct(total, most) of a gate's verdicts over some dimensions; null without a representative."""
+    vs = [g["v_" + d] for d in dims]
+    most = F.greatest(*vs) if len(vs) > 1 else vs[0]
+    return F.when(has_representative, F.struct(sum(vs[1:], vs[0]).alias("total"), most.alias("most")))
+
+
+def drop_violating(ranking: DataFrame, violation: str, mode: str = "hard") -> DataFrame:
+    """A ranking without candidates that conflict (hard), or that may (any); none are added."""
+    v = F.col(violation)
+    bad = v["most"] >= 1 if mode == "hard" else v["total"] > 0
+    return ranking.filter(~F.coalesce(bad, F.lit(False)))
+
+
+def above(ranking: DataFrame, theta: float) -> DataFrame:
+    """(field_key, concepts): a field's whole list if its best score reaches ``theta``, else empty."""
+    lists = ranking.groupBy("field_key").agg(F.array_sort(F.collect_list(F.struct("rank", "concept"))).alias("_l"), F.max("score").alias("_top"))
+    kept = F.when(F.col("_top") >= theta, F.transform("_l", lambda x: x["concept"]))
+    return lists.select("field_key", F.coalesce(kept, F.filter(F.transform("_l", lambda x: x["concept"]), lambda _: F.lit(False))).alias("concepts"))
+
+
+def completion_predictions(completions: DataFrame, fields: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(field_key, predicted) of all ``fields`` (field_key, chunk, src_table, label).
+
+    ``completions`` (chunk, text) are parsed; a field's targets are those of its
+    ``table.label``, else of its label, without prefixes and without what is no concept;
+    a field that is told nothing gets an empty list.
+    """
+    from ..functions.names import parse_mappings
+
+    told = completions.select("chunk", F.posexplode(parse_mappings(F.col("text"))).alias("_at", "m")).select(
+        "chunk", "_at", F.col("m.source_column").alias("_name"), F.col("m.targets").alias("_targets")
+    )
+    # Of a name that is told twice the last counts.
+    told = told.groupBy("chunk", "_name").agg(F.max_by("_targets", "_at").alias("_targets")).filter(F.size("_targets") > 0)
+    names = fields.withColumn("_names", F.array(F.concat_ws(".", "src_table", "label"), F.col("label")))
+    asked = names.select("field_key", "chunk", F.posexplode("_names").alias("_way", "_name"))
+    best = asked.join(told, ["chunk", "_name"]).groupBy("field_key").agg(F.min_by("_targets", "_way").alias("_targets"))
+    plain = best.select("field_key", F.posexplode("_targets").alias("_at", "_t")).select("field_key", "_at", F.substring_index("_t", ".", -1).alias("concept"))
+    kept = plain.join(concepts.select("concept").distinct(), "concept").groupBy("field_key").agg(F.array_sort(F.collect_list(F.struct("_at", "concept"))).alias("_l"))
+    kept = kept.select("field_key", F.transform("_l", lambda x: x["concept"]).alias("_p"))
+    return fields.select("field_key").join(kept, "field_key", "left").select("field_key", F.coalesce("_p", F.array().cast("array<string>")).alias("predicted"))

@@ -64,12 +64,36 @@ def auroc(df: DataFrame, score: str, label: str, keys: tuple[str, ...] = ()) ->
     return ranked.groupBy(*keys).agg(p.cast("long").alias("n_pos"), n.cast("long").alias("n_neg"), F.round(out, 6).alias("auroc"))
 
 
-def average_precision(df: DataFrame, score: str, label: str, tie: str) -> DataFrame:
+def average_precision(df: DataFrame, score: str, label: str, tie: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Precision at the ranks of positives, averaged; ties by the column ``tie``."""
-    order = Window.orderBy(F.desc(score), tie)
+    order = Window.partitionBy(*keys).orderBy(F.desc(score), tie)
     ranked = df.withColumns({"_r": F.row_number().over(order), "_tp": F.sum(label).over(order.rowsBetween(Window.unboundedPreceding, 0))})
     hit = F.col(label) == 1
-    return ranked.agg(F.count_if(hit).alias("n_pos"), F.round(F.avg(F.when(hit, F.col("_tp") / F.col("_r"))), 6).alias("average_precision"))
+    return ranked.groupBy(*keys).agg(F.count_if(hit).alias("n_pos"), F.round(F.avg(F.when(hit, F.col("_tp") / F.col("_r"))), 6).alias("average_precision"))
+
+
+def recall_of_scores(df: DataFrame, scores: str, target: str, ks: tuple[int, ...] = (1, 5, 10), ignore: int = -1) -> DataFrame:
+    """Recall at k of rows of scores over all classes, in per cent; null without a target.
+
+    Rows whose target is ``ignore`` are skipped; beyond the number of classes k is that
+    number. Of equal scores the lower class stands first; minus infinity may be a score.
+    """
+    kept = df.filter(F.col(target) != ignore)
+    own = F.get(scores, F.col(target).cast("int"))
+    before = F.size(F.filter(F.col(scores), lambda x, i: (x > own) | ((x == own) & (i < F.col(target)))))
+    rank = kept.select(before.alias("_before"), F.size(scores).alias("_classes"))
+    hits = [F.round(100 * F.avg((F.col("_before") < F.least(F.lit(k), F.col("_classes"))).cast("int")), 4).alias(f"recall_{k}") for k in ks]
+    return rank.agg(F.count(F.lit(1)).alias("n"), *hits)
+
+
+def kappa_assigned(df: DataFrame, a: str, b: str, unknown: str = "UNKNOWN") -> DataFrame:
+    """Cohen's kappa on whether a concept was assigned at all."""
+
+    def collapsed(c: str) -> Column:
+        told = F.coalesce(F.col(c), F.lit(""))
+        return F.when(told.isin("", "UNSURE"), told).when(told == unknown, unknown).otherwise("ASSIGNED")
+
+    return kappa(df.select(collapsed(a).alias("_left"), collapsed(b).alias("_right")), "_left", "_right")
 
 
 def calibrate(df: DataFrame, grid: DataFrame) -> DataFrame:
@@ -122,10 +146,10 @@ def at_coverage(points: DataFrame, target: float) -> DataFrame:
 
 def resample(n: int, replicates: DataFrame) -> DataFrame:
     """(rep, draw): n draws of row numbers below n for each replicate, from digests."""
-    i = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     digest = F.md5(F.concat_ws("-", F.col("rep").cast("string"), F.col("i").cast("string")))
     number = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
-    return replicates.select("rep", i.alias("i")).select("rep", (number % n).alias("draw"))
+    rows = replicates.sparkSession.range(n).withColumnRenamed("id", "i")
+    return rows.crossJoin(F.broadcast(replicates.select("rep"))).select("rep", (number % n).alias("draw"))  # a parameter
 
 
 def kappa(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -100,3 +100,42 @@ def verify_rows(counts: DataFrame, expected: DataFrame, key: str, strict: Column
     joined = counts.join(expected, key, "full_outer")
     same = F.col("rows").eqNullSafe(F.col("expected_rows"))
     return joined.withColumn("ok", same | ~strict)
+
+
+def canonical_drugs(df: DataFrame, src_table: str, stay: str, drug: str, at: Column, amount: str, unit: str | None) -> DataFrame:
+    """A drug table in the canonical shape: the value is its rate or its dose."""
+    return df.select(
+        F.expr(f"try_cast({stay} AS bigint)").alias("stay_key"),
+        F.col(drug).cast("string").alias("field_key"),
+        at.cast("long").alias("t_offset"),
+        F.expr(f"try_cast({amount} AS double)").alias("value_num"),
+        (F.col(unit) if unit else F.lit(None)).cast("string").alias("value_uom"),
+        F.lit(src_table).alias("src_table"),
+    )
+
+
+def category_members(dictionary: DataFrame, category: str, wanted: list[tuple[list[str], Column | None]]) -> DataFrame:
+    """Rows whose category is listed, each list under its own condition (or none)."""
+    keep = F.lit(False)
+    for names, when in wanted:
+        own = F.col(category).isin(names)
+        keep = keep | (own if when is None else own & F.coalesce(when, F.lit(False)))
+    return dictionary.filter(keep)
+
+
+def age_years(age: Column) -> Column:
+    """Years of an age as it is written; above a limit (``> 89``) one more than the limit."""
+    plain = F.trim(age)
+    limit = F.try_to_number(F.regexp_extract(plain, r"^>\s*(\d+)$", 1), F.lit("999")).cast("double") + 1
+    return F.coalesce(limit, plain.try_cast("double"))
+
+
+def cohort(stays: DataFrame, first: Column, days: Column, age: Column) -> DataFrame:
+    """First stays of a day or more of adults."""
+    return stays.filter(first & (days >= 1.0) & (age >= 18))
+
+
+def channel_means(values: DataFrame, mapping: DataFrame, keys: list[str], field: str, value: str) -> DataFrame:
+    """The mean of field means of each channel, every field alike; fields of no channel are left out."""
+    per_field = values.groupBy(*keys, field).agg(F.avg(value).alias("_m"))
+    return per_field.join(mapping, field).groupBy(*keys, "channel").agg(F.avg("_m").alias("value"))
