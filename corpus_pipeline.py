@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import contamination, jaccard, mixing, quality, secrets
-from fieldloom.llm.common import stored, table
+from fieldloom.llm.common import discard_since, stored, stored_paths, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -25,20 +25,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id.
+    """One document of each group of near duplicates: the one with the least id, null last.
 
-    Repeated rows of that id are one document. Rows without an id stay.
+    Rows that share an id but not the text are documents of their own groups; repeated
+    rows are one. Texts without words are in no group: their rows stay.
     """
-    docs = docs.select(*COLUMNS)
-    classes = jaccard.jaccard_join(docs)
-    first = classes.filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(*COLUMNS)
+    return jaccard.distinct_documents(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no, or next to nothing, of the benchmark."""
-    found = contamination.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), keep_text=True)
+    items = table(spark, sf_dir, "benchmark")
+    found = contamination.decontaminate(docs.select(*COLUMNS), items, keep_text=True, unnamed=True)
     return found.filter(~F.col("contaminated")).select(*COLUMNS)
 
 
@@ -51,9 +49,14 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document: see ``op2``."""
+    """What the mix takes of each document: see ``op2``; ``pieces`` are the training texts.
+
+    A shard of the training set is its pieces, by ``slot`` and ``at``.
+    """
+    docs = docs.select(*COLUMNS)
     documents, segments = mixing.mix(docs)
-    return mixing.taken(documents, segments).select("doc_id", "source", "size", "source_size", "target", "taken")
+    found = mixing.mixed_texts(docs, documents, segments)
+    return found.select("doc_id", "source", "size", "source_size", "target", "taken", "pieces")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -69,7 +72,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), stored_paths()
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        # What a stage wrote for itself, and its predecessor's rows, are read no more.
+        discard_since(before, docs)
     return docs
