@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import running
 from . import vocabulary as V
 from .portable import first_match
 from .units import dimension, effective_unit
@@ -39,14 +40,14 @@ def log_magnitude(x: Column) -> Column:
 def quantile_edges(df: DataFrame, value: str, buckets: int = 10) -> DataFrame:
     """One row ``edges``: the sorted values at n·i/buckets, from 0, for i in 1…buckets-1.
 
-    For catalogues, with a row for each field; a rank over all of them is one sort.
+    Values are counted first; a value holds all places up to its running count.
     """
     kept = df.filter(F.col(value).isNotNull()).select(F.col(value).alias("v"))
-    ranked = kept.withColumn("rank", F.row_number().over(Window.orderBy("v")) - 1).crossJoin(
-        kept.agg(F.count(F.lit(1)).alias("n"))
-    )
+    counts = kept.groupBy("v").agg(F.count(F.lit(1)).alias("held"))
+    ranked = running(counts, "v", {"end": F.col("held")}).crossJoin(F.broadcast(kept.agg(F.count(F.lit(1)).alias("n"))))  # one row
     picks = F.explode(F.sequence(F.lit(1), F.lit(buckets - 1)))
-    wanted = ranked.withColumn("i", picks).filter(F.col("rank") == F.floor(F.col("n") * F.col("i") / buckets))
+    place = F.floor(F.col("n") * F.col("i") / buckets)
+    wanted = ranked.withColumn("i", picks).filter((place < F.col("end")) & (place >= F.col("end") - F.col("held")))
     return wanted.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("edges"))
 
 

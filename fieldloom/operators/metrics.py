@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered as O
+
 
 def _sums(**parts: Column) -> list[Column]:
     return [F.count_if(c).alias(k) for k, c in parts.items()]
@@ -53,11 +55,16 @@ def open_set(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 def auroc(df: DataFrame, score: str, label: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """The U statistic with mean ranks of ties; null where one class is missing.
 
-    Scores are counted first, so that the window runs over distinct scores.
+    Scores are counted first, so that ranks run over distinct scores; without keys they
+    run in pieces of the order, with keys in one window for each.
     """
     counts = df.groupBy(*keys, score).agg(F.sum(label).alias("_p"), F.count(F.lit(1)).alias("_n"))
-    below = F.sum("_n").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("_rank", below - F.col("_n") + (F.col("_n") + 1) / 2)
+    if keys:
+        window = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
+        counted = counts.withColumn("_below", F.sum("_n").over(window))
+    else:
+        counted = O.running(counts, score, {"_below": F.col("_n")})
+    ranked = counted.withColumn("_rank", F.col("_below") - F.col("_n") + (F.col("_n") + 1) / 2)
     p, n = F.sum("_p"), F.sum("_n") - F.sum("_p")
     u = F.sum(F.col("_p") * F.col("_rank")) - p * (p + 1) / 2
     out = u / F.nullif((p * n).cast("double"), F.lit(0.0))
@@ -65,9 +72,12 @@ def auroc(df: DataFrame, score: str, label: str, keys: tuple[str, ...] = ()) ->
 
 
 def average_precision(df: DataFrame, score: str, label: str, tie: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Precision at the ranks of positives, averaged; ties by the column ``tie``."""
-    order = Window.partitionBy(*keys).orderBy(F.desc(score), tie)
-    ranked = df.withColumns({"_r": F.row_number().over(order), "_tp": F.sum(label).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    """Precision at the ranks of positives, averaged; ties by the numeric column ``tie``."""
+    if keys:
+        order = Window.partitionBy(*keys).orderBy(F.desc(score), tie)
+        ranked = df.withColumns({"_r": F.row_number().over(order), "_tp": F.sum(label).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    else:
+        ranked = O.running(df, score, {"_r": F.lit(1), "_tp": F.col(label)}, tie, descending=True)
     hit = F.col(label) == 1
     return ranked.groupBy(*keys).agg(F.count_if(hit).alias("n_pos"), F.round(F.avg(F.when(hit, F.col("_tp") / F.col("_r"))), 6).alias("average_precision"))
 
@@ -121,22 +131,25 @@ def best_threshold(calibrated: DataFrame, theta: str = "theta", value: str = "f1
 
 
 def curve(df: DataFrame, score: str, right: str, tie: str) -> DataFrame:
-    """(rank, coverage, precision) as candidates are accepted from the best score down."""
-    order = Window.orderBy(F.desc(score), tie).rowsBetween(Window.unboundedPreceding, 0)
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    return df.select(
-        F.count(F.lit(1)).over(order).alias("rank"),
-        F.round(100 * F.count(F.lit(1)).over(order) / n, 6).alias("coverage"),
-        F.round(100 * F.sum(right).over(order) / F.count(F.lit(1)).over(order), 6).alias("precision"),
+    """(rank, coverage, precision) as candidates are accepted from the best score down.
+
+    ``tie`` is a numeric column that tells equal scores apart.
+    """
+    ranked = O.running(df.select(score, tie, right), score, {"_r": F.lit(1), "_right": F.col(right)}, tie, descending=True)
+    total = df.agg(F.count(F.lit(1)).alias("_n"))
+    return ranked.crossJoin(F.broadcast(total)).select(  # one row
+        F.col("_r").alias("rank"),
+        F.round(100 * F.col("_r") / F.col("_n"), 6).alias("coverage"),
+        F.round(100 * F.col("_right") / F.col("_r"), 6).alias("precision"),
     )
 
 
 def curve_area(points: DataFrame) -> DataFrame:
     """Trapezoids over coverage, divided by its range."""
-    order = Window.orderBy("coverage", "rank")
-    x, y = F.col("coverage"), F.col("precision")
-    piece = (x - F.lag(x).over(order)) * (y + F.lag(y).over(order)) / 2
-    return points.withColumn("_a", piece).agg(F.round(F.sum("_a") / F.nullif(F.max(x) - F.min(x), F.lit(0.0)), 4).alias("area"))
+    steps = O.sum_over_steps(points, "coverage", "rank", "coverage", "precision")
+    x = F.col("coverage")
+    span = points.agg(F.nullif(F.max(x) - F.min(x), F.lit(0.0)).alias("span"))
+    return steps.crossJoin(F.broadcast(span)).select(F.round(F.col("total") / F.col("span"), 4).alias("area"))  # one row
 
 
 def at_coverage(points: DataFrame, target: float) -> DataFrame:

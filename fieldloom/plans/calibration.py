@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.portable import crc_split_of
 from ..operators import metrics as K
+from ..operators import ordered as O
 from ..operators import relational as R
 from .base import Registry, table
 from .matching import AUROC_SQL, GATE_SQL, SCORES_SQL, gate_of, labelled, ranking, top
@@ -51,8 +52,8 @@ def subsampled_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every n-th of the sorted scores, and an end point: the curve's thresholds."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     total = orders.agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")) - 1
-    picked = orders.withColumn("i", place).crossJoin(total).filter(F.col("i") % F.greatest(F.lit(1), F.floor(F.col("n") / 200)) == 0)
+    placed = O.running(orders, "o_totalprice", {"i": F.lit(1)}, "o_orderkey", descending=True).withColumn("i", F.col("i") - 1)
+    picked = placed.crossJoin(F.broadcast(total)).filter(F.col("i") % F.greatest(F.lit(1), F.floor(F.col("n") / 200)) == 0)  # one row
     end = spark.range(1).select(F.lit(None).cast("long").alias("o_orderkey"), F.lit(-1e9).alias("o_totalprice"))
     return picked.select("o_orderkey", "o_totalprice").unionByName(end)
 
@@ -137,7 +138,7 @@ def openset_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT y, row_number() OVER (ORDER BY x, doc_id) AS r FROM ({LABELLED}))""")
 def transfer_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks by position: ties stand in the order of their ids."""
-    ranked = labelled(spark, sf_dir).withColumn("r", F.row_number().over(Window.orderBy("x", "doc_id")))
+    ranked = O.running(labelled(spark, sf_dir), "x", {"r": F.lit(1)}, "doc_id")
     p, n = F.sum("y"), F.count(F.lit(1)) - F.sum("y")
     return ranked.agg(F.round((F.sum(F.when(F.col("y") == 1, F.col("r"))) - p * (p + 1) / 2) / (p * n), 6).alias("auroc"))
 

@@ -6,12 +6,13 @@ split by digest gives the training fields whose means are the concepts' prototyp
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.portable import hash_tenth
 from ..operators import matching as M
 from ..operators import metrics as K
+from ..operators import ordered as O
 from .base import Registry, table
 
 registry = Registry()
@@ -276,7 +277,7 @@ REPS_SQL = AUROC_SQL.format(keys="rep,", part="PARTITION BY rep", part2="PARTITI
 
 def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty replicates of the labelled rows, drawn by digests."""
-    rows = labelled(spark, sf_dir).withColumn("draw", F.row_number().over(Window.orderBy("doc_id")).cast("long") - 1)
+    rows = O.running(labelled(spark, sf_dir), "doc_id", {"draw": F.lit(1)}).withColumn("draw", F.col("draw") - 1)
     n = rows.count()
     return K.resample(n, spark.range(20).withColumnRenamed("id", "rep")).join(rows, "draw")
 

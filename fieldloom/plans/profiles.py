@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.portable import blank_to_null, hash_tenth, split_of, try_number, years_apart
@@ -501,6 +501,4 @@ def channel_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT field_key, first_offset FROM (SELECT event_type AS field_key, min(CAST(floor(epoch(ts) / 60) AS BIGINT)) AS first_offset FROM events GROUP BY 1)""")
 def offset_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("field_key")
-    obs = event_observations(spark, sf_dir)
-    return obs.select("field_key", F.min("t_offset").over(w).alias("first_offset")).distinct()
+    return event_observations(spark, sf_dir).groupBy("field_key").agg(F.min("t_offset").alias("first_offset"))
