@@ -55,3 +55,20 @@ def bucket(value: Column, edges: Column) -> Column:
     """The number of edges not above the value, at most 9; missing is a bucket."""
     below = F.size(F.filter(edges, lambda e: value >= e))
     return F.when(value.isNull(), MISSING_BUCKET).otherwise(F.least(below, F.lit(MISSING_BUCKET - 1))).cast("long")
+
+
+def concept_tokens(sources: DataFrame, concepts: DataFrame, tokens: dict[str, Column], missing: dict[str, Column]) -> DataFrame:
+    """The tokens of each concept's source field with the most rows (least key of equals).
+
+    ``sources`` has (concept, field_key, n_rows) and what the tokens read; a concept
+    without any gets ``missing``.
+    """
+    order = F.struct((-F.col("n_rows")).alias("n"), "field_key")
+    best = sources.groupBy("concept").agg(F.min_by(F.struct(*(v.alias(k) for k, v in tokens.items())), order).alias("_t"))
+    out = concepts.select("concept").join(best, "concept", "left")
+    return out.select("concept", *(F.when(F.col("_t").isNull(), missing[k]).otherwise(F.col("_t")[k]).alias(k) for k in tokens))
+
+
+def vocabulary_sizes(vocabularies: DataFrame) -> DataFrame:
+    """(name, size): entries of each saved vocabulary, and one more place for the missing."""
+    return vocabularies.groupBy("name").agg((F.countDistinct("entry") + 1).alias("size"))

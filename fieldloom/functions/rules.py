@@ -146,6 +146,17 @@ def gated_score(score: Column, g: Column, weights: tuple[float, float, float] =
     return F.when(g["hard_reject"], float("-inf")).otherwise(soft)
 
 
-def explain(g: Column) -> Column:
+def unit_reason(a: Field, b: Field) -> Column:
+    """The units that were compared, what each is known by, and how they relate."""
+    def side(f: Field) -> Column:
+        e = effective_unit(f.unit_observed, f.raw_name)
+        return F.concat(F.coalesce(e["unit"], F.lit("-")), F.lit(" ("), e["source"], F.lit(")"))
+
+    return F.concat(F.lit("unit: "), side(a), F.lit(" / "), side(b), F.lit(" "), relation(a.get("unit"), b.get("unit")))
+
+
+def explain(g: Column, a: Field | None = None, b: Field | None = None) -> Column:
+    """The verdicts line by line; with both fields, what was known of their units, too."""
     verdict = F.when(g["hard_reject"], "rejected").otherwise("kept")
-    return F.concat_ws("\n", g["reasons"], verdict)
+    told = [] if a is None or b is None else [unit_reason(a, b)]
+    return F.concat_ws("\n", g["reasons"], *told, verdict)

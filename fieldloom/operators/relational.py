@@ -95,6 +95,19 @@ def batches(df: DataFrame, group: list[str], order: list[str], item: str, size:
     return numbered.groupBy(*group, "batch").agg(listed.alias("items"))
 
 
+def manifest(chunks: DataFrame, group: list[str], batch: str, items: str) -> DataFrame:
+    """One row for each chunk: its size, first and last item."""
+    return chunks.select(
+        *group, batch, F.size(items).cast("long").alias("n"), F.get(items, F.lit(0)).alias("first"), F.element_at(items, -1).alias("last")
+    )
+
+
+def first_filled(df: DataFrame, candidates: list[str]) -> Column:
+    """The first of those columns that exist in which something is written, trimmed; else null."""
+    there = [F.nullif(F.trim(c), F.lit("")) for c in candidates if c in df.columns]
+    return F.coalesce(*there) if there else F.lit(None).cast("string")
+
+
 def verify_rows(counts: DataFrame, expected: DataFrame, key: str, strict: Column) -> DataFrame:
     """Found and expected rows side by side, and whether they agree where they must."""
     joined = counts.join(expected, key, "full_outer")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .relational import keep_first
+from .relational import keep_first, tiered_match
 
 
 def concept_status(pairs: DataFrame, concept: str, db: str, every: list[str]) -> DataFrame:
@@ -22,6 +22,57 @@ def concept_status(pairs: DataFrame, concept: str, db: str, every: list[str]) ->
     )
 
 
+def verify_pairs(pairs: DataFrame, catalogue: DataFrame, every: list[str], suffixed: list[str]) -> DataFrame:
+    """Parsed (db, field_key, concept) against the catalogue's (db, field_key), with ``status``.
+
+    A key of the databases ``suffixed`` may match by its last segments. Keys found nowhere
+    are ``missing``; concepts that all databases have are ``auto``, others ``queue``.
+    """
+    names = catalogue.select("db", "field_key").distinct()
+    parsed = pairs.select("db", "field_key", "concept").distinct()
+    plain = ~F.col("db").isin(suffixed)
+    exact = parsed.filter(plain).join(names, ["db", "field_key"]).withColumn("matched", F.col("field_key"))
+    found = exact
+    for db in suffixed:
+        own = parsed.filter(F.col("db") == db)
+        hits = tiered_match(own, names.filter(F.col("db") == db).select("field_key"), "field_key", "field_key")
+        found = found.unionByName(own.join(hits.select("field_key", "matched"), "field_key"))
+    status = concept_status(found, "concept", "db", every).select("concept", "covered", "missing", "status")
+    lost = parsed.join(found.select("db", "field_key", "concept").distinct(), ["db", "field_key", "concept"], "left_anti")
+    return found.join(status, "concept").unionByName(lost.withColumn("status", F.lit("missing")), allowMissingColumns=True)
+
+
+def still_needed(queue: DataFrame, concept: str, missing: str) -> DataFrame:
+    """(db, concept): what each database lacks, of '+'-joined sets."""
+    return queue.select(F.explode(F.split(missing, r"\+")).alias("db"), concept).filter("db <> ''").distinct()
+
+
+def shared_identifiers(a: DataFrame, b: DataFrame, key: str, label: str) -> DataFrame:
+    """Keys that two dictionaries have with the same label, but for case and outer blanks."""
+    def names(df: DataFrame) -> DataFrame:
+        return df.select(key, F.lower(F.trim(label)).alias("_label"))
+
+    return names(a).join(names(b), [key, "_label"]).select(key).distinct()
+
+
+def resolve_by_identity(queue: DataFrame, shared: DataFrame, present: DataFrame, key: str, db: str, other: str) -> tuple[DataFrame, DataFrame]:
+    """(resolved, still): rows of ``db`` that lack ``other`` and share their key with it.
+
+    Their key must be in ``present``, too. A resolved row that lacks more stays in the
+    queue, with ``other`` moved from ``missing`` to ``covered``.
+    """
+    known = shared.select(key).intersect(present.select(key)).withColumn("_known", F.lit(True))
+    lacks, has = F.split("missing", r"\+"), F.split("covered", r"\+")
+    told = queue.join(known, key, "left")
+    hit = (F.col("db") == db) & F.array_contains(lacks, other) & F.coalesce("_known", F.lit(False))
+    told = told.withColumn("_hit", F.coalesce(hit, F.lit(False))).drop("_known")
+    resolved = told.filter("_hit").drop("_hit").withColumn("db", F.lit(other))
+    rest = F.array_join(F.array_sort(F.array_remove(lacks, other)), "+")
+    now = F.array_join(F.array_sort(F.array_distinct(F.array_remove(F.array_append(has, F.lit(other)), ""))), "+")
+    moved = told.withColumns({"missing": F.when(F.col("_hit"), rest).otherwise(F.col("missing")), "covered": F.when(F.col("_hit"), now).otherwise(F.col("covered"))})
+    return resolved, moved.filter(~F.col("_hit") | (F.col("missing") != "")).drop("_hit")
+
+
 def queue_resolved(queue: DataFrame, resolved: DataFrame, keys: list[str], missing: str, found: str) -> DataFrame:
     """A queue whose '+'-joined missing sets lose what was found; done rows go."""
     by_key = resolved.groupBy(*keys).agg(F.collect_set(found).alias("_found"))

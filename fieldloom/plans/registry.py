@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import alignment, calibration, matching, profiles, rules, workflow
+from . import alignment, calibration, matching, profiles, rules, storage, workflow
 
-MODULES = (profiles, rules, matching, calibration, workflow, alignment)
+MODULES = (profiles, rules, matching, calibration, workflow, alignment, storage)
 QUERIES = {k: v for m in MODULES for k, v in m.registry.queries.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.registry.oracles.items()}

@@ -330,3 +330,27 @@ def evidence_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stat_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = ((F.col("p_size") - 10) * 10.0).cast("double")
     return table(spark, sf_dir, "part").select("p_partkey", F.round(E.stat_similarity(F.col("p_retailprice"), y), 6).alias("similarity"))
+
+
+SB_SQL = "CASE WHEN ub IS NOT NULL THEN 'measured' WHEN nb IS NOT NULL THEN 'from_name' ELSE 'missing' END"
+
+
+@query(f"SELECT p_partkey, 'unit: ' || coalesce(ea, '-') || ' (' || sa || ') / ' || coalesce(eb, '-') || ' (' || {SB_SQL} || ') ' || {relation_sql('ea', 'eb')} AS reason FROM ({EFFECTIVE_SQL})")
+def unit_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line of the explanation that tells what is known of both units."""
+    found = fields(spark, sf_dir)
+    return found.select("p_partkey", G.unit_reason(G.Field.at("a_"), G.Field.at("b_")).alias("reason"))
+
+
+_CONCEPT_SQL = f"SELECT *, p_partkey % 9 AS concept FROM ({EFFECTIVE_SQL}) WHERE p_partkey % 9 < 7"
+
+
+@query(f"""SELECT r.concept, coalesce(t.unit_class, 'missing') AS unit_class FROM range(9) r(concept) LEFT JOIN (
+  SELECT concept, CASE WHEN ea IS NULL THEN 'missing' ELSE coalesce({lookup_sql('ea', V.UNIT_DIMENSIONS)}, 'other') END AS unit_class
+  FROM ({_CONCEPT_SQL}) QUALIFY row_number() OVER (PARTITION BY concept ORDER BY p_size DESC, p_partkey) = 1) t USING (concept)""")
+def concept_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of a concept are those of its field with the most rows."""
+    found = fields(spark, sf_dir).withColumns({"concept": F.col("p_partkey") % 9, "field_key": F.col("p_partkey"), "n_rows": F.col("p_size")})
+    tokens = {"unit_class": E.unit_class(F.col("a_unit_observed"), F.col("a_raw_name"))}
+    concepts = spark.range(9).select(F.col("id").alias("concept"))
+    return E.concept_tokens(found.filter("concept < 7"), concepts, tokens, {"unit_class": F.lit("missing")})

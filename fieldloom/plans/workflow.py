@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics as K
@@ -192,3 +192,79 @@ SELECT page_id, len(regexp_extract_all(html, '<a href="([^"]+)"', 1)) AS n_links
 def page_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = F.size(F.regexp_extract_all("html", F.lit('<a href="([^"]+)"'), F.lit(1))).cast("long")
     return table(spark, sf_dir, "pages").select("page_id", links.alias("n_links"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+DBS = ["a", "b", "c"]
+_DB = "['a', 'b', 'c'][{k} % 3 + 1]"
+#: Parsed pairs; in database c a key is the last segment of what the catalogue calls it.
+PARSED_SQL = f"SELECT {_DB.format(k='p_partkey')} AS db, CAST(p_partkey AS VARCHAR) AS field_key, 'k' || (p_partkey // 3 % 40) AS concept FROM part"
+HELD_SQL = f"""SELECT DISTINCT {_DB.format(k='l_partkey')} AS db, CASE WHEN l_partkey % 3 = 2 THEN 'x|' ELSE '' END || l_partkey AS field_key
+  FROM lineitem WHERE l_quantity > 49"""
+
+
+def _db(key: str) -> Column:
+    return F.get(F.array(*map(F.lit, DBS)), (F.col(key) % 3).cast("int"))
+
+
+def gold_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    concept = F.concat(F.lit("k"), (F.floor(F.col("p_partkey") / 3) % 40).cast("string"))
+    parsed = table(spark, sf_dir, "part").select(_db("p_partkey").alias("db"), F.col("p_partkey").cast("string").alias("field_key"), concept.alias("concept"))
+    held = table(spark, sf_dir, "lineitem").filter("l_quantity > 49").select("l_partkey").distinct()
+    name = F.concat(F.when(F.col("l_partkey") % 3 == 2, "x|").otherwise(""), F.col("l_partkey").cast("string"))
+    return L.verify_pairs(parsed, held.select(_db("l_partkey").alias("db"), name.alias("field_key")), DBS, ["c"])
+
+
+GOLD_SQL = f"""WITH p AS ({PARSED_SQL}), h AS ({HELD_SQL}), f AS (SELECT p.*, h.field_key AS matched FROM p JOIN h ON p.db = h.db AND h.field_key = CASE WHEN p.db = 'c' THEN 'x|' ELSE '' END || p.field_key),
+s AS (SELECT concept, list_sort(list(DISTINCT db)) AS dbs FROM f GROUP BY concept),
+g AS (SELECT db, field_key, matched, concept, CASE WHEN len(dbs) = 3 THEN 'auto' ELSE 'queue' END AS status, array_to_string(dbs, '+') AS covered,
+  array_to_string(list_filter(['a', 'b', 'c'], lambda x: NOT list_contains(dbs, x)), '+') AS missing FROM f JOIN s USING (concept)
+  UNION ALL SELECT p.db, p.field_key, NULL, p.concept, 'missing', NULL, NULL FROM p ANTI JOIN f USING (db, field_key))"""
+
+
+@query(f"{GOLD_SQL} SELECT * FROM g")
+def gold_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed pairs verified against the catalogues: automatic, for the queue, or missing."""
+    return gold_pairs(spark, sf_dir).select("db", "field_key", "matched", "concept", "status", "covered", "missing")
+
+
+@query(f"{GOLD_SQL} SELECT DISTINCT unnest(string_split(missing, '+')) AS db, concept FROM g WHERE status = 'queue'")
+def concepts_still_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.still_needed(gold_pairs(spark, sf_dir).filter("status = 'queue'"), "concept", "missing")
+
+
+_LABELS = "CASE WHEN p_size % 5 = 0 THEN p_type ELSE ' ' || upper(p_name) || ' ' END"
+IDENTITY_SQL = f"""WITH shared AS (SELECT p_partkey FROM part WHERE lower(trim(p_name)) = lower(trim({_LABELS})) AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 20)),
+q AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'c' ELSE 'a' END AS db, CASE WHEN p_partkey % 3 = 0 THEN 'b+c' WHEN p_partkey % 3 = 1 THEN 'b' ELSE 'c' END AS missing FROM part),
+t AS (SELECT *, db = 'a' AND contains(missing, 'b') AND p_partkey IN (SELECT p_partkey FROM shared) AS hit FROM q)"""
+
+
+@query(f"""{IDENTITY_SQL} SELECT p_partkey, 'b' AS db, missing, 'resolved' AS part FROM t WHERE hit
+UNION ALL SELECT p_partkey, db, CASE WHEN hit THEN 'c' ELSE missing END, CASE WHEN hit THEN 'a+b' ELSE 'a' END FROM t WHERE NOT hit OR missing <> 'b'""")
+def resolve_by_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key with one label in two dictionaries is the same field in both."""
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    other = F.when(F.col("p_size") % 5 == 0, F.col("p_type")).otherwise(F.concat(F.lit(" "), F.upper("p_name"), F.lit(" ")))
+    shared = L.shared_identifiers(part.select("p_partkey", F.col("p_name").alias("label")), part.select("p_partkey", other.alias("label")), "p_partkey", "label")
+    present = table(spark, sf_dir, "lineitem").filter("l_quantity > 20").select(F.col("l_partkey").alias("p_partkey"))
+    missing = F.when(k % 3 == 0, "b+c").when(k % 3 == 1, "b").otherwise("c")
+    queue = part.select("p_partkey", F.when(k % 4 == 0, "c").otherwise("a").alias("db"), missing.alias("missing"), F.lit("a").alias("covered"))
+    resolved, still = L.resolve_by_identity(queue, shared, present, "p_partkey", "a", "b")
+    out = resolved.select("p_partkey", "db", "missing", F.lit("resolved").alias("part"))
+    return out.unionByName(still.select("p_partkey", "db", "missing", F.col("covered").alias("part")))
+
+
+@query("""SELECT g, batch, count(*) AS n, CAST(min(k) AS VARCHAR) AS first, CAST(max(k) AS VARCHAR) AS last FROM (SELECT c_mktsegment AS g, c_custkey AS k,
+  (row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1) // 120 AS batch FROM customer) GROUP BY g, batch""")
+def chunk_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Worksheets in chunks of 120 rows, and what each holds."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("g"), F.col("c_custkey").cast("string").alias("k"), "c_custkey")
+    return R.manifest(R.batches(rows, ["g"], ["c_custkey"], "k", 120), ["g"], "batch", "items")
+
+
+@query("""SELECT p_partkey, coalesce(CASE WHEN p_size % 3 = 0 THEN nullif(trim(p_brand), '') END, nullif(trim(CASE WHEN p_size % 2 = 0 THEN '  ' ELSE p_type END), '')) AS code FROM part""")
+def code_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A code from the first of the columns that a bridge may name it by."""
+    bridge = table(spark, sf_dir, "part").select(
+        "p_partkey", F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).otherwise("").alias("m3_code"), F.when(F.col("p_size") % 2 == 0, "  ").otherwise(F.col("p_type")).alias("CODE")
+    )
+    return bridge.select("p_partkey", R.first_filled(bridge, ["m3_code", "loinc", "CODE"]).alias("code"))

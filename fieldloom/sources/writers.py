@@ -16,7 +16,8 @@ def write(df: DataFrame, path: str, mode: str = "overwrite") -> int:
     seen = Observation()
     counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
     if path.endswith(".csv"):
-        counted.write.mode(mode).csv(path, header=True)
+        # Quotes are doubled, as the readers take them.
+        counted.write.mode(mode).option("escape", '"').csv(path, header=True)
     else:
         counted.write.mode(mode).option("compression", "zstd").parquet(path)
     return seen.get["rows"]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from fieldloom.operators import matching as M
 from fieldloom.operators import metrics as K
 from fieldloom.operators import relational as R
+from fieldloom.operators import workflow as L
 from fieldloom.sources import readers, writers
 from fieldloom.streaming.hourly import hourly_means
 
@@ -16,6 +17,30 @@ def test_csv_is_strings_without_a_mark(spark, tmp_path):
     assert df.columns == ["id", "v"] and [tuple(r) for r in df.collect()] == [("1", None), ("2", "x")]
 
 
+def test_csv_keeps_quotes_and_separators(spark, tmp_path):
+    rows = [("a, b", 'say "x"'), (None, 'z"'), ("q", "1,2")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert writers.write(df, str(tmp_path / "q.csv")) == 3
+    assert {tuple(r) for r in readers.csv_strings(spark, str(tmp_path / "q.csv")).collect()} == set(rows)
+
+
+def test_csv_inventory_counts_lines_and_quoted_names(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('"x, y","p ""q""",z\n1,2,3\n4,5,6\n')
+    (tmp_path / "b.csv").write_text("only\n")
+    found = {r["file"].rsplit("/", 1)[1]: (r["rows"], r["cols"]) for r in readers.csv_inventory(spark, str(tmp_path)).collect()}
+    assert found == {"a.csv": (2, 3), "b.csv": (0, 1)}
+    names = readers.headers(spark, str(tmp_path / "a.csv")).collect()
+    assert {(r["ordinal"], r["column_name"]) for r in names} == {(0, "x, y"), (1, 'p "q"'), (2, "z")}
+
+
+def test_resolved_rows_leave_the_queue(spark):
+    queue = spark.createDataFrame([("1", "a", "b", "a"), ("2", "a", "b+c", "a"), ("3", "a", "b", None), ("4", "c", "b", "c"), (None, "a", "b", "a")], "k string, db string, missing string, covered string")
+    shared = spark.createDataFrame([("1",), ("2",), ("4",)], "k string")
+    resolved, still = L.resolve_by_identity(queue, shared, shared, "k", "a", "b")
+    assert {(r["k"], r["db"]) for r in resolved.collect()} == {("1", "b"), ("2", "b")}
+    assert {(r["k"], r["missing"], r["covered"]) for r in still.collect()} == {("2", "c", "a+b"), ("3", "b", None), ("4", "b", "c"), (None, "b", "a")}
+
+
 def test_steps_resume(spark, tmp_path):
     made = []
 
