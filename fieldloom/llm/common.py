@@ -97,7 +97,7 @@ def _delete_all() -> None:
             return
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner", least: int = 0) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, key: str | list[str], total: int, how: str = "inner", least: int = 0) -> DataFrame:
     """``left`` joined with ``right``, which has a row for each key and its rows ``n`` in ``left``.
 
     Keys of more than a ten-thousandth of all ``total`` rows are joined by broadcast,

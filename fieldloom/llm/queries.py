@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, jaccard, lm, mixing, quality, secrets, tokens, toxicity, warc
+from . import chat, contamination, jaccard, lines, lm, mixing, negatives, quality, repair, secrets, tokens, toxicity, warc
 from .common import table
 
 
@@ -105,6 +105,27 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.summary(warc.derivatives(warc.responses(pages)))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come to the index in two loads, as they do to a corpus that grows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = lines.LineIndex(spark)
+    load = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)), F.lit(0))
+    for k in (0, 1):
+        index.insert(docs.filter(load == k))
+    kept = F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256")
+    return index.deduplicated(docs, min_docs=3).select("doc_id", "n_lines", "n_dropped", kept)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", moved), anchors=F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mixing": op2_source_mixing,
@@ -116,4 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_warc_derivatives": op10_warc_derivatives,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_hard_negatives": op13_hard_negatives,
 }
