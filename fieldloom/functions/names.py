@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
@@ -46,47 +46,6 @@ def display_name(label: Column, key: Column) -> Column:
     return last_segment(F.coalesce(F.nullif(label, F.lit("")), key))
 
 
-def source_triples(texts: DataFrame, db: str, text: str, file: str) -> DataFrame:
-    """(db, field_key, concept_raw, src_file, pattern) of all statements that map ids."""
-    found = None
-    for name, pattern, one, many, concept, body in V.SOURCE_PATTERNS:
-
-        def group(n: int | None, p: str = pattern) -> Column:
-            whole = F.regexp_extract_all(text, F.lit(p), F.lit(n or 0))
-            return whole if n else F.transform(whole, lambda _: F.lit(""))
-
-        hits = F.arrays_zip(group(one).alias("one"), group(many).alias("many"), group(concept).alias("concept"), group(body).alias("body"))
-        ids = r"\d+" if name in ("P1", "P2") else r"'([^']+)'"
-        listed = F.regexp_extract_all(F.col("hit.many"), F.lit(ids), F.lit(0 if ids == r"\d+" else 1))
-        keys = F.when(F.col("hit.one") != "", F.array("hit.one")).otherwise(listed)
-        rows = (
-            texts.select(F.col(db).alias("db"), F.col(file).alias("src_file"), F.explode(hits).alias("hit"))
-            .filter(F.length("hit.body") <= 900)
-            .select("db", F.explode(keys).alias("field_key"), F.trim("hit.concept").alias("concept_raw"), "src_file", F.lit(name).alias("pattern"))
-        )
-        found = rows if found is None else found.unionByName(rows)
-    return found.unionByName(two_level_triples(texts, db, text, file))
-
-
-def two_level_triples(texts: DataFrame, db: str, text: str, file: str) -> DataFrame:
-    """Triples whose key is ``label|name``; a long body spans other cases and is left out."""
-    found = None
-    for name, pattern, levels, concept, body in V.TWO_LEVEL_PATTERNS:
-
-        def group(n: int, p: str = pattern) -> Column:
-            return F.regexp_extract_all(text, F.lit(p), F.lit(n))
-
-        first, second = map(group, levels)
-        hits = F.arrays_zip(first.alias("first"), second.alias("second"), group(concept).alias("concept"), group(body).alias("body"))
-        rows = (
-            texts.select(F.col(db).alias("db"), F.col(file).alias("src_file"), F.explode(hits).alias("hit"))
-            .filter(F.length("hit.body") <= 900)
-            .select("db", F.concat_ws("|", "hit.first", "hit.second").alias("field_key"), F.trim("hit.concept").alias("concept_raw"), "src_file", F.lit(name).alias("pattern"))
-        )
-        found = rows if found is None else found.unionByName(rows)
-    return found
-
-
 def error_type(notes: Column, model: Column) -> Column:
     """The kind of a model's error, from what the experts noted."""
     told = F.lower(F.coalesce(notes, F.lit("")))
@@ -104,6 +63,29 @@ def error_type(notes: Column, model: Column) -> Column:
 
 #: Words that a card may not show: they would give the key away.
 FORBIDDEN_IN_CARDS = ["itemid", "field_key"]
+#: The card of a field in eleven slots, each with what stands for an empty one (fixed values).
+CARD_TEMPLATE = [
+    ("clinical field: ", "label", "unknown"),
+    (" | abbreviation: ", "abbreviation", "none"),
+    (" | source table: ", "src_table", "unknown"),
+    (" | category: ", "category", "unspecified"),
+    (" | data type: ", "dtype", "unknown"),
+    (" | unit: ", "unit", "not recorded"),
+    (" | typical range: p01 ", "p01", "na"),
+    (", median ", "p50", "na"),
+    (", p99 ", "p99", "na"),
+    (" | observations per stay: ", "obs_per_key", "na"),
+    (" | missing rate: ", "missing_rate", "na"),
+]
+
+
+def template_card(slots: dict[str, Column]) -> Column:
+    """A field's card by the template; slots that are missing or empty are told as such."""
+    parts = []
+    for before, slot, empty in CARD_TEMPLATE:
+        value = F.trim(slots[slot].cast("string")) if slot in slots else F.lit(None).cast("string")
+        parts += [F.lit(before), F.coalesce(F.nullif(value, F.lit("")), F.lit(empty))]
+    return F.concat(*parts)
 
 
 def field_card(slots: dict[str, Column]) -> Column:
@@ -116,6 +98,12 @@ def leaks_key(card: Column) -> Column:
     return F.greatest(*(F.lower(card).contains(w) for w in FORBIDDEN_IN_CARDS), F.lit(False))
 
 
+def prompt(template: str, sources: Column, targets: Column) -> Column:
+    """A template whose two marks are the lines of a batch of fields and of the concepts."""
+    told = F.replace(F.lit(template), F.lit("{{source_columns}}"), F.array_join(sources, "\n"))
+    return F.replace(told, F.lit("{{target_columns}}"), F.array_join(targets, "\n"))
+
+
 def field_line(table: Column, label: Column, category: Column, unit: Column, kind: Column, median: Column) -> Column:
     """``table.label -- category …; unit …; type …; median …``, without empty parts."""
     told = {"category ": category, "unit ": unit, "type ": kind, "median ": median.cast("string")}

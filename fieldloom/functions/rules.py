@@ -155,8 +155,55 @@ def unit_reason(a: Field, b: Field) -> Column:
     return F.concat(F.lit("unit: "), side(a), F.lit(" / "), side(b), F.lit(" "), relation(a.get("unit"), b.get("unit")))
 
 
-def explain(g: Column, a: Field | None = None, b: Field | None = None) -> Column:
-    """The verdicts line by line; with both fields, what was known of their units, too."""
+def _told(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit("-"))
+
+
+def _pair(x: Column, y: Column) -> Column:
+    return F.concat(_told(x), F.lit(" / "), _told(y))
+
+
+def type_reason(a: Field, b: Field) -> Column:
+    """Both types, and whether a conflict is one of declared types or of inferred ones."""
+    x, y = (F.coalesce(F.nullif(f.dtype_inferred, F.lit("")), F.lit("unknown")) for f in (a, b))
+    v = v_type(a, b)
+    vague = x.isin("unknown", "mixed") | y.isin("unknown", "mixed")
+    why = F.when(v == 0, "compatible").when(v == 1, "both declared").when(vague, "cannot tell").otherwise("inferred only")
+    return F.concat(F.lit("type: "), _pair(x, y), F.lit(" "), why)
+
+
+def specimen_reason(a: Field, b: Field) -> Column:
+    v = v_specimen(a, b)
+    why = F.when(v == 0, "compatible").when(v == 1, "other specimen").otherwise("cannot tell")
+    return F.concat(F.lit("specimen: "), _pair(a.get("specimen_class"), b.get("specimen_class")), F.lit(" "), why)
+
+
+def provenance_reason(a: Field, b: Field, concept_mode: bool = False) -> Column:
+    """What decided: methods, an unknown family, a conflict of families, a one-sided method, or a group."""
+    fa, fb, ma, mb = a.get("family"), b.get("family"), a.get("method"), b.get("method")
+    v, one_sided = v_prov(a, b, concept_mode), ma.isNull() != mb.isNull()
+    pair = F.concat_ws("+", F.least(fa, fb), F.greatest(fa, fb))
+    conflict = pair.isin([f"{x}+{y}" for x, y in V.FAMILY_CONFLICTS])
+    methods = F.concat(F.lit("methods "), _pair(ma, mb))
+    families = F.concat(F.lit("families "), _pair(fa, fb))
+    why = (
+        F.when(ma.isNotNull() & mb.isNotNull() & (ma != mb), F.concat(methods, F.lit(" differ")))
+        .when(fa.isNull() | fb.isNull(), F.concat(families, F.lit(" not registered")))
+        .when(conflict, F.concat(families, F.lit(" conflict; a concept is bound to none" if concept_mode else " conflict")))
+        .when((fa == fb) & one_sided, F.concat(methods, F.lit(" told on one side")))
+        .when(v == 0, F.concat(families, F.lit(" go together")))
+        .otherwise(F.concat(families, F.lit(" not listed")))
+    )
+    return F.concat(F.lit("provenance: "), why)
+
+
+def reasons(a: Field, b: Field, concept_mode: bool = False) -> Column:
+    """One line for each rule: what it compared, and why it came out as it did."""
+    return F.array(unit_reason(a, b), type_reason(a, b), provenance_reason(a, b, concept_mode), specimen_reason(a, b))
+
+
+def explain(g: Column, a: Field | None = None, b: Field | None = None, concept_mode: bool = False) -> Column:
+    """The verdicts line by line; with both fields, what each rule compared and why, too."""
     verdict = F.when(g["hard_reject"], "rejected").otherwise("kept")
-    told = [] if a is None or b is None else [unit_reason(a, b)]
+    told = [] if a is None or b is None else [F.array_join(reasons(a, b, concept_mode), "\n")]
     return F.concat_ws("\n", g["reasons"], *told, verdict)

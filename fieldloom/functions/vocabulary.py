@@ -178,20 +178,23 @@ CATEGORY_GROUPS = [
     (r"skin|access|line|care|assess|position|safety|activity", "care"),
 ]
 
-#: Statements of source SQL that map ids or labels to concepts: (name, pattern, groups
-#: of one id, of an id list, of the concept, of the body that may not be long).
-SOURCE_PATTERNS = [
-    ("P1", r"(?is)CASE\s+WHEN\s+itemid\s*(?:=\s*(\d+)|IN\s*\(([^)]*)\))(.*?)END\s*\)?\s*AS\s+([A-Za-z_][\w]*)", 1, 2, 4, None),
-    ("P2", r"(?i)when\s+itemid\s+in\s*\(([^)]*)\).*?then\s+\d+\s*--\s*([^\n,]+)", None, 1, 2, None),
-    ("P3", r"(?i)WHEN\s+itemid\s*=\s*(\d+)\s+THEN\s+'([^']+)'", 1, None, 2, None),
-    ("P4", r"(?is)case\s+when\s+labname\s*(?:=\s*'([^']+)'|in\s*\(([^)]*)\)).*?end\s*\)?\s*as\s+([A-Za-z_][\w]*)", 1, 2, 3, None),
-    ("P5b", r"(?is)respchartvaluelabel\s*(?:=\s*'([^']+)'|in\s*\(([^)]*)\))(.*?)end\s*(?:\)\s*)?as\s+([A-Za-z_][\w]*)", 1, 2, 4, 3),
-]
-
-#: Statements with a key of two levels, whose body may not be long: (name, pattern,
-#: groups of both levels, of the concept, of the body).
-TWO_LEVEL_PATTERNS = [
-    ("P5", r"(?is)nursingchartcelltypevallabel\s*=\s*'([^']+)'\s*and\s*nursingchartcelltypevalname\s*=\s*'([^']+)'(.*?)end\s*(?:\)\s*)?as\s+([A-Za-z_][\w]*)", (1, 2), 4, 3),
+#: The closing of a statement, and what stands before the first one.
+_END = r"END\s*+(?:\)\s*+)?AS\s++"
+CLOSING = rf"{_END}[A-Za-z_]\w*+"
+_TO_END = rf"((?:(?!{_END}[A-Za-z_]).)*+)(?:{_END}([A-Za-z_]\w*+))?+"
+#: What tells a name behind a line's value, and a key that goes on in the next line.
+_TOLD = r"then\s++\d++\s*+--\s*"
+_BROKEN = r"when[^\S\n]*+(?:\n|itemid[^\S\n]*+(?:\n|in[^\S\n]*+(?:\n|\([^)\n]*+\n)))"
+#: Statements of source SQL that map ids or labels to concepts: label, the text it is found in, pattern, groups of
+#: the only id (or both levels of it), of a list of ids, pattern of each of those, groups of
+#: the name and of what stands between, and the most that may.
+STATEMENT_KINDS = [
+    ("P1", "_closed", rf"(?is)CASE\s++WHEN\s++itemid\s*+(?:=\s*+(\d++)|IN\s*+\(([^)]*+)\)){_TO_END}", (1,), 2, r"(\d+)", 4, None, 0),
+    ("P2", "_lines", rf"(?i)when\s++itemid\s++in\s*+\(([^)]*+)\)(?:(?:(?!{_TOLD})[^\n])*+{_TOLD}([^\n,]+)|(?:(?!{_BROKEN})[^\n])*+)", (), 1, r"(\d+)", 2, None, 0),
+    ("P3", "_lines", r"(?i)WHEN\s++itemid\s*+=\s*+(\d++)\s++THEN\s++'([^']++)'", (1,), None, "", 2, None, 0),
+    ("P4", "_closed", rf"(?is)case\s++when\s++labname\s*+(?:=\s*+'([^']++)'|in\s*+\(([^)]*+)\)){_TO_END}", (1,), 2, r"'([^']+)'", 4, None, 0),
+    ("P5b", "_closed", rf"(?is)respchartvaluelabel\s*+(?:=\s*+'([^']++)'|in\s*+\(([^)]*+)\)){_TO_END}", (1,), 2, r"'([^']+)'", 4, 3, 900),
+    ("P5", "_closed", rf"(?is)nursingchartcelltypevallabel\s*+=\s*+'([^']++)'\s*+and\s*+nursingchartcelltypevalname\s*+=\s*+'([^']++)'{_TO_END}", (1, 2), None, "", 4, 3, 900),
 ]
 
 #: Words in experts' notes → the kind of error, the first that is found.

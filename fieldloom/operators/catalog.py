@@ -1,51 +1,70 @@
-"""Field catalogues: one aggregation over observations, joined to dictionaries after."""
+"""Field catalogues out of additive cells: one scan of the observations, however many figures.
+
+A cell counts the rows of a field that share a stay, a value or a unit. Cells of two sets
+of rows add up, so they are what is kept of part files that were profiled before.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .relational import mode_per_key, share
+from ..sources import scratch
+from .ordered import join_same, weighted_quantiles
+from .relational import share
 
 OBSERVATION = "stay_key bigint, field_key string, t_offset bigint, value_num double, value_uom string, src_table string"
 FIELD = ["field_key", "src_table"]
+#: What a cell counts, by the bits of the columns that it leaves out.
+KINDS = {0b011: "stay", 0b101: "value", 0b110: "unit"}
+PARTS = ["stay_key", "value_num", "value_uom"]
+QUANTILES = {"p01": (1, 100), "p50": (1, 2), "p99": (99, 100)}
 
 
 def dtype_of(numeric_rate: Column) -> Column:
     return F.when(numeric_rate >= 0.95, "numeric").when(numeric_rate <= 0.05, "categorical").otherwise("mixed")
 
 
-def field_catalog(observations: DataFrame, cohort: DataFrame | None = None, exact: bool = True) -> DataFrame:
-    """Counts, distinct stays, modal unit, quantiles, rates and type of each field.
+def field_cells(observations: DataFrame) -> DataFrame:
+    """(field_key, src_table, kind, stay_key, value_num, value_uom, n) by grouping sets over one scan.
 
-    ``cohort`` (stay_key) restricts the observations by a semi join and gives the
-    denominator of coverage; without it, the observations' own stays do. ``exact``
-    takes discrete percentiles; sketches otherwise, for fields of 10⁸ rows.
+    Each row adds to one cell of its stay, its value and its unit; rows are counted on the
+    map side, so that a field of 10⁹ rows is its distinct values by the time it is shuffled.
     """
-    if cohort is not None:
-        observations = observations.join(cohort.select("stay_key").distinct(), "stay_key", "left_semi")
-        stays = cohort.agg(F.countDistinct("stay_key").alias("_stays"))
-    else:
-        stays = observations.agg(F.countDistinct("stay_key").alias("_stays"))
-
-    def quantile(p: float) -> Column:
-        value = F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value_num)") if exact else F.percentile_approx("value_num", p, 10_000)
-        return F.round(value, 4)
-
-    counted = observations.groupBy(*FIELD).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.countDistinct("stay_key").alias("n_keys") if exact else F.approx_count_distinct("stay_key").alias("n_keys"),
-        F.count("value_num").alias("n_numeric"),
-        F.count("value_uom").alias("n_with_uom"),
-        quantile(0.01).alias("p01"),
-        quantile(0.5).alias("p50"),
-        quantile(0.99).alias("p99"),
+    sets = [[*FIELD, p] for p in PARTS]
+    counted = observations.groupingSets(sets, *FIELD, *PARTS).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_left_out"))
+    kind = F.element_at(F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv)), F.col("_left_out").cast("int"))
+    return counted.select(*FIELD, kind.alias("kind"), *PARTS, "n")
+
+
+def merged_cells(cells: DataFrame) -> DataFrame:
+    """Cells of several sets of rows as those of all of them."""
+    return cells.groupBy(*FIELD, "kind", *PARTS).agg(F.sum("n").alias("n"))
+
+
+def catalog_of(cells: DataFrame, stays: DataFrame | None = None) -> DataFrame:
+    """The catalogue of stored cells; ``stays`` is one row (_stays), else all stays of the cells."""
+    of = {k: F.col("kind") == k for k in KINDS.values()}
+    told = {k: c & F.col(p).isNotNull() for (k, c), p in zip(of.items(), PARTS, strict=True)}
+    if stays is None:
+        stays = cells.filter(told["stay"]).agg(F.countDistinct("stay_key").alias("_stays"))
+    modal = F.min(F.when(told["unit"], F.struct((-F.col("n")).alias("n"), F.col("value_uom").alias("unit"))))["unit"]
+    counted = cells.groupBy(*FIELD).agg(
+        F.sum(F.when(of["value"], F.col("n")).otherwise(0)).alias("n_rows"),
+        F.count_if(told["stay"]).alias("n_keys"),
+        F.sum(F.when(told["value"], F.col("n")).otherwise(0)).alias("n_numeric"),
+        F.sum(F.when(told["unit"], F.col("n")).otherwise(0)).alias("n_with_uom"),
+        modal.alias("unit_observed"),
     )
-    units = mode_per_key(observations, FIELD, "value_uom", "unit_observed")
+    found = weighted_quantiles(cells.filter(told["value"]), FIELD, "value_num", "n", QUANTILES)
+    joined = join_same(counted, found, FIELD, "left")
+    return _rates(joined.withColumns({q: F.round(q, 4) for q in QUANTILES}), stays)
+
+
+def _rates(counted: DataFrame, stays: DataFrame) -> DataFrame:
     numeric = F.col("n_numeric") / F.col("n_rows")
     return (
-        counted.join(units, FIELD, "left")
-        .crossJoin(F.broadcast(stays))  # one row
+        counted.crossJoin(F.broadcast(stays))  # one row
         .withColumns(
             {
                 "unit_recovery_rate": share(F.col("n_with_uom"), F.col("n_rows")),
@@ -60,6 +79,20 @@ def field_catalog(observations: DataFrame, cohort: DataFrame | None = None, exac
     )
 
 
+def field_catalog(observations: DataFrame, cohort: DataFrame | None = None) -> DataFrame:
+    """Counts, distinct stays, modal unit, quantiles, rates and type of each field.
+
+    ``cohort`` (stay_key) restricts the observations by a semi join and gives the
+    denominator of coverage; without it, the observations' own stays do. The observations
+    are read once; what follows reads their stored cells.
+    """
+    stays = None
+    if cohort is not None:
+        observations = observations.join(cohort.select("stay_key").distinct(), "stay_key", "left_semi")
+        stays = cohort.agg(F.countDistinct("stay_key").alias("_stays"))
+    return catalog_of(scratch.stored(field_cells(observations), "cells"), stays)
+
+
 def with_dictionary(catalog: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Labels of a dictionary for the catalogue's fields: few rows meet few rows."""
     return catalog.join(dictionary, "field_key", "left")
@@ -73,17 +106,3 @@ def unit_recovery(catalogs: DataFrame, group: list[str]) -> DataFrame:
         F.round(F.sum("n_with_uom") / F.sum("n_rows"), 4).alias("row_recovery"),
         F.round(F.avg("unit_recovery_rate"), 4).alias("mean_field_recovery"),
     )
-
-
-def profile_fields(facts: DataFrame, keys: list[str], value: str, entity: str, limit: int | None = None) -> DataFrame:
-    """Rows, entities and number statistics of any key, most frequent first."""
-    out = facts.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.countDistinct(entity).alias("n_entities"),
-        F.count(value).alias("n_numeric"),
-        F.round(F.min(value), 4).alias("v_min"),
-        F.round(F.avg(value), 4).alias("v_avg"),
-        F.round(F.max(value), 4).alias("v_max"),
-        F.round(F.median(value), 4).alias("v_median"),
-    )
-    return out if limit is None else out.orderBy(F.desc("n"), *keys).limit(limit)

@@ -98,6 +98,18 @@ def rescore(ranking: DataFrame, gates: DataFrame, gamma: float = 0.3, weights: t
     return kept.select("field_key", "concept", F.round(soft, 6).alias("score"), F.col("rank").alias("_before")).withColumn("rank", place).drop("_before")
 
 
+def gate_ranking(ranking: DataFrame, weights: tuple = (1.0, 1.0, 1.0)) -> DataFrame:
+    """A ranking after the gate of each candidate: rejects go, the rest stand by their soft scores.
+
+    A candidate without a gate (null) keeps its score; equal scores stand as they stood.
+    """
+    g = F.col("gate")
+    soft = F.col("score") - weights[0] * g["v_unit"] - weights[1] * g["v_type"] - weights[2] * g["v_prov"]
+    kept = ranking.filter(g.isNull() | ~g["hard_reject"]).withColumn("_soft", F.round(F.coalesce(soft, F.col("score")), 6))
+    place = F.row_number().over(Window.partitionBy("field_key").orderBy(F.desc("_soft"), "rank")).cast("long")
+    return kept.select("field_key", "concept", F.col("_soft").alias("score"), place.alias("rank"))
+
+
 def abstention_score(base: Column, violation: Column, has_candidate: Column, has_representative: Column, w: float) -> Column:
     return (
         F.when(~has_candidate, 0.0).when(~has_representative, 0.6 * base).otherwise(base * (1 - w * violation))

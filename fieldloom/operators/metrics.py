@@ -52,19 +52,16 @@ def open_set(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def auroc(df: DataFrame, score: str, label: str, keys: tuple[str, ...] = ()) -> DataFrame:
+def auroc(df: DataFrame, score: str, label: str, keys: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
     """The U statistic with mean ranks of ties; null where one class is missing.
 
-    Scores are counted first, so that ranks run over distinct scores; without keys they
-    run in pieces of the order, with keys in one window for each.
+    Scores are counted first, so that ranks run over distinct scores, in pieces of the
+    order: of all rows or of each key. With ``weight`` a row stands that many times.
     """
-    counts = df.groupBy(*keys, score).agg(F.sum(label).alias("_p"), F.count(F.lit(1)).alias("_n"))
-    if keys:
-        window = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
-        counted = counts.withColumn("_below", F.sum("_n").over(window))
-    else:
-        counted = O.running(counts, score, {"_below": F.col("_n")})
-    ranked = counted.withColumn("_rank", F.col("_below") - F.col("_n") + (F.col("_n") + 1) / 2)
+    n = F.lit(1) if weight is None else F.col(weight)
+    counts = df.groupBy(*keys, score).agg(F.sum(F.col(label) * n).alias("_p"), F.sum(n).alias("_n"))
+    ranked = O.running(counts, score, {"_below": F.col("_n")}, keys=keys)
+    ranked = ranked.withColumn("_rank", F.col("_below") - F.col("_n") + (F.col("_n") + 1) / 2)
     p, n = F.sum("_p"), F.sum("_n") - F.sum("_p")
     u = F.sum(F.col("_p") * F.col("_rank")) - p * (p + 1) / 2
     out = u / F.nullif((p * n).cast("double"), F.lit(0.0))
@@ -73,11 +70,7 @@ def auroc(df: DataFrame, score: str, label: str, keys: tuple[str, ...] = ()) ->
 
 def average_precision(df: DataFrame, score: str, label: str, tie: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Precision at the ranks of positives, averaged; ties by the numeric column ``tie``."""
-    if keys:
-        order = Window.partitionBy(*keys).orderBy(F.desc(score), tie)
-        ranked = df.withColumns({"_r": F.row_number().over(order), "_tp": F.sum(label).over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    else:
-        ranked = O.running(df, score, {"_r": F.lit(1), "_tp": F.col(label)}, tie, descending=True)
+    ranked = O.running(df, score, {"_r": F.lit(1), "_tp": F.col(label)}, tie, descending=True, keys=keys)
     hit = F.col(label) == 1
     return ranked.groupBy(*keys).agg(F.count_if(hit).alias("n_pos"), F.round(F.avg(F.when(hit, F.col("_tp") / F.col("_r"))), 6).alias("average_precision"))
 
@@ -157,14 +150,6 @@ def at_coverage(points: DataFrame, target: float) -> DataFrame:
     return points.filter(F.col("coverage") >= target).agg(F.min_by(F.struct("coverage", "precision"), F.struct("coverage", "rank")).alias("_p")).select("_p.*")
 
 
-def resample(n: int, replicates: DataFrame) -> DataFrame:
-    """(rep, draw): n draws of row numbers below n for each replicate, from digests."""
-    digest = F.md5(F.concat_ws("-", F.col("rep").cast("string"), F.col("i").cast("string")))
-    number = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
-    rows = replicates.sparkSession.range(n).withColumnRenamed("id", "i")
-    return rows.crossJoin(F.broadcast(replicates.select("rep"))).select("rep", (number % n).alias("draw"))  # a parameter
-
-
 def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     """Cohen's kappa over rows on which both sides answered."""
     kept = df.filter(~F.coalesce(F.col(a), F.lit("")).isin("", "UNSURE") & ~F.coalesce(F.col(b), F.lit("")).isin("", "UNSURE"))

@@ -79,12 +79,22 @@ def jaccard_of_sets(pairs: DataFrame, group: str, item: str) -> DataFrame:
     )
 
 
+def bottom_per_key(df: DataFrame, key: str, order: list[Column], wanted: Column, most: int, rank: str = "rank") -> DataFrame:
+    """The first ``wanted`` rows of each key, which differ by key and are at most ``most``.
+
+    A task sends at most ``most`` rows of a key: a limit of a literal reaches below the
+    exchange, one that differs by key does not, and is applied to what is left.
+    """
+    first = top_per_key(df, [key], order, most, rank)
+    return first.filter(F.col(rank) <= wanted)
+
+
 def stratified_sample(df: DataFrame, stratum: str, key: str, sizes: dict[str, int], seed: str) -> DataFrame:
     """The rows of each stratum whose seeded digests come first: as many as it asks for."""
     order = F.md5(F.concat(F.lit(seed), F.lit("-"), F.col(key).cast("string")))
     wanted = F.element_at(F.create_map(*(F.lit(x) for kv in sizes.items() for x in kv)), F.col(stratum))
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy(order, key)).cast("long")
-    return df.withColumn("draw", place).filter(F.col("draw") <= wanted)
+    asked = df.filter(F.col(stratum).isin(list(sizes)))
+    return bottom_per_key(asked, stratum, [order, F.col(key)], wanted, max(sizes.values()), "draw")
 
 
 def batches(df: DataFrame, group: list[str], order: list[str], item: str, size: int) -> DataFrame:
@@ -148,6 +158,20 @@ def cohort(stays: DataFrame, first: Column, days: Column, age: Column) -> DataFr
     return stays.filter(first & (days >= 1.0) & (age >= 18))
 
 
+def profile_fields(facts: DataFrame, keys: list[str], value: str, entity: str, limit: int | None = None) -> DataFrame:
+    """Rows, entities and number statistics of any key, most frequent first."""
+    out = facts.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.countDistinct(entity).alias("n_entities"),
+        F.count(value).alias("n_numeric"),
+        F.round(F.min(value), 4).alias("v_min"),
+        F.round(F.avg(value), 4).alias("v_avg"),
+        F.round(F.max(value), 4).alias("v_max"),
+        F.round(F.median(value), 4).alias("v_median"),
+    )
+    return out if limit is None else out.orderBy(F.desc("n"), *keys).limit(limit)
+
+
 def channel_means(values: DataFrame, mapping: DataFrame, keys: list[str], field: str, value: str) -> DataFrame:
     """The mean of field means of each channel, every field alike; fields of no channel are left out."""
     per_field = values.groupBy(*keys, field).agg(F.avg(value).alias("_m"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import rules as G
+from ..functions import statements as T
 from ..functions import units as U
 from ..functions import vocabulary as V
 from ..operators import matching as M
@@ -228,19 +229,10 @@ def unit_table_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("p_partkey", "relation", F.round("converted", 4).alias("converted"))
 
 
-_LEVELS = "max(case when nursingchartcelltypevallabel = '{a}' and nursingchartcelltypevalname = '{b}' {body} then v else null end) as {c}"
-STATEMENTS = [
-    ("n1.sql", _LEVELS.format(a="Heart Rate", b="Heart Rate", body="and v > 0", c="heartrate") + ",\n" + _LEVELS.format(a="Temperature", b="Temperature (C)", body="", c="temp_c")),
-    ("n2.sql", _LEVELS.format(a="Glasgow", b="GCS Total", body="and x = 1 " * 200, c="gcs") + "; " + _LEVELS.format(a="O2", b="O2 Sat", body="", c="spo2")),
-    ("n3.sql", "SELECT 1"),
-]
-
-
-@query("""SELECT * FROM (VALUES ('n1.sql', 'Heart Rate|Heart Rate', 'heartrate', 'P5'), ('n1.sql', 'Temperature|Temperature (C)', 'temp_c', 'P5'),
-('n2.sql', 'O2|O2 Sat', 'spo2', 'P5')) t(src_file, field_key, concept_raw, pattern)""")
+@query(f"WITH f AS ({P.FILES_SQL}) {P.TWO_LEVELS_SQL}")
 def two_level_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = spark.createDataFrame(STATEMENTS, "file string, text string").withColumn("db", F.lit("x"))
-    return N.source_triples(texts, "db", "text", "file").select("src_file", "field_key", "concept_raw", "pattern")
+    found = T.triples(P.source_files(spark, sf_dir), "db", "text", "file").filter("pattern = 'P5'")
+    return found.select("src_file", "field_key", "concept_raw", "pattern")
 
 
 @query("""SELECT src_table, value_uom, count(*) AS n, count(value_num) AS n_values, round(sum(value_num), 2) AS total, min(t_offset) AS first, max(t_offset) AS last FROM (

@@ -66,18 +66,18 @@ def crc_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH m AS (SELECT p_type, p_brand, row_number() OVER (PARTITION BY p_type ORDER BY count(*) DESC, p_brand) AS r FROM part WHERE p_size > 2 GROUP BY p_type, p_brand),
-s AS (SELECT p_type, round(median(p_retailprice), 4) AS median, count(*) AS n FROM part WHERE p_size > 2 GROUP BY p_type)
-SELECT c AS concept, coalesce('name: ' || c || '; unit: ' || p_brand || '; median: ' || n, 'name: ' || c) AS card, median FROM
+s AS (SELECT p_type, round(median(p_retailprice), 4) AS median FROM part WHERE p_size > 2 GROUP BY p_type)
+SELECT c AS concept, coalesce('name: ' || c || '; unit: ' || p_brand || '; median: ' || median, 'name: ' || c) AS card, median FROM
 (SELECT DISTINCT p_type AS c FROM part UNION SELECT 'NEVER SEEN') LEFT JOIN s ON s.p_type = c LEFT JOIN m ON m.p_type = c AND r = 1""")
 def concept_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mode and median of a concept's fields; the name alone where it has none."""
     part = table(spark, sf_dir, "part")
     known = part.filter("p_size > 2")
     unit = R.mode_per_key(known, ["p_type"], "p_brand", "unit")
-    stats = known.groupBy("p_type").agg(F.round(F.median("p_retailprice"), 4).alias("median"), F.count(F.lit(1)).alias("n"))
+    stats = known.groupBy("p_type").agg(F.round(F.median("p_retailprice"), 4).alias("median"))
     concepts = part.select("p_type").union(spark.createDataFrame([("NEVER SEEN",)], "p_type string")).distinct()
     joined = concepts.join(unit, "p_type", "left").join(stats, "p_type", "left")
-    full = F.concat(F.lit("name: "), F.col("p_type"), F.lit("; unit: "), F.col("unit"), F.lit("; median: "), F.col("n").cast("string"))
+    full = F.concat(F.lit("name: "), F.col("p_type"), F.lit("; unit: "), F.col("unit"), F.lit("; median: "), F.col("median").cast("string"))
     return joined.select(F.col("p_type").alias("concept"), F.coalesce(full, F.concat(F.lit("name: "), F.col("p_type"))).alias("card"), "median")
 
 
@@ -162,7 +162,8 @@ SELECT source, count(*) AS population, count(*) FILTER (draw <= 5) AS drawn FROM
 def capped_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest 30 of each stratum, as its population, and 5 draws of them."""
     docs = table(spark, sf_dir, "documents")
-    largest = R.top_per_key(docs, ["source"], [F.desc("n_chars"), F.col("doc_id")], 30).select("source", "doc_id")
+    # A task sends thirty rows of a stratum at most; the draws are among those that are left.
+    largest = R.bottom_per_key(docs, "source", [F.desc("n_chars"), F.col("doc_id")], F.lit(30), 30).select("source", "doc_id")
     order = F.md5(F.concat(F.lit("11-"), F.col("doc_id").cast("string")))
     draw = F.row_number().over(Window.partitionBy("source").orderBy(order, "doc_id"))
     return largest.withColumn("draw", draw).groupBy("source").agg(F.count(F.lit(1)).alias("population"), F.count_if(F.col("draw") <= 5).alias("drawn"))

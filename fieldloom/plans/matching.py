@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.portable import hash_tenth
 from ..operators import matching as M
 from ..operators import metrics as K
-from ..operators import ordered as O
+from ..operators import resampling as S
+from ..sources import scratch
 from .base import Registry, table
 
 registry = Registry()
@@ -269,34 +270,55 @@ def precision_at_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.at_coverage(points(spark, sf_dir), 50.0)
 
 
-BOOT_SQL = f"""WITH d AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM ({LABELLED_SQL})), n AS (SELECT count(*) AS n FROM d),
-b AS (SELECT rep, CAST(('0x' || substr(md5(rep || '-' || j), 1, 12)) AS BIGINT) % n AS i FROM n, range(0, 20) r(rep), range(0, (SELECT n FROM n)) q(j)),
-o AS (SELECT rep, y, x, quality FROM b JOIN d USING (i))"""
-REPS_SQL = AUROC_SQL.format(keys="rep,", part="PARTITION BY rep", part2="PARTITION BY rep,", rows="SELECT rep, y, {x} AS x FROM o", group="GROUP BY rep")
+REPLICATES, DEPTH = 2000, 10
+_LOW = (1 << 32) - 1
+#: A replicate is drawn by halving the places of 1,024 cells ten times. The count of a node
+#: goes to its left half as far as the binomial law is below the node's hashed number.
+UNIFORM_SQL = f"(rep * {0x9E3779B1} + node * {0x42B2AE3D} + {0x27D4EB2F}) & {_LOW}"
+for _shift, _factor in ((15, 0x2C1B3C6D), (12, 0x297A2D39)):
+    UNIFORM_SQL = f"(SELECT (xor(h, h >> {_shift}) * {_factor}) & {_LOW} FROM (SELECT {UNIFORM_SQL} AS h))"
+UNIFORM_SQL = f"(SELECT (xor(h, h >> 15) + 0.5) / 4294967296.0::DOUBLE FROM (SELECT {UNIFORM_SQL} AS h))"
+
+
+def _halved(k: int) -> str:
+    """Counts of the nodes of level k + 1 from those of level k; nodes are numbered as in a heap."""
+    law = "exp(lgamma(m + 1) - lgamma(j + 1) - lgamma(m - j + 1) + j * ln(wl / w) + (m - j) * ln(1 - wl / w))"
+    return f"""w{k} AS (SELECT node, sum(n)::DOUBLE AS w, sum(n) FILTER (place < {1 << (DEPTH - k - 1)})::DOUBLE AS wl FROM (
+  SELECT {1 << k} + (i >> {DEPTH - k}) AS node, i & {(1 << (DEPTH - k)) - 1} AS place, n FROM cells) GROUP BY node),
+d{k} AS (SELECT rep, node, m, w, coalesce(wl, 0) AS wl, CASE WHEN wl < w THEN {UNIFORM_SQL} END AS u FROM l{k} JOIN w{k} USING (node) WHERE m > 0),
+b{k} AS (SELECT rep, node, m, CASE WHEN wl = w THEN m WHEN wl = 0 THEN 0 END AS l FROM d{k} WHERE wl = w OR wl = 0
+  UNION ALL SELECT rep, node, m, count(*) FILTER (c < u) FROM (SELECT rep, node, m, u, sum({law}) OVER (PARTITION BY rep, node ORDER BY j) AS c
+    FROM (SELECT *, unnest(range(0, m + 1)) AS j FROM d{k} WHERE wl > 0 AND wl < w)) GROUP BY rep, node, m),
+l{k + 1} AS (SELECT rep, 2 * node AS node, l AS m FROM b{k} UNION ALL SELECT rep, 2 * node + 1, m - l FROM b{k})"""
+
+
+BOOT_SQL = f"""WITH cells AS (SELECT x, y, count(*) AS n, row_number() OVER (ORDER BY x, y) - 1 AS i FROM ({LABELLED_SQL}) GROUP BY x, y),
+l0 AS (SELECT rep, 1::BIGINT AS node, (SELECT sum(n)::BIGINT FROM cells) AS m FROM range({REPLICATES}) r(rep)), """ + ", ".join(map(_halved, range(DEPTH))) + f""",
+o AS (SELECT rep, x, y, m FROM l{DEPTH} JOIN cells ON node = {1 << DEPTH} + i WHERE m > 0)"""
+WEIGHTED_AUROC_SQL = """SELECT rep, round((sum(p * (below + (t + 1) / 2)) - sum(p) * (sum(p) + 1) / 2) / nullif(sum(p) * (sum(t) - sum(p)), 0), 6) AS auroc
+FROM (SELECT *, sum(t) OVER (PARTITION BY rep ORDER BY x) - t AS below FROM (SELECT rep, {x} AS x, sum(m * y)::DOUBLE AS p, sum(m)::DOUBLE AS t FROM o GROUP BY 1, 2)) GROUP BY rep"""
 
 
 def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty replicates of the labelled rows, drawn by digests."""
-    rows = O.running(labelled(spark, sf_dir), "doc_id", {"draw": F.lit(1)}).withColumn("draw", F.col("draw") - 1)
-    n = rows.count()
-    return K.resample(n, spark.range(20).withColumnRenamed("id", "rep")).join(rows, "draw")
+    """Replicates of the labelled rows as counts of (x, y)."""
+    return S.replicates(labelled(spark, sf_dir).select("x", "y"), ["x", "y"], REPLICATES)
 
 
-@query(f"""{BOOT_SQL} SELECT count(*) AS n_rep, round(quantile_cont(auroc, 0.025), 5) AS low, round(quantile_cont(auroc, 0.975), 5) AS high FROM ({REPS_SQL.format(x="x")})""")
+@query(f"""{BOOT_SQL} SELECT count(*) AS n_rep, round(quantile_cont(auroc, 0.025), 5) AS low, round(quantile_cont(auroc, 0.975), 5) AS high FROM ({WEIGHTED_AUROC_SQL.format(x="x")}) WHERE auroc IS NOT NULL""")
 def bootstrap_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reps = K.auroc(resampled(spark, sf_dir), "x", "y", ("rep",)).filter("auroc IS NOT NULL")
+    reps = K.auroc(resampled(spark, sf_dir), "x", "y", ("rep",), "weight").filter("auroc IS NOT NULL")
     low, high = (F.round(F.percentile("auroc", p), 5) for p in (0.025, 0.975))
     return reps.agg(F.count(F.lit(1)).alias("n_rep"), low.alias("low"), high.alias("high"))
 
 
-@query(f"""{BOOT_SQL}, a AS ({REPS_SQL.format(x="x")}), z AS ({REPS_SQL.format(x="(x % 7)")}) SELECT round(avg(a.auroc - z.auroc), 5) AS delta, round(quantile_cont(a.auroc - z.auroc, 0.025), 5) AS low,
+@query(f"""{BOOT_SQL}, a AS ({WEIGHTED_AUROC_SQL.format(x="x")}), z AS ({WEIGHTED_AUROC_SQL.format(x="(x % 7)")}) SELECT round(avg(a.auroc - z.auroc), 5) AS delta, round(quantile_cont(a.auroc - z.auroc, 0.025), 5) AS low,
   round(quantile_cont(a.auroc - z.auroc, 0.975), 5) AS high, round(avg(CAST(a.auroc - z.auroc <= 0 AS INT)), 5) AS p_not_above,
   quantile_cont(a.auroc - z.auroc, 0.025) > -0.2 AND quantile_cont(a.auroc - z.auroc, 0.975) < 0.2 AS equivalent FROM a JOIN z USING (rep)""")
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both arms on the same draws; equivalent if the interval is inside the margin."""
-    draws = resampled(spark, sf_dir)
-    arm = K.auroc(draws, "x", "y", ("rep",)).select("rep", F.col("auroc").alias("a"))
-    other = K.auroc(draws.withColumn("x", F.col("x") % 7), "x", "y", ("rep",)).select("rep", F.col("auroc").alias("b"))
+    """Both arms on the same replicates; equivalent if the interval is inside the margin."""
+    draws = scratch.stored(resampled(spark, sf_dir), "replicates")
+    arm = K.auroc(draws, "x", "y", ("rep",), "weight").select("rep", F.col("auroc").alias("a"))
+    other = K.auroc(draws.withColumn("x", F.col("x") % 7), "x", "y", ("rep",), "weight").select("rep", F.col("auroc").alias("b"))
     deltas = arm.join(other, "rep").select((F.col("a") - F.col("b")).alias("d")).filter("d IS NOT NULL")
     low, high = F.percentile("d", 0.025), F.percentile("d", 0.975)
     return deltas.agg(

@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions.portable import blank_to_null, hash_tenth, split_of, try_number, years_apart
 from ..operators import catalog as C
+from ..operators import ordered as O
 from ..operators import relational as R
+from ..operators import sketches as S
+from ..sources import footers
 from .base import Registry, table
 
 registry = Registry()
@@ -140,25 +143,22 @@ def union_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-RAW = ["3.7", "> 89", "", "x", "12", " 5 ", "1e3", "-2"]
+#: A part's size as it may be written: a number, with blanks, above a limit, in words, empty, or in powers of ten.
+WRITTEN = ["{x}.7", "> {x}", "", "x{x}", "{x}", " {x} ", "{x}e3", "-{x}", None]
+_RAW_SQL = "CASE p_partkey % 9 " + " ".join(f"WHEN {i} THEN {'NULL' if w is None else repr(w).replace('{x}', chr(39) + ' || p_size || ' + chr(39))}" for i, w in enumerate(WRITTEN)) + " END"
 
 
-@query("""
-SELECT raw, CASE WHEN isfinite(try_cast(raw AS DOUBLE)) THEN try_cast(raw AS DOUBLE) END AS number,
+@query(f"""
+SELECT p_partkey, raw, CASE WHEN isfinite(try_cast(raw AS DOUBLE)) THEN try_cast(raw AS DOUBLE) END AS number,
   CAST(floor(CASE WHEN isfinite(try_cast(raw AS DOUBLE)) THEN try_cast(raw AS DOUBLE) END) AS BIGINT) AS whole,
-  CASE WHEN raw = '> 89' THEN 90 ELSE CAST(floor(try_cast(raw AS DOUBLE)) AS BIGINT) END AS age,
-  nullif(trim(raw), '') AS kept
-FROM (VALUES ('3.7'), ('> 89'), (''), ('x'), ('12'), (' 5 '), ('1e3'), ('-2'), (NULL)) t(raw)""")
+  CASE WHEN starts_with(raw, '> ') THEN p_size + 1 ELSE try_cast(raw AS DOUBLE) END::DOUBLE AS age, nullif(trim(raw), '') AS kept
+FROM (SELECT *, {_RAW_SQL} AS raw FROM part)""")
 def safe_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.createDataFrame([(x,) for x in [*RAW, None]], "raw string")
+    """Numbers out of what is written; text that is none is null, and above a limit is one more."""
+    ways = [F.lit(None).cast("string") if w is None else F.concat(*(F.lit(p) if i % 2 == 0 else F.col("p_size").cast("string") for i, p in enumerate(w.replace("{x}", "\0\0").split("\0")))) for w in WRITTEN]
+    raw = table(spark, sf_dir, "part").select("p_partkey", F.get(F.array(*ways), (F.col("p_partkey") % 9).cast("int")).alias("raw"))
     number = try_number(F.col("raw"))
-    return raw.select(
-        "raw",
-        number.alias("number"),
-        F.floor(number).alias("whole"),
-        F.when(F.col("raw") == "> 89", 90).otherwise(F.floor(number)).cast("long").alias("age"),
-        blank_to_null(F.col("raw")).alias("kept"),
-    )
+    return raw.select("p_partkey", "raw", number.alias("number"), F.floor(number).alias("whole"), R.age_years(F.col("raw")).alias("age"), blank_to_null(F.col("raw")).alias("kept"))
 
 
 @query(CATALOG_SQL.format(ev=EVENT_SQL, den="ev"))
@@ -231,8 +231,8 @@ def bigtable_pass2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles of the 50 most frequent fields: the limit is the report's feature."""
     top = bigtable_pass1(spark, sf_dir).orderBy(F.desc("n"), "field_key").limit(50).select("field_key")
     facts = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("field_key"), "l_extendedprice")
-    quantiles = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY l_extendedprice)").alias(n) for n, p in (("p01", 0.01), ("p50", 0.5), ("p99", 0.99))]
-    return facts.join(top, "field_key", "left_semi").groupBy("field_key").agg(*quantiles)
+    cells = facts.join(top, "field_key", "left_semi").groupBy("field_key", "l_extendedprice").agg(F.count(F.lit(1)).alias("n"))
+    return O.weighted_quantiles(cells, ["field_key"], "l_extendedprice", "n", C.QUANTILES)
 
 
 @query(COHORT_SQL)
@@ -319,10 +319,12 @@ def suffix_tier_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.tiered_match(keys, catalogue, "key", "full")
 
 
-@query()
+@query(f"SELECT field_key, src_table, count(*) AS n, count(value_num) AS n_numeric, true AS count_kept, true AS rank_kept FROM ({LINE_SQL}) GROUP BY ALL")
 def approx_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sketches: their values differ between engines, so that rows only are compared."""
-    return C.field_catalog(line_observations(spark, sf_dir), exact=False)
+    """Sketches of all fields. Their values differ between engines; that they keep their bounds does not."""
+    rows = line_observations(spark, sf_dir)
+    told = S.estimates(S.part_sketches(rows, C.FIELD, "stay_key", "value_num"), C.FIELD)
+    return S.kept_bounds(told, rows, C.FIELD, "stay_key", "value_num", {"p50": 0.5}).drop("n_exact")
 
 
 @query("""
@@ -393,18 +395,18 @@ SELECT {keys}, count(*) AS n, count(DISTINCT {entity}) AS n_entities, count({val
 
 @query(PROFILE_SQL.format(keys="l_returnflag, l_linestatus", entity="l_orderkey", value="l_quantity", table="lineitem"))
 def profile_composite_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.profile_fields(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity", "l_orderkey")
+    return R.profile_fields(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity", "l_orderkey")
 
 
 @query(PROFILE_SQL.format(keys="event_type", entity="user_id", value="value", table="events"))
 def profile_event_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.profile_fields(table(spark, sf_dir, "events"), ["event_type"], "value", "user_id")
+    return R.profile_fields(table(spark, sf_dir, "events"), ["event_type"], "value", "user_id")
 
 
 @query(PROFILE_SQL.format(keys="o_orderpriority, o_orderstatus", entity="o_custkey", value="o_totalprice", table="orders") + " ORDER BY n DESC, 1, 2 LIMIT 10")
 def profile_top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A top-10 report, as the profiled dictionaries are."""
-    return C.profile_fields(table(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus"], "o_totalprice", "o_custkey", limit=10)
+    return R.profile_fields(table(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus"], "o_totalprice", "o_custkey", limit=10)
 
 
 @query("""
@@ -426,8 +428,8 @@ FROM (SELECT 'lineitem' AS t, (SELECT count(*) FROM lineitem) AS e, CAST(l_quant
   UNION ALL SELECT 'events', -1, CAST(value IS NOT NULL AS INT) FROM events) GROUP BY t""")
 def row_parity_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     def found(name: str, value: str) -> DataFrame:
-        rate = F.round(100 * F.avg(F.col(value).isNotNull().cast("int")), 4)
-        return table(spark, sf_dir, name).agg(F.count(F.lit(1)).alias("rows"), rate.alias("non_null")).withColumn("t", F.lit(name))
+        counted = footers.parquet_counts(spark, f"{sf_dir}/{name}.parquet", [value])
+        return counted.select("rows", F.round(100 * F.col(value) / F.nullif("rows", F.lit(0)), 4).alias("non_null"), F.lit(name).alias("t"))
 
     counts = found("lineitem", "l_quantity").unionByName(found("events", "value"))
     whole = table(spark, sf_dir, "lineitem").agg(F.count(F.lit(1)).alias("expected_rows")).withColumn("t", F.lit("lineitem"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import evidence as E
 from ..functions import names as N
 from ..functions import rules as G
+from ..functions import statements as T
 from ..functions import units as U
 from ..functions import vocabulary as V
 from .base import Registry, table
@@ -237,10 +238,15 @@ def concept_sql(x: str) -> str:
     return s
 
 
-@query("WITH r AS (SELECT unnest(" + listed(RAW_CONCEPTS) + f") AS raw), s AS (SELECT raw, {concept_sql('raw')} AS s FROM r) "
+RAW_CONCEPT_SQL = f"{pick_sql(RAW_CONCEPTS, 7)} || CASE p_size % 4 WHEN 0 THEN '_min' WHEN 1 THEN ' - max' WHEN 2 THEN ' ' || lower(p_type) ELSE '' END"
+
+
+@query(f"WITH r AS (SELECT DISTINCT {RAW_CONCEPT_SQL} AS raw FROM part), s AS (SELECT raw, {concept_sql('raw')} AS s FROM r) "
        + f"SELECT raw, coalesce({lookup_sql("replace(s, '_', '')", V.CONCEPT_SYNONYMS)}, {lookup_sql('s', V.CONCEPT_SYNONYMS)}, s) AS concept FROM s")
 def concept_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.createDataFrame([(x,) for x in RAW_CONCEPTS], "raw string")
+    k = F.col("p_size") % 4
+    rest = F.when(k == 0, "_min").when(k == 1, " - max").when(k == 2, F.concat(F.lit(" "), F.lower("p_type"))).otherwise("")
+    raw = table(spark, sf_dir, "part").select(F.concat(pick(RAW_CONCEPTS, 7), rest).alias("raw")).distinct()
     return raw.withColumn("concept", N.normalize_concept(F.col("raw")))
 
 
@@ -252,27 +258,76 @@ KIND_SQL = " ".join(f"WHEN ends_with(c, {text(s)}) THEN {text(m)}" for s, m in V
 @query(f"""SELECT c AS concept, CASE WHEN c IN ('nibp', 'ibp') THEN 'bp' {BASE_SQL} ELSE c END AS base,
   CASE WHEN c = 'nibp' THEN 'noninvasive' WHEN c = 'ibp' THEN 'invasive' {KIND_SQL} ELSE 'unspecified' END AS method,
   c IN ({", ".join(map(text, V.ARTEFACTS))}) OR regexp_matches(c, {text(V.ARTEFACT_PATTERN)}) OR length(c) <= 1 AS artefact
-FROM (SELECT unnest({listed(CONCEPTS)}) AS c)""")
+FROM (SELECT DISTINCT CASE WHEN p_size % 3 = 0 THEN lower(p_type) || '_' ELSE '' END || {pick_sql(CONCEPTS, 5)} AS c FROM part)""")
 def concept_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spark.createDataFrame([(x,) for x in CONCEPTS], "concept string").withColumn("b", N.base_and_method(F.col("concept")))
+    before = F.when(F.col("p_size") % 3 == 0, F.concat(F.lower("p_type"), F.lit("_"))).otherwise("")
+    named = table(spark, sf_dir, "part").select(F.concat(before, pick(CONCEPTS, 5)).alias("concept")).distinct()
+    found = named.withColumn("b", N.base_and_method(F.col("concept")))
     return found.select("concept", "b.base", "b.method", N.is_artefact(F.col("concept")).alias("artefact"))
 
 
-SOURCES = [
-    ("a.sql", "SELECT MAX(CASE WHEN itemid = 220045 THEN valuenum END) AS heart_rate, MAX(CASE WHEN itemid IN (220179, 220050) AND valuenum > 0 THEN valuenum END) AS sbp FROM c"),
-    ("b.sql", "case when itemid in (211, 220045) and v > 0 then 1 -- HeartRate, bpm\n when itemid in (51,442) then 2 -- SysBP\n else null end"),
-    ("c.sql", "CASE WHEN itemid = 50862 THEN 'ALBUMIN' WHEN itemid = 50868 THEN 'ANION GAP' ELSE null END AS label"),
-    ("d.sql", "max(case when labname in ('glucose', 'bedside glucose') then labresult else null end) as glucose, max(case when labname = 'BUN' then labresult end) as bun"),
-    ("e.sql", "max(case when respchartvaluelabel in ('FiO2', 'FIO2 (%)') then v else null end) as fio2"),
+#: Source statements of a part, of seven kinds; {k}, {s}, {n} and {t} are its key, size, name and type.
+STATEMENTS = [
+    "MAX(CASE WHEN itemid = {k} THEN valuenum END) AS {t}_x,",
+    "MAX(CASE WHEN itemid IN ({k}, {s}) AND v > 0 THEN CASE WHEN u THEN v END END ) AS c{s},",
+    "when itemid in ({k},{s}) and v > 0 then 1 -- {n} {t}, bpm",
+    "CASE WHEN itemid = {k} THEN '{n}' WHEN itemid = {s} THEN 'L{k}' ELSE null END AS label{s},",
+    "max(case when labname in ('{n}', 'lab {k}') then r else null end) as lab{s}, max(case when labname = '{t}' then r end) as t{s},",
+    "max(case when respchartvaluelabel in ('{n}', 'resp {k}') then v else null end) as fio{s},",
+    "max(case when nursingchartcelltypevallabel = '{t}' and nursingchartcelltypevalname = '{n}' and x = {s} then v else null end) as nurse{s}, CASE WHEN itemid IN (",
 ]
+_PARTS = {"k": "p_partkey", "s": "p_size", "n": "p_name", "t": "p_type"}
+
+
+def _split(statement: str) -> list[tuple[bool, str]]:
+    """Pieces of a statement: (is a column, text or column)."""
+    pieces = statement.replace("{", "}\0").split("}")
+    return [(p.startswith("\0"), _PARTS[p[1:]] if p.startswith("\0") else p) for p in pieces if p]
+
+
+_LINE_SQL = "CASE p_partkey % 7 " + " ".join(
+    f"WHEN {i} THEN " + " || ".join(p if is_column else text(p) for is_column, p in _split(s)) for i, s in enumerate(STATEMENTS)
+) + " END"
+FILES_SQL = f"SELECT p_brand || '.sql' AS src_file, string_agg({_LINE_SQL}, chr(10) ORDER BY p_partkey) AS text FROM part GROUP BY p_brand"
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, text, db): the statements of a brand's parts are one file."""
+    ways = [F.concat(*(F.col(p).cast("string") if is_column else F.lit(p) for is_column, p in _split(s))) for s in STATEMENTS]
+    line = F.get(F.array(*ways), (F.col("p_partkey") % 7).cast("int"))
+    lines = F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line"))))
+    files = table(spark, sf_dir, "part").groupBy(F.concat("p_brand", F.lit(".sql")).alias("file")).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"))
+    return files.withColumn("db", F.lit("x"))
+
+
+def _pattern_sql(name: str, pattern: str, one: str, many: str | None, ids: str, concept: int, body: int | None) -> str:
+    """Triples by one pattern over both ends of a statement, as regular expressions scan for it."""
+    def groups(n: int) -> str:
+        return f"regexp_extract_all(text, {text(pattern)}, {n})"
+
+    several = f"unnest({groups(int(many))}) AS many" if many else "'' AS many"
+    long = f"unnest({groups(body)}) AS body" if body else "'' AS body"
+    listed_ = f"CASE WHEN one <> '' THEN [one] ELSE regexp_extract_all(many, {text(ids)}, 1) END"
+    return f"""SELECT src_file, unnest({listed_}) AS field_key, trim(concept) AS concept_raw, '{name}' AS pattern
+FROM (SELECT src_file, {one if one.startswith("unnest") else f"unnest({groups(int(one))})" if one else "''"} AS one, {several}, unnest({groups(concept)}) AS concept, {long} FROM f) WHERE length(body) <= 900"""
 
 
-@query("""SELECT * FROM (VALUES ('a.sql', '220045', 'heart_rate', 'P1'), ('a.sql', '220179', 'sbp', 'P1'), ('a.sql', '220050', 'sbp', 'P1'),
-('b.sql', '211', 'HeartRate', 'P2'), ('b.sql', '220045', 'HeartRate', 'P2'), ('b.sql', '51', 'SysBP', 'P2'), ('b.sql', '442', 'SysBP', 'P2'),
-('c.sql', '50862', 'ALBUMIN', 'P3'), ('c.sql', '50862', 'label', 'P1'), ('c.sql', '50868', 'ANION GAP', 'P3'), ('d.sql', 'glucose', 'glucose', 'P4'),
-('d.sql', 'bedside glucose', 'glucose', 'P4'), ('d.sql', 'BUN', 'bun', 'P4'), ('e.sql', 'FiO2', 'fio2', 'P5b')) t(src_file, field_key, concept_raw, pattern)""")
+#: The same statements by patterns that span them (fixed values), for the SQL.
+SPANNING = [
+    ("P1", r"(?is)CASE\s+WHEN\s+itemid\s*(?:=\s*(\d+)|IN\s*\(([^)]*)\))(.*?)END\s*\)?\s*AS\s+([A-Za-z_][\w]*)", "1", "2", r"(\d+)", 4, None),
+    ("P2", r"(?i)when\s+itemid\s+in\s*\(([^)]*)\).*?then\s+\d+\s*--\s*([^\n,]+)", "", "1", r"(\d+)", 2, None),
+    ("P3", r"(?i)WHEN\s+itemid\s*=\s*(\d+)\s+THEN\s+'([^']+)'", "1", None, r"(\d+)", 2, None),
+    ("P4", r"(?is)case\s+when\s+labname\s*(?:=\s*'([^']+)'|in\s*\(([^)]*)\)).*?end\s*\)?\s*as\s+([A-Za-z_][\w]*)", "1", "2", "'([^'']+)'".replace("''", "'"), 3, None),
+    ("P5b", r"(?is)respchartvaluelabel\s*(?:=\s*'([^']+)'|in\s*\(([^)]*)\))(.*?)end\s*(?:\)\s*)?as\s+([A-Za-z_][\w]*)", "1", "2", "'([^']+)'", 4, 3),
+]
+P5 = r"(?is)nursingchartcelltypevallabel\s*=\s*'([^']+)'\s*and\s*nursingchartcelltypevalname\s*=\s*'([^']+)'(.*?)end\s*(?:\)\s*)?as\s+([A-Za-z_][\w]*)"
+TWO_LEVELS_SQL = f"""SELECT src_file, a || '|' || b AS field_key, concept AS concept_raw, 'P5' AS pattern FROM (SELECT src_file,
+  {', '.join(f"unnest(regexp_extract_all(text, {text(P5)}, {n})) AS {c}" for n, c in ((1, 'a'), (2, 'b'), (4, 'concept'), (3, 'body')))} FROM f) WHERE length(body) <= 900"""
+
+
+@query(f"WITH f AS ({FILES_SQL}) SELECT DISTINCT * FROM (" + " UNION ALL ".join(_pattern_sql(*x) for x in SPANNING) + ")")
 def pattern_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = N.source_triples(spark.createDataFrame(SOURCES, "file string, text string").withColumn("db", F.lit("x")), "db", "text", "file")
+    found = T.triples(source_files(spark, sf_dir), "db", "text", "file").filter("pattern <> 'P5'")
     return found.select("src_file", "field_key", "concept_raw", "pattern").distinct()
 
 
@@ -298,10 +353,14 @@ def parse_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("p_partkey", "m.source_column", N.catalogue_member(F.get("m.targets", 0), members).alias("concept"))
 
 
-@query("""SELECT answer, CASE WHEN lower(trim(answer)) IN ('unknown', 'none', 'n/a', 'no match') THEN 'UNKNOWN' WHEN lower(trim(answer)) IN ('unsure', '?', 'not sure') THEN 'UNSURE'
-  ELSE replace(replace(lower(trim(answer)), ' ', '_'), '-', '_') END AS normalized FROM (VALUES ('Heart Rate'), (' N/A '), ('?'), ('base-excess'), ('Not Sure'), ('')) t(answer)""")
+ANSWERS = ["Heart Rate", " N/A ", "?", "base-excess", "Not Sure", "", "no match", "{n}"]
+
+
+@query(f"""SELECT answer, CASE WHEN lower(trim(answer)) IN ('unknown', 'none', 'n/a', 'no match') THEN 'UNKNOWN' WHEN lower(trim(answer)) IN ('unsure', '?', 'not sure') THEN 'UNSURE'
+  ELSE replace(replace(lower(trim(answer)), ' ', '_'), '-', '_') END AS normalized, count(*) AS n FROM (SELECT replace({pick_sql(ANSWERS, 3)}, '{{n}}', p_name || '-' || p_type) AS answer FROM part) GROUP BY answer""")
 def answer_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = spark.createDataFrame([(x,) for x in ("Heart Rate", " N/A ", "?", "base-excess", "Not Sure", "")], "answer string")
+    named = F.replace(pick(ANSWERS, 3), F.lit("{n}"), F.concat_ws("-", "p_name", "p_type"))
+    answers = table(spark, sf_dir, "part").groupBy(named.alias("answer")).agg(F.count(F.lit(1)).alias("n"))
     return answers.withColumn("normalized", N.normalize_answer(F.col("answer")))
 
 
@@ -342,6 +401,22 @@ def unit_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("p_partkey", G.unit_reason(G.Field.at("a_"), G.Field.at("b_")).alias("reason"))
 
 
+_TYPE_REASON = """'type: ' || ta || ' / ' || tb || ' ' || CASE WHEN v_type = 0 THEN 'compatible' WHEN v_type = 1 THEN 'both declared' WHEN ta IN ('unknown', 'mixed') OR tb IN ('unknown', 'mixed') THEN 'cannot tell' ELSE 'inferred only' END"""
+_SPECIMEN_REASON = "'specimen: ' || coalesce(spa, '-') || ' / ' || coalesce(spb, '-') || ' ' || CASE v_specimen WHEN 0 THEN 'compatible' WHEN 1 THEN 'other specimen' ELSE 'cannot tell' END"
+_METHODS, _FAMILIES = ("'{} ' || coalesce({}, '-') || ' / ' || coalesce({}, '-')".format(*x) for x in (("methods", "ma", "mb"), ("families", "fa", "fb")))
+_PROV_REASON = f"""'provenance: ' || CASE WHEN ma IS NOT NULL AND mb IS NOT NULL AND ma <> mb THEN {_METHODS} || ' differ' WHEN fa IS NULL OR fb IS NULL THEN {_FAMILIES} || ' not registered'
+  WHEN {CONFLICT_SQL} THEN {_FAMILIES} || ' conflict' WHEN fa = fb AND (ma IS NULL) <> (mb IS NULL) THEN {_METHODS} || ' told on one side' WHEN v_prov = 0 THEN {_FAMILIES} || ' go together' ELSE {_FAMILIES} || ' not listed' END"""
+
+
+@query(f"""SELECT p_partkey, 'unit: ' || coalesce(ea, '-') || ' (' || sa || ') / ' || coalesce(eb, '-') || ' (' || {SB_SQL} || ') ' || rel AS unit, {_TYPE_REASON} AS kind, {_PROV_REASON} AS provenance, {_SPECIMEN_REASON} AS specimen
+FROM ({verdicts_sql(False)})""")
+def rule_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule compared, and why it came out as it did."""
+    known = G.prepare(G.prepare(fields(spark, sf_dir), "a_"), "b_")
+    told = G.reasons(G.Field.at("a_", prepared=True), G.Field.at("b_", prepared=True))
+    return known.select("p_partkey", told.alias("r")).select("p_partkey", *(F.get("r", F.lit(i)).alias(c) for i, c in enumerate(("unit", "kind", "provenance", "specimen"))))
+
+
 _CONCEPT_SQL = f"SELECT *, p_partkey % 9 AS concept FROM ({EFFECTIVE_SQL}) WHERE p_partkey % 9 < 7"
 
 

@@ -10,7 +10,6 @@ from ..functions import units as U
 from ..functions import vocabulary as V
 from ..sources import readers, scratch, writers
 from . import rules as P
-from .alignment import CONVERSIONS
 from .base import Registry, table
 
 registry = Registry()
@@ -97,12 +96,14 @@ def present_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("r_regionkey", "r_name")
 
 
-@query(f"""SELECT dimension, count(*) AS n, count(factor) AS n_factors FROM (VALUES
-{', '.join(f"({P.text(r[4])}, nullif({P.text(r[2])}, ''))" for r in CONVERSIONS)}) t(dimension, factor) GROUP BY dimension""")
+@query("""SELECT p_type AS dimension, count(*) AS n, count(*) FILTER (p_size % 4 <> 0) AS n_factors
+FROM (SELECT DISTINCT p_type, p_brand, p_size FROM part) GROUP BY p_type""")
 def unit_table_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A users' unit table, found at the second of two places."""
     path = scratch.scratch_path(spark, "units.csv")
-    writers.write(spark.createDataFrame(CONVERSIONS, U.TABLE_SCHEMA), path)
+    factor = F.when(F.col("p_size") % 4 != 0, F.col("p_size").cast("string")).otherwise("")
+    made = table(spark, sf_dir, "part").select(F.lower("p_brand"), F.concat(F.lit("u"), F.col("p_size")), factor, F.lit(""), "p_type", F.lit(""), F.lit("a")).distinct()
+    writers.write(made.toDF(*(c.split()[0] for c in U.TABLE_SCHEMA.split(", "))), path)
     rows = U.load_table(spark, fallbacks=(scratch.scratch_path(spark, "nowhere"), path))
     return rows.groupBy("dimension").agg(F.count(F.lit(1)).alias("n"), F.count("factor").alias("n_factors"))
 

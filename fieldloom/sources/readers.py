@@ -42,27 +42,22 @@ def whole_texts(spark: SparkSession, path: str, pattern: str = "*.sql") -> DataF
     return texts.select(F.input_file_name().alias("src_file"), F.col("value").alias("text"))
 
 
-#: A comma that is in no quotes: an even number of them follows.
-COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
-
-
 def headers(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ordinal, column_name) of CSV files, from their first lines; names may be quoted."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "_metadata.file_block_start", "value")
-    first = lines.filter(F.col("file_block_start") == 0).groupBy("file").agg(F.first("value").alias("header"))
-    name = F.regexp_replace(F.regexp_replace("column_name", "^\ufeff?\"|\"$|^\ufeff", ""), '""', '"')
-    parts = first.select("file", F.posexplode(F.split("header", COMMA)).alias("ordinal", "column_name"))
-    return parts.withColumn("column_name", name)
+    """(file, ordinal, column_name) of CSV files; names may be quoted, with commas or line breaks."""
+    from .footers import csv_records, header_names
+
+    return csv_records(spark, path).select("file", F.posexplode(header_names("header")).alias("ordinal", "column_name"))
 
 
 def csv_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(file, bytes, rows, cols) of CSV files: lines but for the header, and the header's columns.
+    """(file, bytes, rows, cols) of CSV files: records but for the header, and the header's columns.
 
-    Lines are counted where they are read, so that a file of any size is split.
+    Records are counted where the files lie, split; a quoted line break is no new row.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))
-    counted = lines.groupBy("file", "bytes").agg((F.count(F.lit(1)) - 1).alias("rows"))
-    return counted.join(headers(spark, path).groupBy("file").agg(F.count(F.lit(1)).alias("cols")), "file")
+    from .footers import csv_records, header_names
+
+    found = csv_records(spark, path)
+    return found.select("file", "bytes", (F.col("records") - 1).alias("rows"), F.size(header_names("header")).cast("long").alias("cols"))
 
 
 def file_sizes(spark: SparkSession, path: str) -> DataFrame:

@@ -33,6 +33,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: the plan behind it is cut, and is run once."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def temp_table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once, and known to SQL by ``name`` until the session ends.
 

@@ -43,8 +43,8 @@ def run_jobs(spark: SparkSession, jobs: dict[str, Callable[[], DataFrame]], fold
 
 
 def append_merge(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Old and new rows; of rows with the same key the old one."""
-    from ..operators.relational import keep_first
+    """Old rows, and of each key that is not among theirs one new row; nulls in keys are equal."""
+    from ..operators.ordered import join_same
 
-    both = old.withColumn("_age", F.lit(0)).unionByName(new.withColumn("_age", F.lit(1)), allowMissingColumns=True)
-    return keep_first(both, keys, ["_age"]).drop("_age")
+    late = join_same(new, old.select(*keys).distinct(), keys, "left_anti").dropDuplicates(keys)
+    return old.unionByName(late, allowMissingColumns=True)

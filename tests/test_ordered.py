@@ -32,9 +32,11 @@ def place(row, descending):
     return group, s, tie is not None, tie or 0
 
 
+@pytest.mark.parametrize("piece", [100, 1_000_000])
 @pytest.mark.parametrize("descending", [False, True])
 @pytest.mark.parametrize("case", ["spread", "one score", "few scores", "nulls", "nan", "empty"])
-def test_running_sums(spark, case, descending):
+def test_running_sums(spark, monkeypatch, case, descending, piece):
+    monkeypatch.setattr(O, "PIECE", piece)
     rows = rows_of(case)
     df = spark.createDataFrame(rows, "score double, tie long, v long").repartition(3)
     found = O.running(df, "score", {"rank": F.lit(1), "total": F.col("v")}, "tie", descending)
@@ -46,13 +48,17 @@ def test_running_sums(spark, case, descending):
     assert found.columns == ["score", "tie", "v", "rank", "total"]
 
 
-def test_no_piece_holds_a_hot_score(spark):
+def test_no_piece_holds_a_hot_score(spark, monkeypatch):
+    monkeypatch.setattr(O, "PIECE", 100)
     df = spark.createDataFrame(rows_of("one score"), "score double, tie long, v long")
-    most = O.in_pieces(df, "score", "tie").groupBy("_piece", "_sub").count().agg(F.max("count")).first()[0]
-    assert most < 200
+    cut, pieces = O.in_pieces(df, [F.asc("score"), F.asc("tie")])
+    most = cut.groupBy("_piece").count().agg(F.max("count")).first()[0]
+    assert pieces == 31 and most < 200
 
 
-def test_steps(spark):
+@pytest.mark.parametrize("piece", [100, 1_000_000])
+def test_steps(spark, monkeypatch, piece):
+    monkeypatch.setattr(O, "PIECE", piece)
     rows = [(float(i % 50), i, float(i * 7 % 13)) for i in range(2000)]
     df = spark.createDataFrame(rows, "x double, tie long, y double")
     line = sorted(rows)
