@@ -6,6 +6,10 @@ follows and on how much follows) are merged into a probabilistic automaton, whos
 states tell how far a token has come. Every candidate token of a text is scored by the
 best automaton's log-likelihood, its end included, against that of the same characters
 in plain words; what is likelier as a credential is a span of kind ``format``.
+
+Each format has an automaton, however few its credentials are, and all credentials
+together have one more, which knows formats by what they share. The fewer credentials an
+automaton was fitted to, the more it has to be ahead of plain words.
 """
 
 from __future__ import annotations
@@ -175,8 +179,10 @@ def infer(samples: list[str], alpha: float = 0.05) -> Automaton:
         known = {id(r) for r in red}
         blue = [(r, x) for r in red for x in sorted(r.next) if id(r.next[x][1]) not in known]
     number = {id(r): i for i, r in enumerate(red)}
+    edges = [_emissions(r, alphabet, number) for r in red]
     return {
-        "edges": [_emissions(r, alphabet, number) for r in red],
+        "edges": edges,
+        "ceiling": max((e[0] for state in edges for e in state.values()), default=-math.inf),
         "stop": [math.log((r.stops + 0.01) / (r.visits + 1.01)) for r in red],
         "states": len(red),
         "samples": len(samples),
@@ -242,8 +248,12 @@ def plain_likelihood(model: dict[str, float], token: str) -> float:
 # --- over tables -------------------------------------------------------------------
 
 
-#: Credentials of a format that an automaton takes, and their characters at most.
-FEWEST, LONGEST = 20, 512
+#: Characters of a credential that an automaton takes at most.
+LONGEST = 512
+#: The automaton of all credentials, beside those of the formats.
+POOLED = "all formats"
+#: By how much, shared by the credentials of an automaton, the margin is wider.
+WIDER = 2.0
 
 
 def alphabet_of(value: str) -> str:
@@ -282,11 +292,19 @@ def labelled_credentials(docs: DataFrame, text: str = "text", each: int = 2000)
     formats: dict[str, list[str]] = {}
     for value in sorted({r["value"] for r in rows}):
         formats.setdefault(alphabet_of(value), []).append(value)
-    return {k: v for k, v in sorted(formats.items()) if len(v) >= FEWEST}
+    return dict(sorted(formats.items()))
+
+
+#: Characters of the longest word with letters and digits that counts as plain.
+PLAIN = 16
 
 
 def plain_pairs(docs: DataFrame, text: str = "text") -> dict[str, int]:
-    """Counts of adjacent ASCII characters in all words: at most 96 by 96 numbers."""
+    """Counts of adjacent ASCII characters in plain words: at most 96 by 96 numbers.
+
+    Words of more than PLAIN characters that mix letters and digits are no plain words:
+    credentials that nothing labels would else teach the model what they are told from.
+    """
     ascii_text = F.coalesce(F.col(text), F.lit(""))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,6 +315,10 @@ def plain_pairs(docs: DataFrame, text: str = "text") -> dict[str, int]:
             for t in texts(batch.column(0)):
                 codes = np.frombuffer(t.encode("ascii", "replace"), np.uint8).astype(np.int32)
                 codes[codes < 33] = 32
+                word = np.cumsum(codes == 32)
+                digit, letter = (codes >= 48) & (codes <= 57), ((codes | 32) >= 97) & ((codes | 32) <= 122)
+                inside = np.bincount(word, codes != 32), np.bincount(word, digit), np.bincount(word, letter)
+                codes[((inside[0] > PLAIN) & (inside[1] > 0) & (inside[2] > 0))[word]] = 32
                 total += np.bincount(codes[:-1] * 128 + codes[1:], minlength=128 * 128)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
@@ -325,17 +347,35 @@ def fitted(samples: list[str]) -> Automaton:
 
 
 def learn(docs: DataFrame, text: str = "text", each: int = 2000) -> dict:
-    """The automata of all labelled formats and the model of plain words."""
+    """The automata of all labelled formats, the one of all of them, and the model of plain words.
+
+    Without a labelled credential there is no automaton, and nothing to find by them.
+    """
     formats = labelled_credentials(docs, text, each)
-    return {"automata": {k: fitted(v) for k, v in formats.items()}, "plain": plain_model(plain_pairs(docs, text))}
+    automata = {k: fitted(v) for k, v in formats.items()}
+    if len(formats) > 1:
+        automata[POOLED] = fitted(sorted(x for v in formats.values() for x in v))
+    return {"automata": automata, "plain": plain_model(plain_pairs(docs, text))}
+
+
+def ahead(automaton: Automaton, token: str, plain: float, margin: float) -> bool:
+    """Whether a token is likelier in a format than in plain words, by a margin that narrows with the samples."""
+    least = plain + margin + WIDER / automaton["samples"]
+    # No token of a format is likelier than its likeliest characters.
+    return automaton["ceiling"] > least and likelihood(automaton, token) > least
+
+
+#: Verdicts that a task keeps: words come again and again.
+REMEMBERED = 100_000
 
 
-def learned_spans(text: str, model: dict, taken: list[Span], margin: float) -> list[Span]:
+def learned_spans(text: str, model: dict, taken: list[Span], margin: float, told: dict[str, bool] | None = None) -> list[Span]:
     """Candidates that some format explains better by ``margin``, a character on average.
 
     A token that lies in one of the ``taken`` spans, sorted by start, is one already.
-    Every other is scored whole.
+    Every other is scored whole. ``told`` keeps verdicts of this model and margin.
     """
+    told = {} if told is None else told
     found, plain, automata = [], model["plain"], list(model["automata"].values())
     next_taken, reach = 0, 0
     for m in CANDIDATE.finditer(text):
@@ -348,8 +388,12 @@ def learned_spans(text: str, model: dict, taken: list[Span], margin: float) -> l
         end = start + len(token)
         if not token or end <= reach:
             continue
-        best = max((likelihood(a, token) for a in automata), default=-math.inf)
-        if best > -math.inf and best - plain_likelihood(plain, token) > margin:
+        if token not in told:
+            if len(told) >= REMEMBERED:
+                told.clear()
+            base = plain_likelihood(plain, token)
+            told[token] = any(ahead(a, token, base, margin) for a in automata)
+        if told[token]:
             found.append((start, end, "format"))
     return found
 
@@ -367,11 +411,12 @@ def find_secrets(docs: DataFrame, model: dict, text: str = "text", margin: float
     shape = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: dict[str, bool] = {}
         for batch in batches:
             rows = []
             for t in texts(batch.column(text)):
                 base = base_spans(t)
-                spans = sorted(base + learned_spans(t, shared.value, base, margin), key=lambda s: (s[0], KINDS.index(s[2])))
+                spans = sorted(base + learned_spans(t, shared.value, base, margin, told), key=lambda s: (s[0], KINDS.index(s[2])))
                 rows.append([{"kind": k, "start": a, "end": b} for a, b, k in spans])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, shape)], [*batch.schema.names, "secrets"])
 

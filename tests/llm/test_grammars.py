@@ -142,3 +142,44 @@ def test_redaction_is_linear_and_joins_overlaps():
     spans = [{"start": i, "end": i + 3} for i in range(0, 400_000, 2)]
     assert secrets.redacted(text, spans) == "[SECRET]"
     assert secrets.redacted("0123456789", [{"start": 1, "end": 4}, {"start": 2, "end": 3}, {"start": 6, "end": 7}]) == "0[SECRET]45[SECRET]789"
+
+
+def planted(spark, n_labelled, n_bare, seed):
+    """Documents of words; some assign a credential, others hold one of the same format that nothing assigns."""
+    r = random.Random(seed)
+    texts = [t for t in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column(0).to_pylist() if t and not secrets.base_spans(t)]
+    words = [w for t in texts for w in t.split() if w.isascii()]
+    write = {"prefixed": lambda: "sk_live_" + "".join(r.choice(BASE62) for _ in range(24)), "parts": lambda: "-".join("".join(r.choice(BASE62[10:36]) for _ in range(6)) for _ in range(4))}
+    rows, bare = [], {}
+    for i in range(n_labelled + n_bare):
+        value = write["prefixed" if i % 2 else "parts"]()
+        said = r.sample(words, 120)
+        if i < n_labelled:
+            said.insert(60, f'api_key = "{value}"')
+        else:
+            said.insert(60, value)
+            bare[i] = value
+        rows.append((i, " ".join(said)))
+    rows += [(-1 - i, t) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string"), bare
+
+
+def test_formats_that_the_base_patterns_miss(spark):
+    """Learned from the documents' own labels, through the operator: few labels or many."""
+    for n_labelled, least in ((6, 0.9), (16, 0.95), (200, 0.98)):
+        docs, bare = planted(spark, n_labelled, 100, n_labelled)
+        model = secrets.learn(docs)
+        assert model["automata"]
+        found = {r["doc_id"]: [r["text"][s["start"] : s["end"]] for s in r["secrets"] if s["kind"] == "format"] for r in secrets.find_secrets(docs, model).collect()}
+        hits = sum(value in found[i] for i, value in bare.items())
+        strange = sum(len(v) for i, v in found.items()) - hits
+        assert hits / len(bare) >= least, (n_labelled, hits)
+        assert strange <= 5, (n_labelled, strange, [x for v in found.values() for x in v if x not in bare.values()][:30])
+
+
+def test_one_credential_is_a_format(spark):
+    docs = spark.createDataFrame([(1, "token = 3f8a9c1e77b2d04455aa says"), (2, "plain words and nothing else here")], "doc_id long, text string")
+    model = secrets.learn(docs)
+    assert [a["samples"] for a in model["automata"].values()] == [1]
+    assert secrets.learn(docs.filter("doc_id = 2"))["automata"] == {}
+    assert secrets.find_secrets(docs, secrets.learn(docs.limit(0))).filter("size(secrets) > 1").isEmpty()
