@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, stored, words
+from .common import SPACES, hot_join, stored, words
 
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
@@ -88,11 +88,12 @@ def normalised(text: Column) -> Column:
 
 
 def host_lines(docs: DataFrame, text: str, host: str, key: str) -> DataFrame:
-    """One row for each host, distinct document content and distinct normalised line."""
+    """One row for each host, distinct document content and distinct normalised line; ``at`` are its places."""
     plain = normalised(F.coalesce(F.col(text), F.lit("")))
-    lines = F.filter(F.transform(F.split(plain, "\n"), lambda x: F.btrim(x)), lambda x: x != "")
+    placed = F.transform(F.split(plain, "\n"), lambda x, i: F.struct(F.btrim(x).alias("x"), i.alias("at")))
+    lines = F.filter(placed, lambda s: s["x"] != "")
     found = F.transform(
-        lines, lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).alias("line_words"))
+        lines, lambda s: F.struct(F.xxhash64(s["x"]).alias("line"), F.size(F.split(s["x"], " ")).alias("line_words"), s["at"].alias("at"))
     )
     rows = docs.select(
         F.coalesce(F.col(host), F.lit("")).alias("host"),
@@ -103,19 +104,20 @@ def host_lines(docs: DataFrame, text: str, host: str, key: str) -> DataFrame:
     # The content hash in the key spreads a hot line or host over all partitions.
     return (
         rows.repartition("host", "line", "content")
-        .groupBy("host", "line", "content", "place", "line_words")
+        .groupBy("host", "line", "content", "place", "line_words", "at")
         .agg(F.min("first_id").alias("first_id"))
         .groupBy("host", "line", "content")
         .agg(
             F.sum("line_words").alias("line_words"),
             F.max(F.col("place") == 0).alias("opens"),
             F.min("first_id").alias("first_id"),
+            F.collect_list("at").alias("at"),
         )
     )
 
 
 def lines_above_limits(lines: DataFrame, min_docs: int, share: float) -> DataFrame:
-    """(host, line, holder): lines above both limits, and the id of the one that keeps each."""
+    """(host, line, holder, n): lines above both limits, the id of the one that keeps each, and its documents."""
     hosts = lines.groupBy("host").agg(F.sum(F.col("opens").cast("long")).alias("host_docs"))
     return (
         lines.groupBy("host", "line")
@@ -123,7 +125,7 @@ def lines_above_limits(lines: DataFrame, min_docs: int, share: float) -> DataFra
         .filter(F.col("line_docs") > min_docs)
         .join(hosts, "host")
         .filter(F.col("line_docs") > share * F.col("host_docs"))
-        .select("host", "line", "holder")
+        .select("host", "line", "holder", F.col("line_docs").alias("n"))
     )
 
 
@@ -150,11 +152,12 @@ def quality_rules(
     verdict.
     """
     lines = stored(host_lines(docs, text, host, key), "quality-lines")
+    above = stored(lines_above_limits(lines, min_docs, share), "quality-above")
     removed = (
-        lines.join(lines_above_limits(lines, min_docs, share), ["host", "line"])
+        hot_join(lines, above, ["host", "line"], lines.count())
         .filter(F.col("first_id") != F.col("holder"))
         .groupBy(F.col("host").alias("_host"), F.col("content").alias("_content"))
-        .agg(F.sum("line_words").alias("_removed"), F.collect_list("line").alias("_above"))
+        .agg(F.sum("line_words").alias("_removed"), F.flatten(F.collect_list("at")).alias("_gone"))
     )
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept", "clean_text"]
     base = base_metrics(docs.drop(*(c for c in added if c not in (text, host, key))), text)
@@ -167,9 +170,10 @@ def quality_rules(
         }
     )
     joined = keyed.join(removed, ["_host", "_content"], "left")
-    rest = F.filter(
-        F.split(F.col(text), "\n"), lambda x: ~F.array_contains("_above", F.xxhash64(F.btrim(normalised(x))))
-    )
+    every = F.split(F.col(text), "\n")
+    # The places that stay, by set difference: linear in the lines, however many go.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), "_gone")
+    rest = F.transform(stay, lambda i: F.get(every, i))
     left = F.col("n_words") - F.coalesce(F.col("_removed"), F.lit(0))
     return joined.withColumns(
         {
@@ -177,4 +181,4 @@ def quality_rules(
             "kept": (F.col("_partition") >= 0) & ~F.col("base_failed") & (left >= keep_share * F.col("n_words")),
             "clean_text": F.when(F.col("_removed") > 0, F.array_join(rest, "\n")).otherwise(F.col(text)),
         }
-    ).drop("_host", "_content", "_removed", "_above", "_partition")
+    ).drop("_host", "_content", "_removed", "_gone", "_partition")

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.llm import contamination, oracles, queries, tokens, toxicity
+from fieldloom.llm import contamination, oracles, quality, queries, tokens, toxicity
 
 DOCS = "doc_id long, text string"
 
@@ -79,3 +79,20 @@ def test_batches_of_texts_are_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "CHARS", 10)
     batch = ["a" * 4, "b" * 4, "c" * 4, "d" * 30, "", "e"]
     assert list(tokens.parts(batch)) == [(0, 2), (2, 3), (3, 4), (4, 6)] and list(tokens.parts([])) == []
+
+
+def test_many_removed_lines_are_linear(spark):
+    """A text of very many lines that all go, and of few: seconds, not hours."""
+    import time
+
+    n = 200_000
+    shared = [f"boilerplate number {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576 % 26)} of all" for i in range(n)]
+    rows = [(k, "\n".join(shared[: n if k in (5, 6) else 60]) + f"\nown words of {chr(97 + k)} here " * 9, "h") for k in range(26)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in quality.quality_rules(docs, min_docs=1).collect()}
+    assert time.time() - began < 120
+    own = [f"own words of {chr(97 + 5)} here " for _ in range(9)]
+    assert got[6]["removed_words"] == 5 * n and [x for x in got[6]["clean_text"].split("\n") if x.startswith("boiler")] == []
+    assert got[5]["removed_words"] == 5 * 60 and len(got[5]["clean_text"].split("\n")) == n - 60 + len(own)
+    assert got[0]["clean_text"] == rows[0][1]
