@@ -81,7 +81,7 @@ def set_key(found: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(found.tobytes())
 
 
-def sketches(docs: DataFrame, key: str, text: str, similarity: float, seed: int) -> DataFrame:
+def sketches(docs: DataFrame, key: str, text: str, similarity: float, seed: int, recall: float = 0.99) -> DataFrame:
     """(doc_id, text_hash, set_key, size, sketch, heads); the last four null without words.
 
     ``sketch`` keeps 16 bits of each token, ``heads`` are the set's nodes below the
@@ -91,7 +91,7 @@ def sketches(docs: DataFrame, key: str, text: str, similarity: float, seed: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = permutations(seed)
         choices = Choices(similarity)
-        tops = roots(seed, range(RUNS), choices)
+        tops = roots(seed, first_runs(seed, choices, similarity, recall), choices)
         of = np.repeat(tops, [len(choices[int(t)]) for t in tops])
         tokens = np.concatenate([choices[int(t)] for t in tops])
         for batch in batches:
@@ -183,6 +183,17 @@ def roots(seed: int, runs: range, choices: Choices) -> np.ndarray:
     return np.array(found, np.int64)
 
 
+def first_runs(seed: int, choices: Choices, similarity: float, recall: float) -> range:
+    """Runs of the first pass: RUNS, and more until nodes of the first level alone keep the recall.
+
+    Pairs in no large node are looked for there only, so those runs have to suffice.
+    """
+    runs = range(RUNS)
+    while missed(roots(seed, runs, choices), choices, similarity, 1) > 1 - recall:
+        runs = range(runs.stop + 1)
+    return runs
+
+
 def first_level(sets: DataFrame, runs: range, seed: int, similarity: float) -> DataFrame:
     """(node, id, label): the children of the runs' roots, by the sketches' 16 bits."""
 
@@ -337,15 +348,16 @@ def candidates(sets: DataFrame, similarity: float, recall: float, seed: int) ->
     """(id, label): components of what the sketches link, over all runs.
 
     ``sets`` are (id, sketch, short, heads). The sketch threshold lies four standard
-    errors below the similarity. Runs go on until all together miss a pair at the
-    threshold with a chance of at most 1 - recall. A pair that shares a small node is
-    found there, so only sets of large nodes go into further passes.
+    errors below the similarity. The first pass has so many runs that pairs in small
+    nodes are missed with a chance of at most 1 - recall, whatever the seed and the
+    similarity. Sets of large nodes, which go on to lower levels, go into further passes
+    until the same holds for them.
     """
     least = math.ceil(TOKENS * similarity - 4 * math.sqrt(TOKENS * similarity * (1 - similarity)))
     choices = Choices(similarity)
     found: list[DataFrame] = []
     tables: list[DataFrame] = []
-    runs, rest, known = range(RUNS), 1.0, sets
+    runs, rest, known = first_runs(seed, choices, similarity, recall), 1.0, sets
     rows = stored(sets.select(F.explode("heads").alias("node"), "id", F.col("id").alias("label")), "paths")
     while True:
         links, depth, hot = _pass(known, rows, similarity, least, tables)
@@ -358,7 +370,7 @@ def candidates(sets: DataFrame, similarity: float, recall: float, seed: int) ->
         if rest <= 1 - recall or hot is None:
             discard(*tables)
             return labels
-        runs = range(runs.stop, runs.stop + RUNS)
+        runs = range(runs.stop, runs.stop + RUNS)  # with the sets of large nodes
         known = sets.join(hot, "id", "left_semi")
         labelled = known.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         rows = stored(first_level(labelled, runs, seed, similarity), "paths")
@@ -661,7 +673,7 @@ def distinct_documents(
 
 def _known(docs: DataFrame, key: str, text: str, similarity: float, recall: float, seed: int) -> tuple[DataFrame, DataFrame]:
     """Rows with their set, and sets with class, links and whether the class's document has it."""
-    rows = stored(sketches(docs, key, text, similarity, seed), "sketches")
+    rows = stored(sketches(docs, key, text, similarity, seed, recall), "sketches")
     classes = (
         rows.filter(F.col("set_key").isNotNull())
         .groupBy("set_key")

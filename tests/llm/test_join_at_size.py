@@ -71,3 +71,29 @@ def test_sizes_that_differ_too_much_are_not_compared(spark):
     for r in tasks:
         together.setdefault(tuple(r["t"])[:4], set()).add(r["id"])
     assert any({0, 1} <= x for x in together.values()) and not any(x & {0, 1, 2} and x & {3, 4} for x in together.values())
+
+
+def test_first_runs_keep_the_recall_whatever_the_parameters():
+    for similarity in (0.3, 0.5, 0.6, 0.7, 0.8, 0.95):
+        for seed in range(1, 60):
+            choices = jaccard.Choices(similarity)
+            runs = jaccard.first_runs(seed, choices, similarity, 0.99)
+            assert jaccard.missed(jaccard.roots(seed, runs, choices), choices, similarity, 1) <= 0.01
+    assert jaccard.first_runs(11, jaccard.Choices(0.8), 0.8, 0.99) == range(jaccard.RUNS)
+
+
+def test_recall_at_other_similarities(spark):
+    """Pairs just above the threshold, nodes as small as they are shipped, seeds that once fell short."""
+    random = np.random.default_rng(8)
+    for similarity, seed in ((0.5, 3), (0.6, 4), (0.7, 5), (0.9, 6)):
+        rows, pairs = [], 150
+        for i in range(pairs):
+            words = [f"w{i}_{k}" for k in range(204)]
+            # n words in a row that differ break n + 4 of 200 shingles on each side.
+            n = int(200 * (1 - similarity) / (1 + similarity)) - 5
+            at = int(random.integers(10, 190 - n))
+            rows += [(i, " ".join(words)), (pairs + i, " ".join(words[:at] + [f"y{i}_{k}" for k in range(n)] + words[at + n :]))]
+        sets = {i: set(zip(*(t.split()[k:] for k in range(5)))) for i, t in rows}
+        assert all(similarity <= len(sets[i] & sets[pairs + i]) / len(sets[i] | sets[pairs + i]) <= similarity + 0.03 for i in range(pairs))
+        got = {r["doc_id"]: r["n_links"] for r in jaccard.jaccard_join(spark.createDataFrame(rows, SHAPE), similarity=similarity, seed=seed).collect()}
+        assert sum(got[i] == 1 and got[pairs + i] == 1 for i in range(pairs)) >= 0.95 * pairs, similarity
