@@ -3,19 +3,23 @@
 An item's windows are its runs of ``window`` words (an item of fewer words is one
 window). A window lies in a document only if each of its words does, so one word of
 it is a sufficient prefix: the rarest one over all documents. Documents are joined
-with these prefix words; an occurrence fixes the diagonal of item and document, the
-lengths of both bound it, and the words along it are compared to the full run.
+with these prefix words; an occurrence and the place of the word in its windows fix where
+in the document a window may lie, whose length bounds it there. What lies there is looked
+up among the windows by its hash and compared with the item, word for word: so the work
+goes with the document's length, however often an item or a text repeats itself.
 """
 
 from __future__ import annotations
 
-import hashlib
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain, repeat
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,49 +47,64 @@ class Block:
 
     ids: list[str]
     items: list[list[bytes]]
-    #: prefix word → places (item, position) that a document's occurrence is joined to
+    #: prefix word → (words of a window, the word's place in it), for all windows that it stands for
     prefix: dict[bytes, list[tuple[int, int]]] = field(default_factory=dict)
+    #: Distinct windows of each item, by hash: hashes in order, items, first words.
+    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    of: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    start: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
 
     def vocabulary(self) -> set[bytes]:
         return {w for item in self.items for w in item}
 
     def order(self, rarity: dict[bytes, int], window: int) -> None:
         """Takes the rarest word of each window, ties by the word, as its prefix."""
-        chosen: dict[bytes, set[tuple[int, int]]] = {}
+        places: dict[bytes, set[tuple[int, int]]] = {}
+        hashes, of, starts = array("Q"), array("i"), array("i")
         for n, item in enumerate(self.items):
-            span = min(window, len(item))
+            span, seen = min(window, len(item)), set()
             for start in range(len(item) - span + 1):
+                hashed = window_hash(item[start : start + span])
+                if hashed in seen:
+                    continue
+                seen.add(hashed)
                 at = min(range(start, start + span), key=lambda i: (rarity.get(item[i], 0), item[i], i))
-                chosen.setdefault(item[at], set()).add((n, at))
-        self.prefix = {w: sorted(places) for w, places in chosen.items()}
+                places.setdefault(item[at], set()).add((span, at - start))
+                hashes.append(hashed)
+                of.append(n)
+                starts.append(start)
+        order = np.argsort(np.frombuffer(hashes, np.uint64) if hashes else self.hashes, kind="stable")
+        self.prefix = {w: sorted(x) for w, x in places.items()}
+        self.hashes, self.of, self.start = (np.array(x, k)[order] for x, k in ((hashes, np.uint64), (of, np.int32), (starts, np.int32)))
 
     def matches(self, words: list[bytes], window: int) -> list[tuple[int, int, int]]:
-        """(item, first, end) of all maximal runs in ``words`` that hold a window."""
+        """(item, first, end) of all windows in ``words``."""
         keys = self.prefix.keys() & set(words)
         if not keys:
             return []
-        found, ends = [], {}
-        n = len(words)
+        found, n = [], len(words)
         for p, word in enumerate(words):
             if word not in keys:
                 continue
-            for k, q in self.prefix[word]:
-                item = self.items[k]
-                span = min(window, len(item))
-                if n < span or ends.get((k, p - q), -1) >= p:
+            for span, offset in self.prefix[word]:
+                first, end = p - offset, p - offset + span
+                if first < 0 or end > n:
                     continue
-                first = 0
-                while first < min(p, q) and words[p - first - 1] == item[q - first - 1]:
-                    first += 1
-                end = 1
-                while p + end < n and q + end < len(item) and words[p + end] == item[q + end]:
-                    end += 1
-                ends[k, p - q] = p + end - 1
-                if first + end >= span:
-                    found.append((k, p - first, p + end))
+                there = words[first:end]
+                hashed = np.uint64(window_hash(there))
+                i = int(self.hashes.searchsorted(hashed))
+                while i < len(self.hashes) and self.hashes[i] == hashed:
+                    k, q = int(self.of[i]), int(self.start[i])
+                    if self.items[k][q : q + span] == there:
+                        found.append((k, first, end))
+                    i += 1
         return found
 
 
+def window_hash(words: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join(words))
+
+
 def read_blocks(items: DataFrame, key: str, text: str, block_words: int, window: int, unnamed: bool) -> Iterator[Block]:
     """The benchmark in blocks of bounded size, streamed partition by partition.
 
@@ -161,7 +180,7 @@ def scan(docs: DataFrame, text: str, block: Block, window: int, keep_text: bool)
 
     The text is the last column if it is kept.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((block.ids, block.items, block.prefix))
+    shared = docs.sparkSession.sparkContext.broadcast((block.ids, block.items, block.prefix, block.hashes, block.of, block.start))
     done = [c for c in ("hits", "items") if c in docs.columns]
     rest = [c for c in docs.columns if c not in (text, "hits", "items", "n_words")]
 

@@ -96,3 +96,40 @@ def test_many_removed_lines_are_linear(spark):
     assert got[6]["removed_words"] == 5 * n and [x for x in got[6]["clean_text"].split("\n") if x.startswith("boiler")] == []
     assert got[5]["removed_words"] == 5 * 60 and len(got[5]["clean_text"].split("\n")) == n - 60 + len(own)
     assert got[0]["clean_text"] == rows[0][1]
+
+
+def test_repetitive_texts_and_items_are_linear():
+    """Items and texts of one or two words over and over: as many look-ups as the text has words."""
+    import random
+    import time
+
+    rng, began = random.Random(4), time.time()
+    one = contamination.Block(["1"], [[b"w"] * 20_000])
+    one.order({}, 13)
+    assert contamination.merged([(a, b) for _, a, b in one.matches([b"w"] * 200_000, 13)]) == [(0, 200_000)]
+    two = contamination.Block(["1"], [[rng.choice([b"v", b"w"]) for _ in range(5_000)]])
+    two.order({}, 13)
+    words = [rng.choice([b"v", b"w"]) for _ in range(50_000)]
+    windows = {tuple(two.items[0][i : i + 13]) for i in range(5_000 - 12)}
+    want = [(i, i + 13) for i in range(len(words) - 12) if tuple(words[i : i + 13]) in windows]
+    assert sorted({(a, b) for _, a, b in two.matches(words, 13)}) == want
+    assert time.time() - began < 30
+
+
+@pytest.mark.parametrize("window", [1, 3, 6])
+def test_windows_against_all_places(window):
+    import random
+
+    rng = random.Random(window)
+    for _ in range(600):
+        letters = [b"a", b"b", b"c", b"d"][: rng.randrange(1, 5)]
+        items = [[rng.choice(letters) for _ in range(rng.randrange(1, 12))] for _ in range(rng.randrange(1, 5))]
+        words = [rng.choice([*letters, b"x"]) for _ in range(rng.randrange(0, 40))]
+        block = contamination.Block([str(i) for i in range(len(items))], items)
+        block.order({x: rng.randrange(3) for x in letters}, window)
+        want = set()
+        for k, item in enumerate(items):
+            span = min(window, len(item))
+            own = {tuple(item[s : s + span]) for s in range(len(item) - span + 1)}
+            want |= {(k, a, a + span) for a in range(len(words) - span + 1) if tuple(words[a : a + span]) in own}
+        assert set(block.matches(words, window)) == want
