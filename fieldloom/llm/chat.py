@@ -9,6 +9,7 @@ template renders. Control strings inside roles and texts are escaped reversibly,
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -114,21 +115,22 @@ def _state(at: Column, opened: Column, paths: Column) -> Column:
     return F.struct(at.alias("at"), opened.alias("open"), paths.alias("paths"))
 
 
+def _canonical(m: Mapping, role: Column) -> Column:
+    for source, target in m.roles:
+        role = F.when(role == source, target).otherwise(role)
+    return role
+
+
 def _turns(record: Column, m: Mapping) -> Column:
     """The mapping's turns of a JSON record."""
 
-    def canonical(role: Column) -> Column:
-        for source, target in m.roles:
-            role = F.when(role == source, target).otherwise(role)
-        return role
-
     if m.messages:
         shape = f"struct<`{m.messages}`:array<struct<`{m.role_field}`:string,`{m.text_field}`:string>>>"
         listed = F.from_json(record, shape[7:-1].replace("`:", "` ", 1))[m.messages]
         return F.transform(
             listed,
             lambda x: F.struct(
-                canonical(F.coalesce(x[m.role_field], F.lit(""))).alias("role"),
+                _canonical(m, F.coalesce(x[m.role_field], F.lit(""))).alias("role"),
                 F.coalesce(x[m.text_field], F.lit("")).alias("text"),
             ),
         )
@@ -151,11 +153,16 @@ def canonical_turns(records: DataFrame, record: str = "record", mappings: tuple[
     told = F.concat(F.lit("record of "), F.length(whole).cast("string"), F.lit(" characters does not parse"))
     paths = F.when(too_long, F.raise_error(told).cast("array<string>")).otherwise(field_paths(whole))
     df = records.withColumn("layout_hash", fingerprint(paths))
+    return _mapped(df, mappings, lambda m: _turns(F.col(record), m))
+
+
+def _mapped(df: DataFrame, mappings: tuple[Mapping, ...], make: Callable[[Mapping], Column]) -> DataFrame:
+    """Adds ``layout`` and ``turns`` by the mapping whose paths have each row's ``layout_hash``."""
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for m in mappings:
         own = F.col("layout_hash") == fingerprint(F.array(*map(F.lit, m.paths)))
         layout = F.when(own, m.name).otherwise(layout)
-        turns = F.when(own, _turns(F.col(record), m)).otherwise(turns)
+        turns = F.when(own, make(m)).otherwise(turns)
     return df.withColumns({"layout": layout, "turns": turns.cast(TURNS)})
 
 
@@ -274,9 +281,7 @@ def as_turns(rows: DataFrame, key: str = "conv_id", order: str = "turn", mapping
         if not set(m.paths) <= set(rows.columns):
             continue
         own = found == fingerprint(F.array(*map(F.lit, m.paths)))
-        said = F.coalesce(F.col(m.role_field), F.lit(""))
-        for source, target in m.roles:
-            said = F.when(said == source, target).otherwise(said)
+        said = _canonical(m, F.coalesce(F.col(m.role_field), F.lit("")))
         role = F.when(own, said).otherwise(role)
         text = F.when(own, F.coalesce(F.col(m.text_field), F.lit(""))).otherwise(text)
         layout = F.when(own, m.name).otherwise(layout)
@@ -290,6 +295,79 @@ def as_turns(rows: DataFrame, key: str = "conv_id", order: str = "turn", mapping
     )
 
 
+# --- outlines: records of any layout whose texts lie beside them -----------------------
+
+
+def outlines(done: DataFrame, key: str = "conv_id", turns: str = "turns", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """(key, outline, roles, texts): each conversation as a record of one of the layouts.
+
+    The outline is the record's JSON with numbers of texts in the place of texts, and of a
+    list its first element only; ``roles`` are as the layout writes them. So an outline is
+    short, whatever the texts and however many. The key's hash proposes the layout; a
+    conversation that it cannot hold (other roles in its single fields, or roles that its
+    own names would take) is a list of messages.
+    """
+    df = done.select(key, F.transform(turns, lambda t: t["role"]).alias("roles"), F.transform(turns, lambda t: t["text"]).alias("texts"))
+    choice = F.pmod(F.xxhash64(key), F.lit(len(mappings))).cast("int")
+    plain = next(m for m in mappings if m.messages and not m.roles)
+    outline, roles = _outline(plain), F.col("roles")
+    for i, m in enumerate(mappings):
+        back = {target: source for source, target in m.roles}
+        fits = ~F.exists("roles", lambda r: r.isin(*back.values())) if m.roles else F.lit(True)
+        if not m.messages:
+            fits = F.col("roles") == F.array(*(F.lit(role) for role, _ in m.fields))
+        own = (choice == i) & F.coalesce(fits, F.lit(False))
+        outline = F.when(own, _outline(m)).otherwise(outline)
+        if back:
+            roles = F.when(own, F.transform("roles", _named(back))).otherwise(roles)
+    return df.withColumns({"outline": outline, "roles": roles}).select(key, "outline", "roles", "texts")
+
+
+def _named(names: dict[str, str]) -> Callable[[Column], Column]:
+    def role_of(role: Column) -> Column:
+        for target, source in names.items():
+            role = F.when(role == target, source).otherwise(role)
+        return role
+
+    return role_of
+
+
+def _outline(m: Mapping) -> Column:
+    if m.messages:
+        first = F.struct(F.get("roles", F.lit(0)).alias(m.role_field), (F.size("texts") - 1).cast("string").alias(m.text_field))
+        return F.to_json(F.struct(F.array(first).alias(m.messages)), {"ignoreNullFields": "false"})
+    tree: dict = {}
+    for i, (_, path) in enumerate(m.fields):
+        *above, last = path.split(".")
+        at = tree
+        for name in above:
+            at = at.setdefault(name, {})
+        at[last] = (F.size("texts") - len(m.fields) + i).cast("string")
+
+    def built(node: dict) -> Column:
+        return F.struct(*((built(v) if isinstance(v, dict) else v).alias(k) for k, v in node.items()))
+
+    return F.to_json(built(tree))
+
+
+def outlined_turns(df: DataFrame, outline: str = "outline", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """``df`` (outline, roles, texts) with ``layout_hash``, ``layout`` and canonical ``turns``.
+
+    The nested field paths of each row's outline are hashed, and select its mapping, as
+    those of whole records do in ``canonical_turns``; texts are fetched by their numbers
+    and never parsed. A field that the outline lacks is no turn; an unknown layout, or a
+    null outline, has null turns.
+    """
+
+    def turns(m: Mapping) -> Column:
+        if m.messages:
+            return F.zip_with("roles", "texts", lambda r, t: F.struct(_canonical(m, F.coalesce(r, F.lit(""))).alias("role"), F.coalesce(t, F.lit("")).alias("text")))
+        fields = [F.struct(F.lit(role).alias("role"), F.get("texts", F.get_json_object(outline, "$." + path).cast("int")).alias("text")) for role, path in m.fields]
+        return F.filter(F.array(*fields), lambda x: x["text"].isNotNull())
+
+    return _mapped(df.withColumn("layout_hash", fingerprint(field_paths(F.col(outline)))), mappings, turns)
+
+
 def digests(df: DataFrame, key: str = "conv_id") -> DataFrame:
     """What was read back, as counts and hashes."""
     told = F.transform("read_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))

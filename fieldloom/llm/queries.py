@@ -97,7 +97,9 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         said.alias("text"),
     )
     rows = table(spark, sf_dir, "conversations").select(*columns).unionByName(extra)
-    return chat.digests(chat.read_back(chat.render(chat.as_turns(rows))))
+    # Conversations come as records of all layouts, whose fingerprints lead back to their turns.
+    records = chat.outlines(chat.as_turns(rows).select("conv_id", "turns"))
+    return chat.digests(chat.read_back(chat.render(chat.outlined_turns(records))))
 
 
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
