@@ -18,13 +18,13 @@ from .relational import top_per_key
 
 
 class Job(NamedTuple):
-    """Profiles of ``value`` and ``entity`` by ``keys``, over the rows where ``where`` holds; ``limit`` is a top list."""
+    """Profiles of ``value`` and ``entity`` by ``keys``, over the rows where the SQL of ``where`` holds; ``limit`` is a top list."""
 
     name: str
     keys: tuple[str, ...]
     value: str
     entity: str
-    where: Column | None = None
+    where: str | None = None
     limit: int | None = None
 
 
@@ -40,7 +40,7 @@ def job_cells(rows: DataFrame, jobs: list[Job]) -> DataFrame:
         entity = F.lit(None).cast("string") if is_value else F.col(job.entity).cast("string")
         keys = F.array(*(F.col(k).cast("string") for k in job.keys))
         made = F.struct(F.lit(job.name).alias("job"), keys.alias("keys"), value.alias("value"), entity.alias("entity"), F.lit(is_value).alias("is_value"))
-        return made if job.where is None else F.when(job.where, made)
+        return made if job.where is None else F.when(F.expr(job.where), made)
 
     cells = F.explode(F.array(*(cell(j, v) for j in jobs for v in (True, False)))).alias("c")
     return rows.select(cells).filter("c IS NOT NULL").groupBy("c").agg(F.count(F.lit(1)).alias("n")).select("c.*", "n")

@@ -40,8 +40,8 @@ def _spec_sql(side: str, number: str, shift: int) -> str:
     return ", ".join([*picks, f"({number} + {shift}) % 2 = 0 AS {side}dtype_declared"])
 
 
-def judged(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
-    """The ranking with the gate of each field and its candidate's representative."""
+def judged(spark: SparkSession, sf_dir: str, k: int = 5, more: tuple[str, ...] = ()) -> DataFrame:
+    """The ranking with the gate of each field and its candidate's representative, and ``more`` of both."""
     ranked = ranking(spark, sf_dir, k).select("field_key", "concept", "score", "rank", "label", "t")
     # What the rules derive is derived once a field and once a concept, not once a pair.
     described = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("field_key"))
@@ -51,7 +51,7 @@ def judged(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     gate = G.gate(G.Field.at("a_", prepared=True), G.Field.at("b_", prepared=True), concept_mode=True)
     known = known.withColumns({"gate": gate, "has_representative": F.col("concept") < 7})
     violation = M.violations(F.col("gate"), F.col("has_representative"))
-    return known.withColumn("violation", violation).select("field_key", "concept", "score", "rank", "label", "t", "gate", "has_representative", "violation")
+    return known.withColumn("violation", violation).select("field_key", "concept", "score", "rank", "label", "t", "gate", "has_representative", "violation", *more)
 
 
 #: The ranking's pairs in the place of the parts that the rules' SQL reads.

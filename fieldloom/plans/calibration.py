@@ -10,7 +10,7 @@ from ..operators import metrics as K
 from ..operators import ordered as O
 from ..operators import relational as R
 from .base import Registry, table
-from .matching import AUROC_SQL, GATE_SQL, SCORES_SQL, gate_of, labelled, ranking, top
+from .matching import AUROC_SQL, SCORES_SQL, labelled, top
 from .matching import LABELLED_SQL as LABELLED
 
 registry = Registry()
@@ -58,9 +58,14 @@ def subsampled_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picked.select("o_orderkey", "o_totalprice").unionByName(end)
 
 
-@query()
+#: CRC-32 of an ASCII name: each byte, then each of its bits.
+CRC_SQL = """xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(p_name) + 1), lambda i: ascii(substr(p_name, i, 1))::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295)"""
+
+
+@query(f"SELECT p_partkey, CASE WHEN {CRC_SQL} % 10 < 7 THEN 'train' WHEN {CRC_SQL} % 10 = 7 THEN 'val' ELSE 'test' END AS split FROM part")
 def crc_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The field split; the oracle's engine has no CRC-32."""
+    """The field split by the names' CRC-32."""
     return table(spark, sf_dir, "part").select("p_partkey", crc_split_of(F.col("p_name")).alias("split"))
 
 
@@ -81,41 +86,6 @@ def concept_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.col("p_type").alias("concept"), F.coalesce(full, F.concat(F.lit("name: "), F.col("p_type"))).alias("card"), "median")
 
 
-KAPPA_SQL = f"""SELECT kappa, count(*) FILTER (0.1 * x < kappa AND gold = concept) AS kept_right, count(*) FILTER (0.1 * x >= kappa) AS rejected
-FROM (SELECT *, {GATE_SQL} AS x FROM top), (SELECT round(i / 100, 2)::DOUBLE AS kappa FROM range(1, 35) r(i)) GROUP BY kappa"""
-
-
-@query(f"WITH {SCORES_SQL} {KAPPA_SQL}")
-def kappa_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each rejection bound keeps and rejects. Violations take a few values, which
-    are counted first, so that the grid meets those and no rows."""
-    x = gate_of(F.col("field_key"), F.col("concept"))["v_unit"]
-    counts = top(spark, sf_dir).groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("gold") == F.col("concept")).alias("ok"))
-    grid = spark.range(1, 35).select(F.round(F.col("id") / 100, 2).alias("kappa"))
-    kept = 0.1 * F.col("x") < F.col("kappa")
-    return grid.crossJoin(F.broadcast(counts)).groupBy("kappa").agg(
-        F.sum(F.when(kept, F.col("ok")).otherwise(0)).alias("kept_right"), F.sum(F.when(~kept, F.col("n")).otherwise(0)).alias("rejected")
-    )
-
-
-LAMBDAS = [0.0, 0.05, 0.1, 0.2, 0.5, 1.0]
-
-
-@query(f"""WITH {SCORES_SQL}, l AS (SELECT unnest({LAMBDAS})::DOUBLE AS penalty), g AS (SELECT vec_id, penalty, gold, concept, rank, {GATE_SQL} AS x, round(score - penalty * {GATE_SQL}, 6) AS s FROM ranked, l),
-t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, penalty ORDER BY s DESC, rank) AS r FROM g) WHERE r = 1)
-SELECT penalty, round(100 * avg(CAST(x = 1 AS INT)), 4) AS violations, round(100 * avg(CAST(gold = concept AS INT)), 4) AS right_percent FROM t GROUP BY penalty""")
-def lambda_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top-1 violations and accuracy of each penalty, all penalties in one pass."""
-    x = gate_of(F.col("field_key"), F.col("concept"))["v_unit"]
-    ranked = ranking(spark, sf_dir).withColumn("x", x).withColumn("penalty", F.explode(F.array(*map(F.lit, LAMBDAS))))
-    scored = ranked.withColumn("s", F.round(F.col("score") - F.col("penalty") * F.col("x"), 6))
-    first = R.keep_first(scored, ["field_key", "penalty"], [F.desc("s"), F.col("rank")])
-    return first.groupBy("penalty").agg(
-        F.round(100 * F.avg((F.col("x") == 1).cast("int")), 4).alias("violations"),
-        F.round(100 * F.avg((F.col("label") == F.col("concept")).cast("int")), 4).alias("right_percent"),
-    )
-
-
 @query(f"""WITH {SCORES_SQL}, c AS (SELECT DISTINCT round(score, 2) AS theta FROM top WHERE t = 7), f AS (
   SELECT theta, count(*) FILTER (score >= theta AND gold = concept) AS tp, count(*) FILTER (score >= theta AND gold IS DISTINCT FROM concept) AS fp,
     count(gold) - count(*) FILTER (score >= theta AND gold = concept) AS fn FROM top, c WHERE t = 7 GROUP BY theta)

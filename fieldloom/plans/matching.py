@@ -81,46 +81,6 @@ def slice_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sliced.crossJoin(F.broadcast(few)).select("field_key", "concept", F.round(M.slice_cosine(F.col("x"), F.col("y")), 5).alias("s_sem"))
 
 
-GATE_SQL = "CASE WHEN (vec_id + concept) % 7 = 0 THEN 1.0 WHEN (vec_id + concept) % 3 = 0 THEN 0.5 ELSE 0.0 END"
-
-
-def gate_of(field, concept):  # noqa: ANN001, ANN201
-    """A stand-in gate: conflicts by arithmetic on the ids."""
-    x = F.when((field + concept) % 7 == 0, 1.0).when((field + concept) % 3 == 0, 0.5).otherwise(0.0)
-    soft = F.when(x == 1, 0.5).otherwise(x)
-    return F.struct(x.alias("v_unit"), soft.alias("v_type"), F.lit(0.5).alias("v_prov"), (x == 1).alias("hard_reject"))
-
-
-@query(f"""WITH {SCORES_SQL}, g AS (SELECT *, {GATE_SQL} AS x FROM ranked)
-SELECT vec_id AS field_key, CAST(concept AS BIGINT) AS concept, s AS score, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, rank, concept) AS rank
-FROM (SELECT *, round(score + 0.3 * 0.5 - x - x - 0.25, 6) AS s FROM g WHERE x < 1)""")
-def gated_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = ranking(spark, sf_dir).select("field_key", "concept", "score", "rank")
-    gates = ranked.select("field_key", "concept", gate_of(F.col("field_key"), F.col("concept")).alias("gate"), F.lit(0.5).alias("stat"))
-    return M.rescore(ranked, gates)
-
-
-@query(f"""WITH {SCORES_SQL} SELECT vec_id AS field_key, CAST(concept AS BIGINT) AS concept, round(CASE WHEN vec_id % 11 = 0 THEN 0.6 * score ELSE score * (1 - 0.1 * 2 * {GATE_SQL}) END, 6) AS s,
-  CASE WHEN CASE WHEN vec_id % 11 = 0 THEN 0.6 * score ELSE score * (1 - 0.1 * 2 * {GATE_SQL}) END >= 0.2 THEN CAST(concept AS VARCHAR) ELSE 'UNKNOWN' END AS decision FROM top""")
-def abstention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gate = gate_of(F.col("field_key"), F.col("concept"))
-    s = M.abstention_score(F.col("score"), 2 * gate["v_unit"], F.lit(True), F.col("field_key") % 11 != 0, 0.1)
-    return top(spark, sf_dir).select("field_key", "concept", F.round(s, 6).alias("s"), M.decide(s, F.col("concept").cast("string"), 0.2).alias("decision"))
-
-
-@query(f"""WITH {SCORES_SQL} SELECT vec_id AS field_key, CAST(concept AS BIGINT) AS concept, rank,
-  row_number() OVER (PARTITION BY vec_id ORDER BY {GATE_SQL}, rank, concept) AS new_rank FROM ranked WHERE rank <= 5""")
-def graded_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = ranking(spark, sf_dir, 5).withColumn("x", gate_of(F.col("field_key"), F.col("concept"))["v_unit"])
-    return M.graded_rerank(ranked, "x").select("field_key", "concept", "rank", "new_rank")
-
-
-@query(f"WITH {SCORES_SQL} SELECT vec_id AS field_key, CAST(concept AS BIGINT) AS concept, rank FROM ranked WHERE rank <= 5 AND 0.1 * {GATE_SQL} < 0.09")
-def graded_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = ranking(spark, sf_dir, 5).withColumn("x", gate_of(F.col("field_key"), F.col("concept"))["v_unit"])
-    return M.graded_reject(ranked, "x", 0.1, 0.09).select("field_key", "concept", "rank")
-
-
 @query("""
 SELECT doc_id AS field_key, item_id AS concept, 1.0::DOUBLE AS score FROM
   (SELECT doc_id, lower(regexp_replace(source, '[^a-zA-Z0-9 ]+', ' ', 'g')) AS n FROM documents)
@@ -172,18 +132,6 @@ def error_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.select("t", "over_assigned", "wrong", "missed", (F.col("n") - errors).alias("correct"), F.round(100 * F.col("over_assigned") / F.nullif(errors.cast("double"), F.lit(0.0)), 4).alias("over_share"))
 
 
-@query(f"""WITH {SCORES_SQL}, g AS (SELECT *, {GATE_SQL} AS x FROM top) SELECT count(*) FILTER (score >= 0.3) AS n_assigned,
-  round(100 * avg(CAST(x = 1 AS INT)) FILTER (score >= 0.3), 4) AS unit_violation, round(100 * avg(CAST(score >= 0.3 AS INT)), 4) AS coverage FROM g""")
-def coverage_uv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = top(spark, sf_dir).withColumn("x", gate_of(F.col("field_key"), F.col("concept"))["v_unit"])
-    kept = F.col("score") >= 0.3
-    return told.agg(
-        F.count_if(kept).alias("n_assigned"),
-        F.round(100 * F.avg(F.when(kept, (F.col("x") == 1).cast("int"))), 4).alias("unit_violation"),
-        F.round(100 * F.avg(kept.cast("int")), 4).alias("coverage"),
-    )
-
-
 AUROC_SQL = """SELECT {keys} sum(y)::BIGINT AS n_pos, (count(*) - sum(y))::BIGINT AS n_neg,
   round((sum(y * r) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * (count(*) - sum(y)), 0), 6) AS auroc
 FROM (SELECT *, rank() OVER ({part} ORDER BY x) + (count(*) OVER ({part2} x) - 1) / 2 AS r FROM ({rows})) {group}"""
@@ -230,21 +178,6 @@ def best_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.best_threshold(calibrated(spark, sf_dir))
 
 
-DIMS = ["unit", "type", "prov"]
-SUBSETS = [[d for i, d in enumerate(DIMS) if m >> i & 1] for m in range(1, 8)]
-
-
-@query(f"WITH {SCORES_SQL}, g AS (SELECT *, {GATE_SQL} AS x FROM top), d AS (" + " UNION ALL ".join(
-    f"SELECT '{'+'.join(s)}' AS dims, CAST(gold IS NOT NULL AS BIGINT) AS y, round(score * (1 - 0.1 * ({' + '.join({'unit': 'x', 'type': '(CASE WHEN x = 1 THEN 0.5 ELSE x END)', 'prov': '0.5'}[k] for k in s)})), 6) AS x FROM g" for s in SUBSETS
-) + ") " + AUROC_SQL.format(keys="dims,", part="PARTITION BY dims", part2="PARTITION BY dims,", rows="SELECT * FROM d", group="GROUP BY dims"))
-def dim_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open-set AUROC for each subset of the gate's dimensions, in one pass."""
-    g = gate_of(F.col("field_key"), F.col("concept"))
-    sums = [F.struct(F.lit("+".join(s)).alias("dims"), sum((g["v_" + d] for d in s), F.lit(0.0)).alias("v")) for s in SUBSETS]
-    rows = top(spark, sf_dir).withColumn("o", F.explode(F.array(*sums)))
-    return K.auroc(rows.select("o.dims", F.col("gold").isNotNull().cast("long").alias("y"), F.round(F.col("score") * (1 - 0.1 * F.col("o.v")), 6).alias("x")), "x", "y", ("dims",))
-
-
 POINTS_SQL = f"""SELECT row_number() OVER w AS rank, round(100 * count(*) OVER w / count(*) OVER (), 6) AS coverage, round(100 * sum(ok) OVER w / count(*) OVER w, 6) AS precision
 FROM (SELECT vec_id, score, CAST(gold IS NOT DISTINCT FROM concept AS INT) AS ok FROM top) WINDOW w AS (ORDER BY score DESC, vec_id ROWS UNBOUNDED PRECEDING)"""
 

@@ -190,8 +190,9 @@ SELECT src_table, count(*) AS n_fields, CAST(sum(n_rows) AS BIGINT) AS n_rows,
   round(avg(unit_recovery_rate), 4) AS mean_field_recovery
 FROM (({CATALOG_SQL.format(ev=EVENT_SQL, den="ev")}) UNION ALL ({CATALOG_SQL.format(ev=LINE_SQL, den="ev")})) GROUP BY src_table""")
 def unit_recovery_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = C.field_catalog(event_observations(spark, sf_dir)).unionByName(C.field_catalog(line_observations(spark, sf_dir)))
-    return C.unit_recovery(both, ["src_table"])
+    # A field has its table in its key: one catalogue holds the fields of both.
+    both = event_observations(spark, sf_dir).unionByName(line_observations(spark, sf_dir))
+    return C.unit_recovery(C.field_catalog(both), ["src_table"])
 
 
 @query("""

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import alignment, calibration, facets, matching, profiles, rules, states, storage, workflow
+from . import alignment, calibration, facets, gated, matching, profiles, rules, states, storage, workflow
 
-MODULES = (profiles, rules, matching, calibration, workflow, alignment, storage, states, facets)
+MODULES = (profiles, rules, matching, calibration, workflow, alignment, storage, states, facets, gated)
 QUERIES = {k: v for m in MODULES for k, v in m.registry.queries.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.registry.oracles.items()}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..operators import catalog as C
 from ..operators import increments as I
 from ..operators import jobs as J
+from ..operators import ordered as O
 from ..operators import sketches as S
 from ..sources import footers, readers, scratch
 from .base import Registry, table
@@ -53,11 +54,10 @@ JOBS = [
     J.Job("procedure_items", ("l_linenumber", "l_returnflag"), "l_shipmode", "l_orderkey"),
     J.Job("prescribed_drugs", ("l_partkey", "l_linestatus", "l_returnflag"), "l_discount", "l_orderkey", limit=80),
     J.Job("nurse_levels", ("l_returnflag", "l_linestatus", "l_linenumber"), "l_extendedprice", "l_orderkey"),
-    J.Job("infusions", ("l_suppkey",), "l_quantity", "l_orderkey", F.col("l_quantity") > 25),
-    J.Job("custom_labs", ("l_partkey",), "l_quantity", "l_suppkey", F.col("l_returnflag") == "N", 30),
+    J.Job("infusions", ("l_suppkey",), "l_quantity", "l_orderkey", "l_quantity > 25"),
+    J.Job("custom_labs", ("l_partkey",), "l_quantity", "l_suppkey", "l_returnflag = 'N'", 30),
     J.Job("exam_paths", ("l_linestatus", "l_partkey"), "l_discount", "l_orderkey", limit=50),
 ]
-WHERE = {"infusions": "l_quantity > 25", "custom_labs": "l_returnflag = 'N'"}
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def _job_sql(job: J.Job) -> str:
     value = f"try_cast({job.value} AS DOUBLE)"
     found = f"""SELECT '{job.name}' AS job, {listed} AS key, [{', '.join(f'CAST({k} AS VARCHAR)' for k in job.keys)}] AS ks, count(*) AS n, count(DISTINCT {job.entity}) AS n_entities,
   count({value}) AS n_numeric, count(*) - count({value}) AS n_other, quantile_disc({value}, 0.01) AS p01, quantile_disc({value}, 0.5) AS p50, quantile_disc({value}, 0.99) AS p99
-  FROM li WHERE {WHERE.get(job.name, 'true')} GROUP BY {keys}"""
+  FROM li WHERE {job.where or 'true'} GROUP BY {keys}"""
     limited = f"SELECT * FROM ({found}) ORDER BY n DESC, ks LIMIT {job.limit}" if job.limit else found
     return f"SELECT * EXCLUDE (ks) FROM ({limited})"
 
@@ -101,6 +101,69 @@ def wide_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.filled_cells(rows, ["value", "event_type", "props", "third"], "user_id")
 
 
+#: Orders are stays: their price tells their days, their status how they ended.
+STAYS_SQL = "SELECT *, o_totalprice / 40000 AS los, o_orderstatus = 'F' AS died FROM orders"
+
+
+def stays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").withColumns({"los": F.col("o_totalprice") / 40000, "died": F.col("o_orderstatus") == "F"})
+
+
+def _lengths() -> list[Column]:
+    return [F.count_if(F.col("los") >= 1).alias("n_ge_24h"), F.count_if(F.col("los") > 7).alias("n_gt_7d")]
+
+
+@query(f"""SELECT count(*) AS n_stays, count(*) FILTER (los >= 1) AS n_ge_24h, count(*) FILTER (los > 7) AS n_gt_7d, round(avg(los), 3) AS mean_los, round(quantile_disc(los, 0.5), 3) AS median_los FROM ({STAYS_SQL})""")
+def los_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of stays, whose median comes out of counted values."""
+    rows = stays(spark, sf_dir)
+    cells = rows.groupBy("los").agg(F.count(F.lit(1)).alias("n"))
+    median = O.weighted_quantiles(cells.withColumn("one", F.lit(1)), ["one"], "los", "n", {"m": (1, 2)}).select(F.round("m", 3).alias("median_los"))
+    return rows.agg(F.count(F.lit(1)).alias("n_stays"), *_lengths(), F.round(F.avg("los"), 3).alias("mean_los")).crossJoin(F.broadcast(median))  # one row
+
+
+@query(f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM ({STAYS_SQL}))
+SELECT count(*) AS n_first, count(*) FILTER (los >= 1) AS n_ge_24h, count(*) FILTER (los > 7) AS n_gt_7d, count(*) FILTER (los >= 1 AND died) AS n_ge_24h_died, count(c_custkey) AS n_known
+FROM s LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0 WHERE rn = 1""")
+def first_stay_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both labels over the first stay of each patient, taken by one partial aggregation."""
+    first = F.min_by(F.struct("los", "died"), F.struct("o_orderdate", "o_orderkey")).alias("s")
+    rows = stays(spark, sf_dir).groupBy("o_custkey").agg(first).select("o_custkey", "s.*")
+    known = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select("c_custkey")
+    joined = rows.join(known, F.col("o_custkey") == F.col("c_custkey"), "left")
+    return joined.agg(F.count(F.lit(1)).alias("n_first"), *_lengths(), F.count_if((F.col("los") >= 1) & F.col("died")).alias("n_ge_24h_died"), F.count("c_custkey").alias("n_known"))
+
+
+@query(f"""SELECT o_orderpriority AS source, count(*) AS n_stays, count(DISTINCT o_custkey) AS n_patients, round(avg(los), 3) AS mean_los, count(*) FILTER (los >= 1) AS n_ge_24h,
+  count(*) FILTER (los > 7) AS n_gt_7d FROM ({STAYS_SQL}) GROUP BY 1""")
+def stays_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stays(spark, sf_dir).groupBy(F.col("o_orderpriority").alias("source")).agg(
+        F.count(F.lit(1)).alias("n_stays"), F.countDistinct("o_custkey").alias("n_patients"), F.round(F.avg("los"), 3).alias("mean_los"), *_lengths()
+    )
+
+
+@query(f"""SELECT n_name AS hospital, any_value(r_name) AS region, count(*) AS n_stays, count(DISTINCT o_custkey) AS n_patients, count(*) FILTER (died) AS n_died, count(*) FILTER (los >= 1) AS n_ge_24h,
+  count(*) FILTER (los > 7) AS n_gt_7d, count(DISTINCT o_orderpriority) AS n_units FROM ({STAYS_SQL}) JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name""")
+def stays_by_hospital(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patients are counted before their hospital's name is fetched: the names meet a row for each hospital."""
+    of = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    counted = stays(spark, sf_dir).join(of, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(
+        F.count(F.lit(1)).alias("n_stays"), F.countDistinct("o_custkey").alias("n_patients"), F.count_if("died").alias("n_died"), *_lengths(), F.countDistinct("o_orderpriority").alias("n_units")
+    )
+    sites = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    named = counted.join(sites, F.col("c_nationkey") == F.col("n_nationkey"))
+    return named.select(F.col("n_name").alias("hospital"), F.col("r_name").alias("region"), "n_stays", "n_patients", "n_died", "n_ge_24h", "n_gt_7d", "n_units")
+
+
+@query("""SELECT kind, count(*) AS n, count(DISTINCT source) AS n_sources, sum(n_chars)::BIGINT AS n_chars FROM (
+  SELECT 'documents' AS kind, source, n_chars FROM documents UNION ALL SELECT 'pages', regexp_extract(url, '^[a-z]+://([^/]+)', 1), length(html) FROM pages) GROUP BY kind""")
+def note_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How large each kind of free text is, and from how many sources."""
+    docs = table(spark, sf_dir, "documents").select(F.lit("documents").alias("kind"), "source", F.col("n_chars").cast("long").alias("n_chars"))
+    pages = table(spark, sf_dir, "pages").select(F.lit("pages").alias("kind"), F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("source"), F.length("html").cast("long").alias("n_chars"))
+    return docs.unionByName(pages).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("n_sources"), F.sum("n_chars").alias("n_chars"))
+
+
 @query("""SELECT 'orders' AS name, (SELECT count(*) FROM orders) AS rows, (SELECT count(o_totalprice) FROM orders) AS told, true AS footers_only
 UNION ALL SELECT 'events', (SELECT count(*) FROM events), (SELECT count(value) FROM events), true""")
 def footer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,47 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.csv_strings(spark, path)
 
 
+@query("""SELECT c_custkey::VARCHAR AS c_custkey, c_name, 'c_custkey|c_name' AS header, true AS marked FROM customer""")
+def marked_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV with a byte-order mark, as spreadsheets write them: the mark is no part of a name."""
+    path = scratch.scratch_path(spark, "marked.csv")
+    writers.write(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias(readers.MARK + "c_custkey"), "c_name"), path)
+    found = readers.csv_strings(spark, path)
+    first = spark.read.format("binaryFile").load(path + "/*.csv").select(F.hex(F.substring("content", 1, 3)).alias("bytes"))
+    raw = first.agg(F.max(F.col("bytes") == readers.MARK.encode().hex().upper()).alias("marked"))
+    return found.withColumn("header", F.lit("|".join(found.columns))).crossJoin(F.broadcast(raw))  # one row
+
+
+@query("""SELECT src_table, count(*) AS n, count(DISTINCT field_key) AS n_fields, count(value_num) AS n_numeric, round(sum(value_num), 2) AS total, min(t_offset) AS first, max(t_offset) AS last FROM (
+  SELECT 'lineitem' AS src_table, CAST(l_partkey AS VARCHAR) AS field_key, CAST(floor(epoch(l_shipdate) / 60) AS BIGINT) AS t_offset, l_quantity AS value_num FROM lineitem) GROUP BY 1""")
+def csv_to_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV of a large table as canonical parquet: strings in, typed observations out, in one pass."""
+    path, out = scratch.scratch_path(spark, "raw.csv"), scratch.scratch_path(spark, "canonical")
+    writers.write(raw_lines(spark, sf_dir), path)
+    canonical(readers.csv_strings(spark, path), out)
+    return spark.read.parquet(out).groupBy("src_table").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("field_key").alias("n_fields"), F.count("value_num").alias("n_numeric"),
+        F.round(F.sum("value_num"), 2).alias("total"), F.min("t_offset").alias("first"), F.max("t_offset").alias("last"),
+    )
+
+
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag", F.unix_timestamp("l_shipdate").alias("seconds"))
+
+
+def canonical(raw: DataFrame, path: str) -> int:
+    """Rows written: observations out of string columns; what is no number is null."""
+    rows = raw.select(
+        F.expr("try_cast(l_orderkey AS bigint)").alias("stay_key"),
+        F.col("l_partkey").alias("field_key"),
+        F.floor(F.expr("try_cast(seconds AS bigint)") / 60).alias("t_offset"),
+        F.expr("try_cast(l_quantity AS double)").alias("value_num"),
+        F.nullif("l_returnflag", F.lit("N")).alias("value_uom"),
+        F.lit("lineitem").alias("src_table"),
+    )
+    return writers.write(rows, path)
+
+
 @query("SELECT l_returnflag, count(*) AS n, sum(l_linenumber) AS lines, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY l_returnflag")
 def typed_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.scratch_path(spark, "lines.csv")

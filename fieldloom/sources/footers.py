@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from .readers import MARK
+
 
 def parquet_counts(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """One row: ``rows``, and the values of each column that are not null, from the footers.
@@ -71,7 +73,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @F.pandas_udf(ArrayType(StringType()))
 def header_names(header: pd.Series) -> pd.Series:
     """Names of a CSV header, which may be quoted and hold commas, quotes or line breaks."""
-    return pd.Series([next(csv.reader([h.removeprefix("﻿")]), []) if "\n" not in h else next(csv.reader(h.removeprefix("﻿").splitlines(True)), []) for h in header])
+    return pd.Series([next(csv.reader(h.removeprefix(MARK).splitlines(True)), []) for h in header])
 
 
 def csv_records(spark: SparkSession, path: str) -> DataFrame:

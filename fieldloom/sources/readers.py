@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The byte-order mark of UTF-8 text.
+MARK = "\ufeff"
+
+
 def csv_strings(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
     """A CSV with a header, all columns strings; a byte-order mark is no part of a name."""
     df = spark.read.csv(path, header=True, inferSchema=False, sep=sep, encoding=encoding, quote='"', escape='"')
-    return df.toDF(*(c.removeprefix("﻿") for c in df.columns))
+    return df.toDF(*(c.removeprefix(MARK) for c in df.columns))
 
 
 def csv_typed(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -243,7 +243,7 @@ def test_statements_are_linear(spark):
 def test_profiles_of_edges(spark):
     rows = [("a", "1.5", 1), ("a", "x", 1), (None, "2", 2), ("", None, None), ("a", "3", 3)]
     df = spark.createDataFrame(rows, "k string, v string, e long")
-    jobs = [J.Job("all", ("k",), "v", "e"), J.Job("some", ("k", "e"), "v", "e", F.col("k") == "a", 2), J.Job("none", ("k",), "v", "e", F.lit(False))]
+    jobs = [J.Job("all", ("k",), "v", "e"), J.Job("some", ("k", "e"), "v", "e", "k = 'a'", 2), J.Job("none", ("k",), "v", "e", "false")]
     got = {(r["job"], tuple(r["keys"])): (r["n"], r["n_entities"], r["n_numeric"], r["n_other"], r["p50"]) for r in J.profiles(df, jobs).collect()}
     assert got == {
         ("all", ("a",)): (3, 2, 2, 1, 1.5), ("all", (None,)): (1, 1, 1, 0, 2.0), ("all", ("",)): (1, 0, 0, 1, None),
