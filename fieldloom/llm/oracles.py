@@ -120,6 +120,65 @@ FROM (SELECT r, l.doc_id, i, line, holder IS NOT NULL AND holder <> l.doc_id AS
 GROUP BY r, doc_id
 """
 
+#: CRC-32 of ASCII text: each byte, then each of its bits.
+CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i, 1))::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295)"""
+NL = "chr(10)"
+
+
+def _insert(into: str) -> str:
+    """Best continuations with an insertion first, from those of ``into``; states as in the grammar."""
+    said = {2: "user", 3: "assistant"}
+    led = (2, 2, 3, 2)
+    made = [f"{{'c': {into}[{to + 1}].c + 2, 'a': 'I' || {into}[{to + 1}].a, 'r': {NL} || '{said[to]}:' || {into}[{to + 1}].r}}" for to in led]
+    return "[" + ", ".join(f"list_min([w[{g + 1}], {m}])" for g, m in enumerate(made)) + "]"
+
+
+def _read(g: int, keeps: dict[str, int], to: int, role: str) -> str:
+    """The best of deleting, keeping and reroling a turn in a state."""
+    ragged = "(fault = 'truncated')::INT"
+    kept = " ".join(f"WHEN '{x}' THEN {{'c': s[{t + 1}].c + {ragged}, 'a': 'K' || s[{t + 1}].a, 'r': {NL} || role || ':' || text || s[{t + 1}].r}}" for x, t in keeps.items())
+    reroled = f"{{'c': s[{to + 1}].c + 2 + {ragged}, 'a': 'R' || s[{to + 1}].a, 'r': {NL} || '{role}:' || text || s[{to + 1}].r}}"
+    gone = f"{{'c': s[{g + 1}].c + 3, 'a': 'D' || s[{g + 1}].a, 'r': s[{g + 1}].r}}"
+    return f"""list_min(list_filter([{gone}, CASE WHEN fault IN ('fine', 'truncated') THEN CASE initial {kept} END END,
+  CASE WHEN fault IN ('fine', 'truncated') THEN {reroled} END], lambda x: x IS NOT NULL))"""
+
+
+_READ = ", ".join((_read(0, {"s": 1, "u": 2}, 2, "user"), _read(1, {"u": 2}, 2, "user"), _read(2, {"a": 3}, 3, "assistant"), _read(3, {"u": 2}, 2, "user")))
+
+OP12 = rf"""
+WITH RECURSIVE d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+), kinds AS (SELECT *, {CRC} % 20 AS kind FROM d),
+h AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM kinds WHERE kind <> 0
+), o AS (
+  SELECT *, substr(role, 1, 1) AS initial,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(role || {NL} || text), copy) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM h
+), f AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE 'fine' END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS adjacent
+  FROM o
+), r AS (
+  SELECT DISTINCT conv_id, n AS i, [{{'c': 0, 'a': '', 'r': ''}}, {{'c': 4, 'a': 'II', 'r': {NL} || 'user:' || {NL} || 'assistant:'}},
+         {{'c': 2, 'a': 'I', 'r': {NL} || 'assistant:'}}, {{'c': 0, 'a': '', 'r': ''}}] AS s FROM f
+  UNION ALL
+  SELECT conv_id, i, {_insert("u")} FROM (SELECT conv_id, i, w, {_insert("v")} AS u FROM (SELECT conv_id, i, w, {_insert("w")} AS v FROM (
+    SELECT r.conv_id, r.i - 1 AS i, [{_READ}] AS w FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.i = r.i)))
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (adjacent NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY conv_id
+)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(r.s[1].c, 0)::BIGINT AS cost, coalesce(r.s[1].a, '') AS audit, sha256(coalesce(substr(r.s[1].r, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM a.conv_id AND r.i = 0
+"""
+
 OP13 = """
 WITH v AS (
   SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -144,5 +203,6 @@ ORACLES: dict[str, str] = {
     "op6_decontamination": OP6,
     "op9_chat_formatting": OP9,
     "op11_line_dedup": OP11,
+    "op12_conversation_repair": OP12,
     "op13_hard_negatives": OP13,
 }
