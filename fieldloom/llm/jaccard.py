@@ -686,7 +686,8 @@ def _known(docs: DataFrame, key: str, text: str, similarity: float, recall: floa
     members = labels.join(classes.select("id", "set_key", "rep", "copies", "size"), "id")
     members = stored(in_bands(stored(members, "members"), similarity), "bands")
     tasks = with_shingles(docs, members, key, text).withColumn("t", F.explode("tasks"))
-    task = F.xxhash64("label", "t.band", "t.low", "t.high", "t.apart").alias("task")
+    # The task's whole name: a hash of it might be another's, too.
+    task = F.concat_ws(":", "label", "t.band", "t.low", "t.high", "t.apart").alias("task")
     tasks = tasks.select(task, "t.cross", "t.side", "id", "copies", "shingles", "alone")
     return rows, stored(_classed(classes, stored(verify(tasks, similarity), "verified")), "known")
 
