@@ -8,7 +8,6 @@ is kept.
 
 from __future__ import annotations
 
-import base64
 import codecs
 import hashlib
 import json
@@ -29,6 +28,8 @@ VERSION = "WARC/1.1"
 #: Elements whose content is no text of the page: it ends at their closing tag only.
 RAW_END = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style")}
 NAME = re.compile(r"/?([A-Za-z][A-Za-z0-9-]*)")
+#: A whole tag without a quote, as most are.
+PLAIN_TAG = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9-]*+)([^>"']*+)>""")
 TAG_MARK = re.compile(r"""[>"']""")
 #: A name is tried at its beginning only, and never shortened: linear in the tag.
 ATTRIBUTE = re.compile(r"""(?<![\w:.-])([A-Za-z_:][\w:.-]*+)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -44,15 +45,23 @@ LINKS = {"a": "href", "area": "href", "link": "href", "img": "src", "iframe": "s
 UNSHOWN = ("template", "noscript")
 #: What a page says of its own encoding, within its first bytes.
 META_CHARSET = re.compile(rb"""(?i)<meta\b[^>]*?charset\s*=\s*["']?\s*([\w.:-]+)""")
-BLANKS = re.compile(r"[^\S\n]+")
+#: Blanks that one blank stands for; a single blank is one.
+BLANKS = re.compile(r"[^\S\n]{2,}|[^\S\n ]")
 COLUMNS = (
     "record_id string, record_type string, refers_to string, target_uri string, warc_date string, "
     "content_type string, block_digest string, payload_digest string, content_length bigint, record binary"
 )
 
 
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Two characters for each ten bits.
+PAIRS = [a + b for a in BASE32 for b in BASE32]
+
+
 def digest(block: bytes) -> str:
-    return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
+    """SHA-1 in base 32: its 160 bits are sixteen pairs of characters."""
+    bits = int.from_bytes(hashlib.sha1(block).digest())
+    return "sha1:" + "".join([PAIRS[bits >> at & 1023] for at in range(150, -1, -10)])
 
 
 def record_id(*parts: str) -> str:
@@ -144,6 +153,14 @@ class Tags:
     def __iter__(self) -> Iterator[tuple[int, int, str, bool, str]]:
         html, at = self.html, 0
         while (first := html.find("<", at)) >= 0:
+            if plain := PLAIN_TAG.match(html, first):
+                slash, name, inside = plain.groups()
+                name, at = name.lower(), plain.end()
+                if name in RAW_END and not slash:
+                    over = RAW_END[name].search(html, at)
+                    at = over.end() if over else len(html)
+                yield first, at, name, bool(slash), inside
+                continue
             at = first + 1
             if html.startswith("<!--", first):
                 end = html.find("-->", first + 4)
@@ -185,6 +202,7 @@ class Tags:
 def page(html: str, base: str) -> tuple[str, str, list[dict[str, str]]]:
     """Title, plain text and links of a page, in one pass over its tags."""
     out, links, title, last, in_title, unshown = [], [], [], 0, False, ""
+    joined = is_absolute(base)
     for first, end, name, closing, attributes in Tags(html):
         piece = html[last:first]
         last = end
@@ -192,26 +210,30 @@ def page(html: str, base: str) -> tuple[str, str, list[dict[str, str]]]:
             out.append(piece)
             if in_title:
                 title.append(piece)
-        if name in RAW_END and not closing or not name:
+        if name in BLOCKS:
+            # None of these is hidden, a link or a title but the last.
+            if not unshown:
+                out.append("\n")
+                if name == "title":
+                    in_title = not closing
+            if name != "form" or closing:
+                continue
+        elif name in RAW_END and not closing or not name:
             out.append(" ")
         if name in UNSHOWN and not unshown and not closing:
             unshown = name
             out.append(" ")
         elif name == unshown and closing:
             unshown = ""
-        if name in BLOCKS and not unshown:
-            out.append("\n")
-        if name == "title" and not unshown:
-            in_title = not closing
         if not closing and name in LINKS:
             wanted = LINKS[name]
             for a in ATTRIBUTE.finditer(attributes):
                 if a[1].lower() == wanted:
-                    links.append({"path": f"{name.upper()}@/{wanted}", "url": resolved(base, unescape(a[2] or a[3] or a[4] or ""))})
+                    links.append({"path": f"{name.upper()}@/{wanted}", "url": resolved(base, unescape(a[2] or a[3] or a[4] or ""), joined)})
                     break
     if not unshown:
         out.append(html[last:])
-    lines = (BLANKS.sub(" ", x).strip() for x in unescape("".join(out)).split("\n"))
+    lines = (x.strip() for x in BLANKS.sub(" ", unescape("".join(out))).split("\n"))
     return BLANKS.sub(" ", unescape("".join(title))).strip(), "\n".join(x for x in lines if x), links
 
 
@@ -231,9 +253,17 @@ def decoded(payload: bytes, content_type: str) -> str:
         return payload.decode("utf-8", "replace")
 
 
-def resolved(base: str, url: str) -> str:
+def is_absolute(base: str) -> bool:
+    """Whether a page's links can be joined to its address."""
     try:
-        return urljoin(base, url.strip()) if urlsplit(base).scheme else url.strip()
+        return bool(urlsplit(base).scheme)
+    except ValueError:
+        return False
+
+
+def resolved(base: str, url: str, joined: bool) -> str:
+    try:
+        return urljoin(base, url.strip()) if joined else url.strip()
     except ValueError:
         return url.strip()
 
@@ -246,17 +276,21 @@ def http_parts(block: bytes) -> tuple[str, Headers, bytes]:
 
 def derive(raw: bytes) -> list[tuple[dict[str, str], bytes]]:
     """The metadata and conversion records of one response record."""
-    source, block = parse_record(raw)
+    return derived(*parse_record(raw))
+
+
+def derived(source: Headers, block: bytes) -> list[tuple[dict[str, str], bytes]]:
+    """The same, of a record's headers and block."""
     status, http, payload = http_parts(block)
     uri, date, origin = (source.get(k, "") for k in ("WARC-Target-URI", "WARC-Date", "WARC-Record-ID"))
     title, text, links = page(decoded(payload, http.get("Content-Type", "")), uri)
-    conversion = text.encode("utf-8", "replace")
+    conversion, own = text.encode("utf-8", "replace"), digest(block)
     told = {
         "Envelope": {
             "WARC-Header-Metadata": source,
             "Actual-Content-Length": len(block),
-            "Block-Digest": digest(block),
-            "Block-Digest-Matches": source.get("WARC-Block-Digest") == digest(block),
+            "Block-Digest": own,
+            "Block-Digest-Matches": source.get("WARC-Block-Digest") == own,
             "Payload-Metadata": {
                 "HTTP-Response-Metadata": {
                     "Response-Message": status,
@@ -333,8 +367,8 @@ ROWS = 200
 def _derived(batch: pa.RecordBatch, rest: list[str], response: str) -> pa.RecordBatch:
     made, of = [], []
     for i, raw in enumerate(batch.column(response).to_pylist()):
-        source, _ = parse_record(raw or b"")
-        for headers, body in derive(raw or b""):
+        source, block = parse_record(raw or b"")
+        for headers, body in derived(source, block):
             of.append(i)
             made.append(
                 (
