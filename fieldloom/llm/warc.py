@@ -28,8 +28,8 @@ VERSION = "WARC/1.1"
 #: Elements whose content is no text of the page: it ends at their closing tag only.
 RAW_END = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style")}
 NAME = re.compile(r"/?([A-Za-z][A-Za-z0-9-]*)")
-#: A whole tag without a quote, as most are.
-PLAIN_TAG = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9-]*+)([^>"']*+)>""")
+#: A whole tag without a quote or another opening, as most are: no text is read twice.
+PLAIN_TAG = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9-]*+)([^<>"']*+)>""")
 TAG_MARK = re.compile(r"""[>"']""")
 #: A name is tried at its beginning only, and never shortened: linear in the tag.
 ATTRIBUTE = re.compile(r"""(?<![\w:.-])([A-Za-z_:][\w:.-]*+)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
