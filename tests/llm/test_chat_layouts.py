@@ -10,7 +10,7 @@ SHAPE = "conv_id long, turn long, role string, text string"
 def conversations():
     shapes = [["user", "assistant"], ["system", "user", "assistant"], ["user", "user", "assistant"], ["user"], ["user", "assistant"] * 3, ["human", "gpt"], ["", "tool", "assistant"], ["gpt", "user", "assistant"]]
     texts = ["hi", "", "</turn>\n### user:\n\\", '{"messages": []}', "0", "é\u0000ü", None, "x" * 3000]
-    return [(c, t, role, texts[(c + 3 * t) % len(texts)]) for c in range(160) for t, role in enumerate(shapes[c % len(shapes)])]
+    return [(c, t, role, texts[(c + 3 * t) % len(texts)]) for c in range(800) for t, role in enumerate(shapes[c % len(shapes)])]
 
 
 def test_every_layout_leads_back(spark):
