@@ -99,8 +99,10 @@ def host_lines(docs: DataFrame, text: str, host: str, key: str) -> DataFrame:
         F.coalesce(F.col(host), F.lit("")).alias("host"),
         _content_hash(F.coalesce(F.col(text), F.lit(""))).alias("content"),
         F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("first_id"),
-        F.posexplode(found).alias("place", "found"),
-    ).select("host", "content", "first_id", "place", "found.*")
+        found.alias("found"),
+    )
+    # Lines leave the text behind before they become rows: its hash is taken once.
+    rows = rows.select("host", "content", "first_id", F.posexplode("found").alias("place", "found")).select("host", "content", "first_id", "place", "found.*")
     # The content hash in the key spreads a hot line or host over all partitions.
     return (
         rows.repartition("host", "line", "content")
@@ -170,15 +172,16 @@ def quality_rules(
         }
     )
     joined = keyed.join(removed, ["_host", "_content"], "left")
-    every = F.split(F.col(text), "\n")
+    # Lines are a column of their own: a lambda would split the text anew for each of them.
+    joined = joined.withColumn("_every", F.when(F.col("_removed") > 0, F.split(F.col(text), "\n")))
     # The places that stay, by set difference: linear in the lines, however many go.
-    stay = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), "_gone")
-    rest = F.transform(stay, lambda i: F.get(every, i))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_every") - 1), "_gone")
+    rest = F.transform(stay, lambda i: F.get("_every", i))
     left = F.col("n_words") - F.coalesce(F.col("_removed"), F.lit(0))
     return joined.withColumns(
         {
             "removed_words": F.coalesce(F.col("_removed"), F.lit(0)).cast("long"),
             "kept": (F.col("_partition") >= 0) & ~F.col("base_failed") & (left >= keep_share * F.col("n_words")),
-            "clean_text": F.when(F.col("_removed") > 0, F.array_join(rest, "\n")).otherwise(F.col(text)),
+            "clean_text": F.when(F.col("_every").isNotNull(), F.array_join(rest, "\n")).otherwise(F.col(text)),
         }
-    ).drop("_host", "_content", "_removed", "_gone", "_partition")
+    ).drop("_host", "_content", "_removed", "_gone", "_every", "_partition")
