@@ -233,7 +233,8 @@ class LineIndex:
         """(h1, h2, doc, alt): a row for each document and distinct key of at least ``least`` code points."""
         keys = F.transform(F.split(F.coalesce(F.col(self.text), F.lit("")), "\n"), key_of)
         long = F.array_distinct(F.filter(keys, lambda k: F.length(k) >= self.least))
-        rows = docs.select(*self._names(), F.explode(long).alias("_line")).select(*DOC, *_hashes(F.col("_line")))
+        named = docs.select(*self._names(), long.alias("_lines"))
+        rows = named.select(*DOC, F.explode("_lines").alias("_line")).select(*DOC, *_hashes(F.col("_line")))
         return rows.distinct()
 
     def _names(self) -> list[Column]:
@@ -334,21 +335,23 @@ class LineIndex:
         Columns of these names are replaced, all others stay.
         """
         drop = self.dropped(min_docs).withColumnsRenamed({"doc": "_doc", "alt": "_alt"})
-        rest = docs.drop(*({"n_lines", "n_dropped", "kept_text", "_doc", "_alt", "drop1", "drop2", "_places"} - {self.key, self.text}))
+        rest = docs.drop(*({"n_lines", "n_dropped", "kept_text", "_doc", "_alt", "drop1", "drop2", "_places", "_split"} - {self.key, self.text}))
         doc, alt = self._names()
         joined = rest.join(drop, doc.eqNullSafe(drop["_doc"]) & alt.eqNullSafe(drop["_alt"]), "left")
         lines = F.split(F.coalesce(F.col(self.text), F.lit("")), "\n")
         marked = F.col("drop1").isNotNull()
         # Only hashes of texts with dropped keys meet Python; texts stay where they are.
         first, second = (F.when(marked, F.transform(lines, by)) for by in (lambda x: _hashes(key_of(x))[0], lambda x: _hashes(key_of(x))[1]))
-        told = joined.withColumns({"_places": _kept(first, second, "drop1", "drop2"), "n_lines": F.size(lines).cast("long")})
-        kept = F.array_join(F.transform("_places", lambda i: F.get(lines, i)), "\n")
+        # Lines are a column of their own: a lambda would split the text anew for each of them.
+        split = joined.withColumns({"_split": F.when(marked, lines), "n_lines": F.size(lines).cast("long")})
+        told = split.withColumn("_places", _kept(first, second, "drop1", "drop2"))
+        kept = F.array_join(F.transform("_places", lambda i: F.get("_split", i)), "\n")
         return told.withColumns(
             {
-                "n_dropped": F.coalesce(F.col("n_lines") - F.size("_places"), F.lit(0)).cast("long"),
-                "kept_text": F.when(marked, kept).otherwise(F.col(self.text)),
+                "n_dropped": F.coalesce(F.size("_split") - F.size("_places"), F.lit(0)).cast("long"),
+                "kept_text": F.when(F.col("_split").isNotNull(), kept).otherwise(F.col(self.text)),
             }
-        ).drop("_doc", "_alt", "drop1", "drop2", "_places")
+        ).drop("_doc", "_alt", "drop1", "drop2", "_places", "_split")
 
 
 def _equal(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
