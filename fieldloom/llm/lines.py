@@ -233,8 +233,8 @@ class LineIndex:
         """(h1, h2, doc, alt): a row for each document and distinct key of at least ``least`` code points."""
         keys = F.transform(F.split(F.coalesce(F.col(self.text), F.lit("")), "\n"), key_of)
         long = F.array_distinct(F.filter(keys, lambda k: F.length(k) >= self.least))
-        named = docs.select(*self._names(), long.alias("_lines"))
-        rows = named.select(*DOC, F.explode("_lines").alias("_line")).select(*DOC, *_hashes(F.col("_line")))
+        named = docs.select(*self._names(), self.text)
+        rows = named.select(*DOC, F.explode(long).alias("_line")).select(*DOC, *_hashes(F.col("_line")))
         return rows.distinct()
 
     def _names(self) -> list[Column]:
