@@ -89,7 +89,7 @@ def normalised(text: Column) -> Column:
 
 def host_lines(docs: DataFrame, text: str, host: str, key: str) -> DataFrame:
     """One row for each host, distinct document content and distinct normalised line; ``at`` are its places."""
-    plain = normalised(F.coalesce(F.col(text), F.lit("")))
+    plain = normalised(F.coalesce(F.col("_text"), F.lit("")))
     placed = F.transform(F.split(plain, "\n"), lambda x, i: F.struct(F.btrim(x).alias("x"), i.alias("at")))
     lines = F.filter(placed, lambda s: s["x"] != "")
     found = F.transform(
@@ -99,10 +99,10 @@ def host_lines(docs: DataFrame, text: str, host: str, key: str) -> DataFrame:
         F.coalesce(F.col(host), F.lit("")).alias("host"),
         _content_hash(F.coalesce(F.col(text), F.lit(""))).alias("content"),
         F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("first_id"),
-        found.alias("found"),
+        F.col(text).alias("_text"),
     )
-    # Lines leave the text behind before they become rows: its hash is taken once.
-    rows = rows.select("host", "content", "first_id", F.posexplode("found").alias("place", "found")).select("host", "content", "first_id", "place", "found.*")
+    # The text is hashed before its lines become rows: once, and not for each of them.
+    rows = rows.select("host", "content", "first_id", F.posexplode(found).alias("place", "found")).select("host", "content", "first_id", "place", "found.*")
     # The content hash in the key spreads a hot line or host over all partitions.
     return (
         rows.repartition("host", "line", "content")
