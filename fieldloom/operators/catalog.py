@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.portable import rounded
 from ..sources import scratch
 from .ordered import join_same, weighted_quantiles
 from .relational import share
@@ -58,7 +59,7 @@ def catalog_of(cells: DataFrame, stays: DataFrame | None = None) -> DataFrame:
     )
     found = weighted_quantiles(cells.filter(told["value"]), FIELD, "value_num", "n", QUANTILES)
     joined = join_same(counted, found, FIELD, "left")
-    return _rates(joined.withColumns({q: F.round(q, 4) for q in QUANTILES}), stays)
+    return _rates(joined.withColumns({q: rounded(q, 4) for q in QUANTILES}), stays)
 
 
 def _rates(counted: DataFrame, stays: DataFrame) -> DataFrame:
@@ -68,10 +69,10 @@ def _rates(counted: DataFrame, stays: DataFrame) -> DataFrame:
         .withColumns(
             {
                 "unit_recovery_rate": share(F.col("n_with_uom"), F.col("n_rows")),
-                "numeric_rate": F.round(numeric, 4),
+                "numeric_rate": rounded(numeric, 4),
                 "coverage": share(F.col("n_keys"), F.col("_stays")),
-                "missing_rate": F.round(1 - F.col("n_keys") / F.col("_stays"), 4),
-                "obs_per_key": F.round(F.col("n_rows") / F.col("n_keys"), 2),
+                "missing_rate": rounded(1 - F.col("n_keys") / F.col("_stays"), 4),
+                "obs_per_key": rounded(F.col("n_rows") / F.col("n_keys"), 2),
                 "dtype_inferred": dtype_of(numeric),
             }
         )
@@ -103,6 +104,6 @@ def unit_recovery(catalogs: DataFrame, group: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n_fields"),
         F.sum("n_rows").alias("n_rows"),
         F.count_if(F.col("unit_observed").isNull()).alias("fields_without_unit"),
-        F.round(F.sum("n_with_uom") / F.sum("n_rows"), 4).alias("row_recovery"),
-        F.round(F.avg("unit_recovery_rate"), 4).alias("mean_field_recovery"),
+        rounded(F.sum("n_with_uom") / F.sum("n_rows"), 4).alias("row_recovery"),
+        rounded(F.avg("unit_recovery_rate"), 4).alias("mean_field_recovery"),
     )

@@ -12,6 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.portable import rounded
 from ..sources import scratch
 from .ordered import join_same, weighted_quantiles
 from .relational import top_per_key
@@ -79,4 +80,4 @@ def filled_cells(rows: DataFrame, columns: list[str], entity: str) -> DataFrame:
 def share_of_job(profiled: DataFrame) -> DataFrame:
     """Adds each key's share of its job's rows; jobs are few, keys are many."""
     whole = profiled.groupBy("job").agg(F.sum("n").alias("_all"))
-    return profiled.join(F.broadcast(whole), "job").withColumn("share", F.round(F.col("n") / F.col("_all"), 6)).drop("_all")
+    return profiled.join(F.broadcast(whole), "job").withColumn("share", rounded(F.col("n") / F.col("_all"), 6)).drop("_all")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.portable import rounded
 from . import ordered as O
 
 
@@ -15,7 +16,7 @@ def _sums(**parts: Column) -> list[Column]:
 def recall_at(df: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """One row of percentages over rows (gold, rank of gold or null); null without gold."""
     of = F.nullif(F.count("gold"), F.lit(0))
-    hits = [F.round(100 * F.count_if(F.col("gold").isNotNull() & (F.col("gold_rank") <= k)) / of, 4).alias(f"recall_{k}") for k in ks]
+    hits = [rounded(100 * F.count_if(F.col("gold").isNotNull() & (F.col("gold_rank") <= k)) / of, 4).alias(f"recall_{k}") for k in ks]
     return df.agg(F.count("gold").alias("n_gold"), *hits)
 
 
@@ -40,7 +41,7 @@ def open_set(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     )
 
     def ratio(a: Column, b: Column) -> Column:
-        return F.round(100 * a / F.nullif(b.cast("double"), F.lit(0.0)), 4)
+        return rounded(100 * a / F.nullif(b.cast("double"), F.lit(0.0)), 4)
 
     return counted.withColumns(
         {
@@ -65,14 +66,14 @@ def auroc(df: DataFrame, score: str, label: str, keys: tuple[str, ...] = (), wei
     p, n = F.sum("_p"), F.sum("_n") - F.sum("_p")
     u = F.sum(F.col("_p") * F.col("_rank")) - p * (p + 1) / 2
     out = u / F.nullif((p * n).cast("double"), F.lit(0.0))
-    return ranked.groupBy(*keys).agg(p.cast("long").alias("n_pos"), n.cast("long").alias("n_neg"), F.round(out, 6).alias("auroc"))
+    return ranked.groupBy(*keys).agg(p.cast("long").alias("n_pos"), n.cast("long").alias("n_neg"), rounded(out, 6).alias("auroc"))
 
 
 def average_precision(df: DataFrame, score: str, label: str, tie: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Precision at the ranks of positives, averaged; ties by the numeric column ``tie``."""
     ranked = O.running(df, score, {"_r": F.lit(1), "_tp": F.col(label)}, tie, descending=True, keys=keys)
     hit = F.col(label) == 1
-    return ranked.groupBy(*keys).agg(F.count_if(hit).alias("n_pos"), F.round(F.avg(F.when(hit, F.col("_tp") / F.col("_r"))), 6).alias("average_precision"))
+    return ranked.groupBy(*keys).agg(F.count_if(hit).alias("n_pos"), rounded(F.avg(F.when(hit, F.col("_tp") / F.col("_r"))), 6).alias("average_precision"))
 
 
 def recall_of_scores(df: DataFrame, scores: str, target: str, ks: tuple[int, ...] = (1, 5, 10), ignore: int = -1) -> DataFrame:
@@ -85,7 +86,7 @@ def recall_of_scores(df: DataFrame, scores: str, target: str, ks: tuple[int, ...
     own = F.get(scores, F.col(target).cast("int"))
     before = F.size(F.filter(F.col(scores), lambda x, i: (x > own) | ((x == own) & (i < F.col(target)))))
     rank = kept.select(before.alias("_before"), F.size(scores).alias("_classes"))
-    hits = [F.round(100 * F.avg((F.col("_before") < F.least(F.lit(k), F.col("_classes"))).cast("int")), 4).alias(f"recall_{k}") for k in ks]
+    hits = [rounded(100 * F.avg((F.col("_before") < F.least(F.lit(k), F.col("_classes"))).cast("int")), 4).alias(f"recall_{k}") for k in ks]
     return rank.agg(F.count(F.lit(1)).alias("n"), *hits)
 
 
@@ -114,7 +115,7 @@ def calibrate(df: DataFrame, grid: DataFrame) -> DataFrame:
     )
     total = df.agg(F.count("gold").alias("_gold"))
     out = joined.crossJoin(F.broadcast(total)).withColumn("fn", F.col("_gold") - F.col("tp")).drop("_gold")
-    return out.withColumn("f1", F.round(100 * 2 * F.col("tp") / F.nullif((2 * F.col("tp") + F.col("fp") + F.col("fn")).cast("double"), F.lit(0.0)), 4))
+    return out.withColumn("f1", rounded(100 * 2 * F.col("tp") / F.nullif((2 * F.col("tp") + F.col("fp") + F.col("fn")).cast("double"), F.lit(0.0)), 4))
 
 
 def best_threshold(calibrated: DataFrame, theta: str = "theta", value: str = "f1") -> DataFrame:
@@ -132,8 +133,8 @@ def curve(df: DataFrame, score: str, right: str, tie: str) -> DataFrame:
     total = df.agg(F.count(F.lit(1)).alias("_n"))
     return ranked.crossJoin(F.broadcast(total)).select(  # one row
         F.col("_r").alias("rank"),
-        F.round(100 * F.col("_r") / F.col("_n"), 6).alias("coverage"),
-        F.round(100 * F.col("_right") / F.col("_r"), 6).alias("precision"),
+        rounded(100 * F.col("_r") / F.col("_n"), 6).alias("coverage"),
+        rounded(100 * F.col("_right") / F.col("_r"), 6).alias("precision"),
     )
 
 
@@ -142,7 +143,7 @@ def curve_area(points: DataFrame) -> DataFrame:
     steps = O.sum_over_steps(points, "coverage", "rank", "coverage", "precision")
     x = F.col("coverage")
     span = points.agg(F.nullif(F.max(x) - F.min(x), F.lit(0.0)).alias("span"))
-    return steps.crossJoin(F.broadcast(span)).select(F.round(F.col("total") / F.col("span"), 4).alias("area"))  # one row
+    return steps.crossJoin(F.broadcast(span)).select(rounded(F.col("total") / F.col("span"), 4).alias("area"))  # one row
 
 
 def at_coverage(points: DataFrame, target: float) -> DataFrame:
@@ -159,10 +160,10 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     po = table.agg(F.sum("n").alias("n"), F.sum(F.when(F.col(a) == F.col(b), F.col("n")).otherwise(0)).alias("agreed"))
     out = po.crossJoin(pe)
     e = F.coalesce("_e", F.lit(0)) / (F.col("n") * F.col("n"))
-    return out.select("n", "agreed", F.round((F.col("agreed") / F.col("n") - e) / F.nullif(1 - e, F.lit(0.0)), 6).alias("kappa"))
+    return out.select("n", "agreed", rounded((F.col("agreed") / F.col("n") - e) / F.nullif(1 - e, F.lit(0.0)), 6).alias("kappa"))
 
 
 def wilson(p: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     middle = (p + z * z / (2 * n)) / (1 + z * z / n)
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
-    return F.round(100 * (middle - half), 4), F.round(100 * (middle + half), 4)
+    return rounded(100 * (middle - half), 4), rounded(100 * (middle + half), 4)

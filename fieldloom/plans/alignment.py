@@ -16,6 +16,7 @@ from ..functions import rules as G
 from ..functions import statements as T
 from ..functions import units as U
 from ..functions import vocabulary as V
+from ..functions.portable import rounded
 from ..operators import matching as M
 from ..operators import metrics as K
 from ..operators import relational as R
@@ -94,7 +95,7 @@ FROM (SELECT *, CASE WHEN total IS NULL THEN 0.6 * score ELSE score * (1 - 0.1 *
 def rule_abstention(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = judged(spark, sf_dir).filter("rank = 1")
     s = M.abstention_score(F.col("score"), F.col("violation.total"), F.lit(True), F.col("has_representative"), 0.1)
-    return first.select("field_key", "concept", F.round(s, 6).alias("s"), M.decide(s, F.col("concept").cast("string"), 0.2).alias("decision"))
+    return first.select("field_key", "concept", rounded(s, 6).alias("s"), M.decide(s, F.col("concept").cast("string"), 0.2).alias("decision"))
 
 
 DIMS = ("unit", "type", "specimen", "prov")
@@ -109,7 +110,7 @@ def dims_weights_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = judged(spark, sf_dir).filter("rank = 1")
     ways = [F.struct(F.lit("+".join(s)).alias("dims"), F.lit(w).alias("w"), sum((F.col("gate.v_" + d) for d in s[1:]), F.col("gate.v_" + s[0])).alias("v")) for s, w in GRID]
     rows = first.select("score", "label", F.explode(F.array(*ways)).alias("o"))
-    x = F.round(F.col("score") * (1 - F.col("o.w") * F.col("o.v")), 6)
+    x = rounded(F.col("score") * (1 - F.col("o.w") * F.col("o.v")), 6)
     return K.auroc(rows.select("o.dims", "o.w", (F.col("label") < 8).cast("long").alias("y"), x.alias("x")), "x", "y", ("dims", "w"))
 
 
@@ -226,7 +227,7 @@ def unit_table_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations and conversions by a table that users bring along."""
     conversions = spark.createDataFrame(CONVERSIONS, U.TABLE_SCHEMA)
     out = U.with_table(P.fields(spark, sf_dir).select("p_partkey", "p_retailprice", "a_unit_observed", "b_unit_observed"), conversions, "a_unit_observed", "b_unit_observed", "p_retailprice")
-    return out.select("p_partkey", "relation", F.round("converted", 4).alias("converted"))
+    return out.select("p_partkey", "relation", rounded("converted", 4).alias("converted"))
 
 
 @query(f"WITH f AS ({P.FILES_SQL}) {P.TWO_LEVELS_SQL}")
@@ -247,7 +248,7 @@ def drug_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         R.canonical_drugs(ordered, "prescription", "o_custkey", "o_orderpriority", F.floor(F.unix_timestamp("o_orderdate") / 60), "dose", None)
     )
     return rows.groupBy("src_table", "value_uom").agg(
-        F.count(F.lit(1)).alias("n"), F.count("value_num").alias("n_values"), F.round(F.sum("value_num"), 2).alias("total"), F.min("t_offset").alias("first"), F.max("t_offset").alias("last")
+        F.count(F.lit(1)).alias("n"), F.count("value_num").alias("n_values"), rounded(F.sum("value_num"), 2).alias("total"), F.min("t_offset").alias("first"), F.max("t_offset").alias("last")
     )
 
 
@@ -279,5 +280,5 @@ JOIN (VALUES {', '.join(f"('{k}', '{v}')" for k, v in CHANNELS.items())}) c(even
 def mapped_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapping = spark.createDataFrame(list(CHANNELS.items()), "event_type string, channel string")
     out = R.channel_means(table(spark, sf_dir, "events"), F.broadcast(mapping), ["user_id"], "event_type", "value")  # a catalogue
-    return out.select("user_id", "channel", F.round("value", 6).alias("value"))
+    return out.select("user_id", "channel", rounded("value", 6).alias("value"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.portable import crc_split_of
+from ..functions.portable import crc_split_of, rounded
 from ..operators import metrics as K
 from ..operators import ordered as O
 from ..operators import relational as R
@@ -79,7 +79,7 @@ def concept_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     known = part.filter("p_size > 2")
     unit = R.mode_per_key(known, ["p_type"], "p_brand", "unit")
-    stats = known.groupBy("p_type").agg(F.round(F.median("p_retailprice"), 4).alias("median"))
+    stats = known.groupBy("p_type").agg(rounded(F.median("p_retailprice"), 4).alias("median"))
     concepts = part.select("p_type").union(spark.createDataFrame([("NEVER SEEN",)], "p_type string")).distinct()
     joined = concepts.join(unit, "p_type", "left").join(stats, "p_type", "left")
     full = F.concat(F.lit("name: "), F.col("p_type"), F.lit("; unit: "), F.col("unit"), F.lit("; median: "), F.col("median").cast("string"))
@@ -93,7 +93,7 @@ SELECT theta, round(200 * tp / nullif(2 * tp + fp + fn, 0), 4) AS f1 FROM f ORDE
 def locked_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The validation split's best threshold among its own rounded scores."""
     val = top(spark, sf_dir).filter("t = 7").withColumn("predicted", F.col("concept"))
-    grid = val.select(F.round("score", 2).alias("theta")).distinct()
+    grid = val.select(rounded("score", 2).alias("theta")).distinct()
     return K.best_threshold(K.calibrate(val, grid))
 
 
@@ -110,7 +110,7 @@ def transfer_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks by position: ties stand in the order of their ids."""
     ranked = O.running(labelled(spark, sf_dir), "x", {"r": F.lit(1)}, "doc_id")
     p, n = F.sum("y"), F.count(F.lit(1)) - F.sum("y")
-    return ranked.agg(F.round((F.sum(F.when(F.col("y") == 1, F.col("r"))) - p * (p + 1) / 2) / (p * n), 6).alias("auroc"))
+    return ranked.agg(rounded((F.sum(F.when(F.col("y") == 1, F.col("r"))) - p * (p + 1) / 2) / (p * n), 6).alias("auroc"))
 
 
 MODELS = {"plain": 1, "half": 2, "third": 3}
@@ -149,5 +149,5 @@ def annotator_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("gold").eqNullSafe(F.col("told"))).alias("agreed"),
-        F.round(100 * F.count_if(F.col("gold") == F.col("told")) / F.count("gold"), 4).alias("ceiling"),
+        rounded(100 * F.count_if(F.col("gold") == F.col("told")) / F.count("gold"), 4).alias("ceiling"),
     )

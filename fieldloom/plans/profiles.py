@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.portable import blank_to_null, hash_tenth, split_of, try_number, years_apart
+from ..functions.portable import blank_to_null, hash_tenth, rounded, split_of, try_number, years_apart
 from ..operators import catalog as C
 from ..operators import ordered as O
 from ..operators import relational as R
@@ -94,7 +94,7 @@ def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(
         F.col("o_orderkey").alias("stay_key"),
         F.col("o_custkey").alias("pid"),
-        F.round(F.col("o_totalprice") / 100000, 4).alias("los"),
+        rounded(F.col("o_totalprice") / 100000, 4).alias("los"),
         (F.col("o_totalprice") > 200000).cast("long").alias("label_mortality"),
         split_of(F.col("o_custkey").cast("string")).alias("split"),
     )
@@ -131,7 +131,7 @@ WHERE value_num IS NOT NULL GROUP BY field_key""")
 def canonical_wide_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = R.unpivot(table(spark, sf_dir, "lineitem"), ["l_orderkey"], WIDE, "field_key", "value_num")
     return long.groupBy("field_key").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("value_num"), 4).alias("total"), F.countDistinct("l_orderkey").alias("n_keys")
+        F.count(F.lit(1)).alias("n"), rounded(F.sum("value_num"), 4).alias("total"), F.countDistinct("l_orderkey").alias("n_keys")
     )
 
 
@@ -206,7 +206,7 @@ def dtype_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.count(try_number(raw)).alias("n_numeric")
     )
     rate = F.col("n_numeric") / F.col("n")
-    return counted.withColumns({"numeric_rate": F.round(rate, 4), "dtype": C.dtype_of(rate)})
+    return counted.withColumns({"numeric_rate": rounded(rate, 4), "dtype": C.dtype_of(rate)})
 
 
 PASS1_SQL = """
@@ -219,7 +219,7 @@ def bigtable_pass1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").cast("string").alias("field_key")).agg(
         F.count(F.lit(1)).alias("n"),
         F.count("l_quantity").alias("n_numeric"),
-        *(F.round(f("l_quantity"), 4).alias(f"v_{n}") for n, f in (("min", F.min), ("avg", F.avg), ("max", F.max))),
+        *(rounded(f("l_quantity"), 4).alias(f"v_{n}") for n, f in (("min", F.min), ("avg", F.avg), ("max", F.max))),
     )
 
 
@@ -248,10 +248,10 @@ def cohort_label_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort(spark, sf_dir).groupBy("split").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("label_mortality").alias("n_pos"),
-        F.round(F.avg("label_mortality"), 4).alias("rate"),
-        F.round(F.min("los"), 4).alias("los_min"),
-        F.round(F.median("los"), 4).alias("los_median"),
-        F.round(F.max("los"), 4).alias("los_max"),
+        rounded(F.avg("label_mortality"), 4).alias("rate"),
+        rounded(F.min("los"), 4).alias("los_min"),
+        rounded(F.median("los"), 4).alias("los_median"),
+        rounded(F.max("los"), 4).alias("los_max"),
     )
 
 
@@ -263,7 +263,7 @@ def entity_rollup_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return table(spark, sf_dir, "supplier").join(sites, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("r_name", "n_name").agg(
         F.count(F.lit(1)).alias("n_suppliers"),
-        F.round(F.sum("s_acctbal"), 2).alias("balance"),
+        rounded(F.sum("s_acctbal"), 2).alias("balance"),
         F.count_if(F.col("s_acctbal") < 0).alias("n_negative"),
         F.min("s_name").alias("any_name"),
     )
@@ -430,7 +430,7 @@ FROM (SELECT 'lineitem' AS t, (SELECT count(*) FROM lineitem) AS e, CAST(l_quant
 def row_parity_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     def found(name: str, value: str) -> DataFrame:
         counted = footers.parquet_counts(spark, f"{sf_dir}/{name}.parquet", [value])
-        return counted.select("rows", F.round(100 * F.col(value) / F.nullif("rows", F.lit(0)), 4).alias("non_null"), F.lit(name).alias("t"))
+        return counted.select("rows", rounded(100 * F.col(value) / F.nullif("rows", F.lit(0)), 4).alias("non_null"), F.lit(name).alias("t"))
 
     counts = found("lineitem", "l_quantity").unionByName(found("events", "value"))
     whole = table(spark, sf_dir, "lineitem").agg(F.count(F.lit(1)).alias("expected_rows")).withColumn("t", F.lit("lineitem"))
@@ -463,7 +463,7 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = numbers.groupBy("stay_key").agg(F.min("t_offset").alias("t0"))
     hr = F.floor((F.col("t_offset") - F.col("t0")) / 60)
     binned = numbers.join(zero, "stay_key").withColumn("hr", hr).filter(F.col("hr").between(0, 23))
-    return binned.groupBy("stay_key", "field_key", "hr").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value_num"), 6).alias("v"))
+    return binned.groupBy("stay_key", "field_key", "hr").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("value_num"), 6).alias("v"))
 
 
 @query(HOURLY_SQL)
@@ -477,7 +477,7 @@ CHANNELS = ["click", "error", "purchase", "view"]
 @query(f"""SELECT stay_key, hr, {", ".join(f"round(avg(v) FILTER (field_key = '{c}'), 6) AS ch_{c}" for c in CHANNELS)}
 FROM ({HOURLY_SQL}) GROUP BY stay_key, hr""")
 def channel_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = hourly(spark, sf_dir).groupBy("stay_key", "hr").pivot("field_key", CHANNELS).agg(F.round(F.avg("v"), 6))
+    wide = hourly(spark, sf_dir).groupBy("stay_key", "hr").pivot("field_key", CHANNELS).agg(rounded(F.avg("v"), 6))
     return wide.withColumnsRenamed({c: f"ch_{c}" for c in CHANNELS})
 
 
@@ -491,13 +491,13 @@ def masked_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = hours.filter(split_of(F.col("stay_key").cast("string")) == "train")
     stats = train.groupBy("field_key").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"))
     sd = F.when(F.coalesce("sd", F.lit(0.0)) == 0, 1.0).otherwise(F.col("sd"))
-    return hours.join(stats, "field_key", "left").select("stay_key", "hr", "field_key", F.round((F.col("v") - F.coalesce("m", F.lit(0.0))) / sd, 4).alias("z"))
+    return hours.join(stats, "field_key", "left").select("stay_key", "hr", "field_key", rounded((F.col("v") - F.coalesce("m", F.lit(0.0))) / sd, 4).alias("z"))
 
 
 @query(f"SELECT field_key, count(*) AS n_hours, round(avg(n), 4) AS per_hour, max(hr) AS last_hour FROM ({HOURLY_SQL}) GROUP BY field_key")
 def channel_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hourly(spark, sf_dir).groupBy("field_key").agg(
-        F.count(F.lit(1)).alias("n_hours"), F.round(F.avg("n"), 4).alias("per_hour"), F.max("hr").alias("last_hour")
+        F.count(F.lit(1)).alias("n_hours"), rounded(F.avg("n"), 4).alias("per_hour"), F.max("hr").alias("last_hour")
     )
 
 

@@ -16,6 +16,7 @@ from ..functions import rules as G
 from ..functions import statements as T
 from ..functions import units as U
 from ..functions import vocabulary as V
+from ..functions.portable import rounded
 from .base import Registry, table
 
 registry = Registry()
@@ -118,7 +119,7 @@ CONVERSIONS_SQL = "(VALUES " + ", ".join(f"({text(a)}, {text(b)}, {f!r}::DOUBLE,
 FROM ({UNIT_PAIRS_SQL}) LEFT JOIN {CONVERSIONS_SQL} ON ua = f AND ub = t""")
 def unit_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = U.convert(F.col("p_retailprice"), F.col("a_unit_observed"), F.col("b_unit_observed"))
-    return fields(spark, sf_dir).select("p_partkey", F.round(value, 4).alias("converted"))
+    return fields(spark, sf_dir).select("p_partkey", rounded(value, 4).alias("converted"))
 
 
 TOLD_SQL = first_sql("{s}_raw_name", V.NAME_UNITS)
@@ -185,7 +186,7 @@ def gate_concept_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
   ELSE round(p_retailprice / 1000 - v_unit - v_type - 0.5 * v_prov, 6) END AS score FROM ({verdicts_sql(True)})""")
 def soft_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = G.gated_score(F.col("p_retailprice") / 1000, F.col("g"), (1.0, 1.0, 0.5))
-    finite = F.when(score > float("-inf"), F.round(score, 6))
+    finite = F.when(score > float("-inf"), rounded(score, 6))
     return gates(spark, sf_dir, True).select("p_partkey", finite.alias("score"))
 
 
@@ -388,7 +389,7 @@ def evidence_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
   ELSE exp(-abs(log10(x) - log10(y))) END, 6) AS similarity FROM (SELECT p_partkey, p_retailprice AS x, (p_size - 10) * 10.0::DOUBLE AS y FROM part)""")
 def stat_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = ((F.col("p_size") - 10) * 10.0).cast("double")
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(E.stat_similarity(F.col("p_retailprice"), y), 6).alias("similarity"))
+    return table(spark, sf_dir, "part").select("p_partkey", rounded(E.stat_similarity(F.col("p_retailprice"), y), 6).alias("similarity"))
 
 
 SB_SQL = "CASE WHEN ub IS NOT NULL THEN 'measured' WHEN nb IS NOT NULL THEN 'from_name' ELSE 'missing' END"

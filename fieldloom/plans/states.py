@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..functions.portable import rounded
 from ..operators import catalog as C
 from ..operators import increments as I
 from ..operators import jobs as J
@@ -118,8 +119,8 @@ def los_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths of stays, whose median comes out of counted values."""
     rows = stays(spark, sf_dir)
     cells = rows.groupBy("los").agg(F.count(F.lit(1)).alias("n"))
-    median = O.weighted_quantiles(cells.withColumn("one", F.lit(1)), ["one"], "los", "n", {"m": (1, 2)}).select(F.round("m", 3).alias("median_los"))
-    return rows.agg(F.count(F.lit(1)).alias("n_stays"), *_lengths(), F.round(F.avg("los"), 3).alias("mean_los")).crossJoin(F.broadcast(median))  # one row
+    median = O.weighted_quantiles(cells.withColumn("one", F.lit(1)), ["one"], "los", "n", {"m": (1, 2)}).select(rounded("m", 3).alias("median_los"))
+    return rows.agg(F.count(F.lit(1)).alias("n_stays"), *_lengths(), rounded(F.avg("los"), 3).alias("mean_los")).crossJoin(F.broadcast(median))  # one row
 
 
 @query(f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM ({STAYS_SQL}))
@@ -138,7 +139,7 @@ def first_stay_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
   count(*) FILTER (los > 7) AS n_gt_7d FROM ({STAYS_SQL}) GROUP BY 1""")
 def stays_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stays(spark, sf_dir).groupBy(F.col("o_orderpriority").alias("source")).agg(
-        F.count(F.lit(1)).alias("n_stays"), F.countDistinct("o_custkey").alias("n_patients"), F.round(F.avg("los"), 3).alias("mean_los"), *_lengths()
+        F.count(F.lit(1)).alias("n_stays"), F.countDistinct("o_custkey").alias("n_patients"), rounded(F.avg("los"), 3).alias("mean_los"), *_lengths()
     )
 
 

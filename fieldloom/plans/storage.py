@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import evidence as E
 from ..functions import units as U
 from ..functions import vocabulary as V
+from ..functions.portable import rounded
 from ..sources import readers, scratch, writers
 from . import rules as P
 from .base import Registry, table
@@ -45,7 +46,7 @@ def csv_to_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     canonical(readers.csv_strings(spark, path), out)
     return spark.read.parquet(out).groupBy("src_table").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("field_key").alias("n_fields"), F.count("value_num").alias("n_numeric"),
-        F.round(F.sum("value_num"), 2).alias("total"), F.min("t_offset").alias("first"), F.max("t_offset").alias("last"),
+        rounded(F.sum("value_num"), 2).alias("total"), F.min("t_offset").alias("first"), F.max("t_offset").alias("last"),
     )
 
 
@@ -71,7 +72,7 @@ def typed_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.scratch_path(spark, "lines.csv")
     writers.write(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linenumber", "l_quantity"), path)
     rows = readers.csv_typed(spark, path, "l_returnflag string, l_linenumber long, l_quantity double")
-    return rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_linenumber").alias("lines"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+    return rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_linenumber").alias("lines"), rounded(F.sum("l_quantity"), 2).alias("quantity"))
 
 
 @query("""SELECT column_name, column_type, ordinal, (SELECT count(*) FROM customer) AS n

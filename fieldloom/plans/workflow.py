@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.portable import rounded
 from ..operators import metrics as K
 from ..operators import relational as R
 from ..operators import workflow as L
@@ -104,7 +105,7 @@ FROM (SELECT lang, {A_SQL} AS a, {B_SQL} AS b FROM labels JOIN documents USING (
 def stratum_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = F.col("a") == F.col("b")
     return answers(spark, sf_dir).rollup("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(same).alias("agreed")).select(
-        F.coalesce("lang", F.lit("ALL")).alias("stratum"), "n", "agreed", F.round(100 * F.col("agreed") / F.col("n"), 4).alias("percent")
+        F.coalesce("lang", F.lit("ALL")).alias("stratum"), "n", "agreed", rounded(100 * F.col("agreed") / F.col("n"), 4).alias("percent")
     )
 
 
@@ -126,7 +127,7 @@ def wilson_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     pop = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("pop"))
     rate = L.weighted_rate(drawn.join(pop, "lang"), "errors", "drawn", "pop")
     low, high = K.wilson(F.col("rate"), F.col("n").cast("double"))
-    return rate.select("n", F.round(100 * F.col("rate"), 4).alias("rate"), low.alias("low"), high.alias("high"))
+    return rate.select("n", rounded(100 * F.col("rate"), 4).alias("rate"), low.alias("low"), high.alias("high"))
 
 
 @query("""
@@ -169,7 +170,7 @@ def constants_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [
         docs.agg(F.count(F.lit(1)).cast("double").alias("value")).withColumn("name", F.lit("documents")),
         labels.agg(F.count(F.lit(1)).cast("double").alias("value")).withColumn("name", F.lit("labelled")),
-        labels.agg(F.round(100 * F.avg("toxic"), 4).alias("value")).withColumn("name", F.lit("toxic percent")),
+        labels.agg(rounded(100 * F.avg("toxic"), 4).alias("value")).withColumn("name", F.lit("toxic percent")),
         docs.agg(F.countDistinct("source").cast("double").alias("value")).withColumn("name", F.lit("sources")),
     ]
     out = rows[0]
@@ -184,7 +185,7 @@ FROM labels JOIN documents USING (doc_id)) t GROUP BY t.e""")
 def contamination_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = F.col("source").startswith("src1") | F.col("source").startswith("src2")
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
-    return rows.groupBy(F.when(seen, "seen").otherwise("new").alias("evidence")).agg(F.count(F.lit(1)).alias("n"), F.round(100 * F.avg("quality"), 4).alias("recall_1"))
+    return rows.groupBy(F.when(seen, "seen").otherwise("new").alias("evidence")).agg(F.count(F.lit(1)).alias("n"), rounded(100 * F.avg("quality"), 4).alias("recall_1"))
 
 
 @query("""

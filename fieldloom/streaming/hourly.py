@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.portable import rounded
+
 
 def hourly_means(events: DataFrame, ts: str = "ts", late: str = "2 hours") -> DataFrame:
     """(hour, field_key, n, v_mean) in tumbling hours; rows later than ``late`` are left out.
@@ -16,4 +18,4 @@ def hourly_means(events: DataFrame, ts: str = "ts", late: str = "2 hours") -> Da
         stamped = stamped.withWatermark("_t", late)
     hours = stamped.groupBy(F.window("_t", "1 hour").alias("_w"), "field_key")
     out = hours.agg(F.count("value_num").alias("n"), F.avg("value_num").alias("v_mean"))
-    return out.select(F.col("_w.start").alias("hour"), "field_key", "n", F.round("v_mean", 6).alias("v_mean"))
+    return out.select(F.col("_w.start").alias("hour"), "field_key", "n", rounded("v_mean", 6).alias("v_mean"))
