@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import normalize_name
+from ..functions.portable import rounded
+
+#: What norms are raised by, so that none is zero.
+EPS = 1e-9
 
 
 def dot(x: Column, y: Column) -> Column:
@@ -16,7 +20,7 @@ def norm(x: Column) -> Column:
     return F.sqrt(dot(x, x))
 
 
-def normalized(x: Column, eps: float = 1e-9) -> Column:
+def normalized(x: Column, eps: float = EPS) -> Column:
     return F.transform(x, lambda v: v / (norm(x) + eps))
 
 
@@ -27,17 +31,19 @@ def cosine_topk(fields: DataFrame, concepts: DataFrame, k: int = 10, most_concep
     catalogue: it is broadcast if it has at most ``most_concepts`` rows, else both
     sides are dealt into blocks and partial top lists are merged.
     """
-    unit_f = fields.select("field_key", normalized(F.col("vector")).alias("_f"))
-    unit_c = concepts.select("concept", normalized(F.col("vector")).alias("_c"))
+    # Vectors are divided by their own norms, once: of a unit vector EPS is another part.
+    unit_f = fields.select("field_key", F.col("vector").alias("_f"), (norm(F.col("vector")) + EPS).alias("_nf"))
+    unit_c = concepts.select("concept", F.col("vector").alias("_c"), (norm(F.col("vector")) + EPS).alias("_nc"))
+    score = rounded(dot(F.col("_f"), F.col("_c")) / F.col("_nf") / F.col("_nc"), 6).alias("score")
     if concepts.limit(most_concepts + 1).count() <= most_concepts:
         pairs = unit_f.crossJoin(F.broadcast(unit_c))
     else:
         deal = 64
         spread = unit_f.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(deal - 1))))
         pairs = spread.join(unit_c.withColumn("_b", F.pmod(F.xxhash64("concept"), F.lit(deal)).cast("int")), "_b")
-        pairs = _top(pairs.select("field_key", "_b", "concept", F.round(dot(F.col("_f"), F.col("_c")), 6).alias("score")), ["field_key", "_b"], k)
+        pairs = _top(pairs.select("field_key", "_b", "concept", score), ["field_key", "_b"], k)
         return _top(pairs.drop("rank", "_b"), ["field_key"], k)
-    return _top(pairs.select("field_key", "concept", F.round(dot(F.col("_f"), F.col("_c")), 6).alias("score")), ["field_key"], k)
+    return _top(pairs.select("field_key", "concept", score), ["field_key"], k)
 
 
 def _top(scores: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -60,7 +66,7 @@ def by_codes(fields: DataFrame, codes: DataFrame, votes: DataFrame) -> DataFrame
 
 
 def prototypes(vectors: DataFrame, cards: DataFrame | None = None, least: int = 3) -> DataFrame:
-    """(concept, vector, n_fields, source): unit-length class means.
+    """(concept, vector, mean, n_fields, source): class means, in unit length and as they are.
 
     Of fewer than ``least`` fields the concept's card vector is taken (source 1), or,
     where there is none, the mean all the same (source 2).
@@ -81,7 +87,7 @@ def prototypes(vectors: DataFrame, cards: DataFrame | None = None, least: int =
                 "source": F.when(few, F.when(F.col("_card").isNotNull(), 1).otherwise(2)).otherwise(0).cast("long"),
             }
         )
-    return out.select("concept", normalized(F.col("_v")).alias("vector"), F.coalesce("n_fields", F.lit(0)).alias("n_fields"), "source")
+    return out.select("concept", normalized(F.col("_v")).alias("vector"), F.col("_v").alias("mean"), F.coalesce("n_fields", F.lit(0)).alias("n_fields"), "source")
 
 
 def slice_cosine(x: Column, y: Column) -> Column:
@@ -95,7 +101,7 @@ def rescore(ranking: DataFrame, gates: DataFrame, gamma: float = 0.3, weights: t
     soft = F.col("score") + gamma * F.coalesce("stat", F.lit(0.5)) - weights[0] * g["v_unit"] - weights[1] * g["v_type"] - weights[2] * g["v_prov"]
     kept = ranking.join(gates, ["field_key", "concept"]).filter(~g["hard_reject"])
     place = F.row_number().over(Window.partitionBy("field_key").orderBy(F.desc("score"), F.asc("_before"), "concept")).cast("long")
-    return kept.select("field_key", "concept", F.round(soft, 6).alias("score"), F.col("rank").alias("_before")).withColumn("rank", place).drop("_before")
+    return kept.select("field_key", "concept", rounded(soft, 6).alias("score"), F.col("rank").alias("_before")).withColumn("rank", place).drop("_before")
 
 
 def gate_ranking(ranking: DataFrame, weights: tuple = (1.0, 1.0, 1.0)) -> DataFrame:
@@ -105,7 +111,7 @@ def gate_ranking(ranking: DataFrame, weights: tuple = (1.0, 1.0, 1.0)) -> DataFr
     """
     g = F.col("gate")
     soft = F.col("score") - weights[0] * g["v_unit"] - weights[1] * g["v_type"] - weights[2] * g["v_prov"]
-    kept = ranking.filter(g.isNull() | ~g["hard_reject"]).withColumn("_soft", F.round(F.coalesce(soft, F.col("score")), 6))
+    kept = ranking.filter(g.isNull() | ~g["hard_reject"]).withColumn("_soft", rounded(F.coalesce(soft, F.col("score")), 6))
     place = F.row_number().over(Window.partitionBy("field_key").orderBy(F.desc("_soft"), "rank")).cast("long")
     return kept.select("field_key", "concept", F.col("_soft").alias("score"), place.alias("rank"))
 

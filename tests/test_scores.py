@@ -1,8 +1,10 @@
 """Scores to the last of their six decimals: how they are rounded, and what norms they are divided by."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 from fieldloom.functions.portable import rounded
+from fieldloom.operators import matching as M
 from fieldloom.plans import registry
 
 SF = "/root/testdata/sf0.01"
@@ -29,3 +31,18 @@ def test_halves_are_told_by_the_scaled_double(spark):
 def test_abstention_scores_to_the_last_decimal(spark):
     got, expected = exactly(spark, "abstention_scores")
     assert got == expected
+
+
+def test_cosines_divide_by_the_norm_of_the_mean_itself(spark):
+    # 1e-9 beside a norm of 1e-3 is a millionth of it; of the mean brought to unit length first it is nothing.
+    rows = spark.createDataFrame([("a", [1e-3, 0.0])] * 3, "concept string, vector array<double>")
+    means = M.prototypes(rows).select("concept", F.col("mean").alias("vector"))
+    field = spark.createDataFrame([(1, [1.0, 0.0])], "field_key int, vector array<double>")
+    assert [r["score"] for r in M.cosine_topk(field, means, 1).collect()] == [0.999999]
+
+
+def test_ranked_cosines_use_the_mean_itself(spark):
+    from fieldloom.plans.matching import representatives
+
+    norms = [r[0] for r in representatives(spark, "/root/testdata/sf0.001").select(M.norm(F.col("vector"))).collect()]
+    assert len(norms) == 8 and max(norms) < 0.99
