@@ -46,3 +46,8 @@ def test_ranked_cosines_use_the_mean_itself(spark):
 
     norms = [r[0] for r in representatives(spark, "/root/testdata/sf0.001").select(M.norm(F.col("vector"))).collect()]
     assert len(norms) == 8 and max(norms) < 0.99
+
+
+def test_facet_scores_to_the_last_decimal(spark):
+    got, expected = exactly(spark, "facet_retrieval")
+    assert got == expected
