@@ -31,12 +31,20 @@ from .common import raw_texts
 PAIR_WEIGHT = 0.7
 #: Bytes of text of a group, and of the text whose words a bucket counts.
 GROUP_BYTES = 12 << 20
+#: Tokens that are looked up at once.
+STEP = 1 << 18
 #: The hash of the start of a text.
 START = 0x5EED0F7E47
 ASKED = "_group bigint, _bucket bigint, words binary, pairs binary, counts binary"
 ANSWERED = "_group bigint, _bucket bigint, words binary, pairs binary, totals binary"
 
 
+def _distinct(ordered: np.ndarray) -> np.ndarray:
+    new = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return ordered[new]
+
+
 class Vocabulary(dict):
     """Word → its number in a group; number 0 is the start of a text."""
 
@@ -57,49 +65,68 @@ def pair_hashes(before: np.ndarray, after: np.ndarray) -> np.ndarray:
         return mixed ^ (mixed >> np.uint64(32))
 
 
-def packed(numbers: np.ndarray) -> bytes:
-    """Whole numbers by planes of bytes, of which most are zeros and cost nothing."""
-    return np.ascontiguousarray(numbers.astype("<i8").reshape(-1).view(np.uint8).reshape(-1, 8).T).tobytes()
+def packed(numbers: np.ndarray, width: int = 8) -> bytes:
+    """Whole numbers by ``width`` planes of bytes, of which most are zeros and cost nothing."""
+    return np.ascontiguousarray(numbers.astype(f"<i{width}").reshape(-1).view(np.uint8).reshape(-1, width).T).tobytes()
+
 
+def unpacked(raw: bytes, width: int = 8) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(f"<i{width}").reshape(-1)
 
-def unpacked(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
+
+def _released(table: pa.Table) -> pa.Table:
+    """``table``, when what Arrow holds in reserve has gone back: workers live on, beside others."""
+    pa.default_memory_pool().release_unused()
+    return table
 
 
 class Group:
-    """Words and bigrams of some texts: each token's, and the distinct ones in buckets."""
+    """Words and bigrams of some texts: each token's, and the distinct ones in buckets.
+
+    Numbers inside a group, which has some MB of text, are of 32 bits.
+    """
 
     def __init__(self, texts: Iterator[bytes], buckets: int) -> None:
         vocabulary, own = Vocabulary(), []
         for text in texts:
             # Words are lower-cased in ASCII.
             found = text.lower().split()
-            own.append(np.fromiter(map(vocabulary.__getitem__, found), np.int64, len(found)))
+            own.append(np.fromiter(map(vocabulary.__getitem__, found), np.int32, len(found)))
         self.sizes = np.array([len(x) for x in own], np.int64)
-        self.words = np.concatenate(own) if own else np.zeros(0, np.int64)
+        self.words = np.concatenate(own) if own else np.zeros(0, np.int32)
         del own
         self.ends = np.cumsum(self.sizes)
-        self.before = np.r_[0, self.words[:-1]] if len(self.words) else self.words.copy()
-        self.before[(self.ends - self.sizes)[self.sizes > 0]] = 0
         hashes = np.array(vocabulary.hashes, np.uint64)
         del vocabulary
-        distinct, self.pairs = np.unique(self.before * len(hashes) + self.words, return_inverse=True)
+        keys = np.zeros(len(self.words), np.int64)
+        keys[1:] = self.words[:-1]
+        keys[(self.ends - self.sizes)[self.sizes > 0]] = 0
+        keys *= len(hashes)
+        keys += self.words
+        distinct = _distinct(np.sort(keys))
+        self.pairs = np.empty(len(keys), np.int32)
+        for at in range(0, len(keys), STEP):
+            self.pairs[at : at + STEP] = np.searchsorted(distinct, keys[at : at + STEP])
+        del keys
+        #: The words of each distinct bigram.
+        self.first, self.second = ((f(distinct, len(hashes))).astype(np.int32) for f in (np.floor_divide, np.remainder))
+        del distinct
         self.word_blocks = self._blocks(hashes, buckets)
-        self.pair_blocks = self._blocks(pair_hashes(hashes[distinct // len(hashes)], hashes[distinct % len(hashes)]), buckets)
+        self.pair_blocks = self._blocks(pair_hashes(hashes[self.first], hashes[self.second]), buckets)
 
     @staticmethod
     def _blocks(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes by bucket, their order, and where each bucket begins and ends in it."""
-        bucket = ((hashes >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((hashes, bucket))
+        bucket = ((hashes >> np.uint64(24)) % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((hashes, bucket)).astype(np.int32)
         return hashes[order], order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
     def counts(self, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(target, background) of each word and of each bigram; ``flags`` are the texts'."""
         hit = np.repeat(flags, self.sizes)
         begun = self.sizes > 0
-        words, pairs = (np.zeros((2, len(b[1])), np.int64) for b in (self.word_blocks, self.pair_blocks))
-        for k, (tokens, texts) in enumerate(((hit, begun & flags), (np.ones_like(hit), begun))):
+        words, pairs = (np.zeros((2, len(b[1])), np.int32) for b in (self.word_blocks, self.pair_blocks))
+        for k, (tokens, texts) in enumerate(((hit, begun & flags), (slice(None), begun))):
             words[k] = np.bincount(self.words[tokens], minlength=words.shape[1])
             words[k, 0] = texts.sum()
             pairs[k] = np.bincount(self.pairs[tokens], minlength=pairs.shape[1])
@@ -118,12 +145,13 @@ def asked(table: pa.Table, text: str, flags: np.ndarray, counted: bool, buckets:
         words, pairs = words * 0, pairs * 0
     (wh, wo, wa), (ph, po, pa_) = own.word_blocks, own.pair_blocks
     words, pairs = words[:, wo], pairs[:, po]
+    del own, wo, po
     made = []
     for b in range(buckets):
         w, p = slice(wa[b], wa[b + 1]), slice(pa_[b], pa_[b + 1])
         counts = np.concatenate([words[0, w], words[1, w], pairs[0, p], pairs[1, p]])
-        made.append((number, b, wh[w].tobytes(), ph[p].tobytes(), packed(counts)))
-    return _rows(made, ASKED)
+        made.append((number, b, wh[w].tobytes(), ph[p].tobytes(), packed(counts, 4)))
+    return _released(_rows(made, ASKED))
 
 
 def _rows(made: list[tuple], schema: str) -> pa.Table:
@@ -139,24 +167,35 @@ def answered(table: pa.Table) -> pa.Table:
     """
     groups = table.column("_group").to_pylist()
     sums, totals = {}, []
-    counts = [unpacked(x) for x in table.column("counts").to_pylist()]
-    asked = {k: [np.frombuffer(x, np.uint64) for x in table.column(k).to_pylist()] for k in ("words", "pairs")}
-    sizes = [len(x) for x in asked["words"]]
-    for k, blocks in asked.items():
-        distinct, at = np.unique(np.concatenate(blocks), return_inverse=True)
+    counts = [unpacked(x.as_py(), 4) for x in table.column("counts")]
+    sizes = [len(x.as_py()) // 8 for x in table.column("words")]
+    for k in ("words", "pairs"):
+        blocks = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column(k)]
+        ends = np.cumsum([len(x) for x in blocks])
+        hashes = np.concatenate(blocks)
+        del blocks
+        distinct = _distinct(np.sort(hashes))
+        at = np.empty(len(hashes), np.int32)
+        for start in range(0, len(hashes), STEP):
+            at[start : start + STEP] = np.searchsorted(distinct, hashes[start : start + STEP])
+        used = len(distinct)
+        del hashes, distinct
         parts = [c[: 2 * n] if k == "words" else c[2 * n :] for c, n in zip(counts, sizes)]
-        total = np.zeros((2, len(distinct)), np.int64)
+        total = np.zeros((2, used), np.int64)
         for i in range(2):
             every = np.concatenate([p.reshape(2, -1)[i] for p in parts])
             # Sums of whole numbers below 2⁵³: exact as doubles.
-            total[i] = np.bincount(at, every, len(distinct)).astype(np.int64)
+            total[i] = np.bincount(at, every, used).astype(np.int64)
+        del parts, every
         if k == "words":
             totals = [*total.sum(1), (total[1] > 0).sum()]
-        sums[k] = np.split(total[:, at], np.cumsum([len(x) for x in blocks])[:-1], axis=1)
+        # A group's answers are packed by themselves: bytes, most of them zeros, in the order it asked.
+        sums[k] = [packed(total[:, own]) if g >= 0 else b"" for g, own in zip(groups, np.split(at, ends[:-1]))]
+    del counts
     bucket = table.column("_bucket")[0].as_py()
     whole = packed(np.array(totals, np.int64))
-    made = [(g, bucket, packed(w), packed(p), whole) for g, w, p in zip(groups, sums["words"], sums["pairs"]) if g >= 0]
-    return _rows(made, ANSWERED)
+    made = [(g, bucket, w, p, whole) for g, w, p in zip(groups, sums["words"], sums["pairs"]) if g >= 0]
+    return _released(_rows(made, ANSWERED))
 
 
 def losses(own: Group, answers: pa.Table) -> np.ndarray:
@@ -166,12 +205,14 @@ def losses(own: Group, answers: pa.Table) -> np.ndarray:
     smooth alike: add one over the words that the corpus uses. A bigram's share is its
     count over that of its first word.
     """
-    rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("_bucket", "words", "pairs", "totals"))))
-    whole = sum(unpacked(r[3]) for r in rows)
+    buckets = answers.column("_bucket").to_pylist()
+    places = sorted(range(len(buckets)), key=buckets.__getitem__)
+    whole = sum(unpacked(x.as_py()) for x in answers.column("totals"))
     found = []
-    for k, (_, order, _) in ((1, own.word_blocks), (2, own.pair_blocks)):
-        counts = np.empty((2, len(order)))
-        counts[:, order] = np.concatenate([unpacked(r[k]).reshape(2, -1) for r in rows], axis=1)
+    for k, (_, order, ends) in (("words", own.word_blocks), ("pairs", own.pair_blocks)):
+        counts, column = np.empty((2, len(order))), answers.column(k)
+        for b, i in enumerate(places):
+            counts[:, order[ends[b] : ends[b + 1]]] = unpacked(column[i].as_py()).reshape(2, -1)
         found.append(counts)
     (words, pairs), tokens, used = found, whole[:2].astype(float), max(int(whole[2]), 1)
     if tokens[0] and tokens[1]:
@@ -182,9 +223,12 @@ def losses(own: Group, answers: pa.Table) -> np.ndarray:
     alone = (words + 1) / (tokens[:, None] + used)
     out = np.empty((2, len(own.words)))
     for k in range(2):
-        of = words[k][own.before]
-        share = np.divide(pairs[k][own.pairs], of, out=np.zeros_like(of), where=of > 0)
-        out[k] = -np.log(PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * alone[k][own.words])
+        # A loss is its bigram's: each distinct one is computed once.
+        of = words[k][own.first]
+        share = np.divide(pairs[k], of, out=np.zeros_like(of), where=of > 0)
+        share *= PAIR_WEIGHT
+        share += (1 - PAIR_WEIGHT) * alone[k][own.second]
+        np.take(-np.log(share), own.pairs, out=out[k])
     return out
 
 
@@ -271,7 +315,7 @@ def _scored(rows: DataFrame, asking: DataFrame, rest: list[str], text: str, grou
             lost, some = losses(own, answers), own.sizes > 0
             out[:, some] = np.add.reduceat(lost, (own.ends - own.sizes)[some], axis=1) / own.sizes[some]
         columns = [*(table.column(c) for c in rest), pa.array(own.sizes), pa.array(out[0]), pa.array(out[1]), pa.array(out[0] - out[1])]
-        return pa.table(columns, [*rest, *ADDED])
+        return _released(pa.table(columns, [*rest, *ADDED]))
 
     answers = asking.groupBy("_bucket").applyInArrow(answered, ANSWERED)
     fields = [T.StructField("n_tokens", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in ADDED[1:]]
