@@ -19,3 +19,11 @@ def test_keys_of_many_rows_have_the_same_profiles(spark, monkeypatch):
     for piece in (300, 3):
         monkeypatch.setattr(O, "PIECE", piece)
         assert told(spark) == whole
+
+
+def test_rows_are_not_sent_once_a_job(spark):
+    rows = states._rows(spark, "/root/testdata/sf0.001")
+    found = J.profiles(rows, states.JOBS[:1])
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange ") == 1 and "collect_list" not in plan
