@@ -6,6 +6,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -318,6 +319,32 @@ def test_facets_against_all_pairs(spark):
         FA.facet_topk(fields, spark.createDataFrame([(1, [[1.0, 2.0]])], concepts.schema), 2).collect()
 
 
+def test_many_concepts_meet_fields_without_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    f, c = cube(rng, 30), np.repeat(cube(rng, 9), 20, axis=0)
+    fields = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(f)], "field_key long, slices array<array<double>>")
+    concepts = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(c)], "concept long, slices array<array<double>>")
+    order = ["field_key", "rank"]
+    want = FA.facet_topk(fields, concepts, 6).orderBy(order).collect()
+    monkeypatch.setattr(type(fields), "toArrow", None)  # no block is collected
+    for chunk in (2000, 100):
+        found = FA.facet_topk(fields, concepts, 6, chunk)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("FlatMapCoGroupsInArrow") == 1 and "MapInArrow" not in plan and "Union" not in plan
+        assert found.orderBy(order).collect() == want
+
+
+def test_concepts_that_are_alike_are_sent_k_times_at_most():
+    rng = np.random.default_rng(6)
+    keys, c = pa.array(range(3)), np.repeat(cube(rng, 2), 50, axis=0)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    [got] = FA._best(keys, unit(cube(rng, 3)), np.arange(100), unit(c), 4)
+    assert got.num_rows == 12
+    for i in range(3):
+        names = [r["concept"] for r in got.to_pylist() if r["field_key"] == i]
+        assert names in ([0, 1, 2, 3], [50, 51, 52, 53])
+
+
 def test_diversity(spark):
     k, d = 6, 32
     eye, same = np.eye(k, d), np.repeat(np.random.default_rng(0).normal(size=(1, d)), k, axis=0)
