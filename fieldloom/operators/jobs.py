@@ -58,9 +58,10 @@ def _made(job: Job, cell: Column) -> Column:
     return cell if job.where is None else F.when(F.col(f"_takes_{job.name}"), cell)
 
 
-def _parted(rows: DataFrame, column: str, label: str) -> tuple[DataFrame, DataFrame | None]:
-    """Rows whose value of a column has at most PIECE rows, and the others, if there are any."""
-    many = rows.groupBy(column).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > O.PIECE).select(column)
+def parted(rows: DataFrame, column: str, label: str, cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose value of a column has at most PIECE rows, and the others, if there are any; ``cells`` of the rows, of ``n`` each, tell their number."""
+    n = F.count(F.lit(1)) if cells is None else F.sum("n")
+    many = (rows if cells is None else cells).groupBy(column).agg(n.alias("_n")).filter(F.col("_n") > O.PIECE).select(column)
     many = scratch.stored(many, label)
     if many.isEmpty():
         return rows, None
@@ -69,7 +70,7 @@ def _parted(rows: DataFrame, column: str, label: str) -> tuple[DataFrame, DataFr
     return rows.join(few, same, "left_anti"), rows.join(few, same, "left_semi")
 
 
-def _dealt(rows: DataFrame, column: str, jobs: list[Job], parts: int) -> DataFrame:
+def dealt_profiles(rows: DataFrame, column: str, jobs: list[Job], parts: int) -> DataFrame:
     """Profiles of keys that are whole in the part of their value of ``column``."""
     others = list(dict.fromkeys(k for j in jobs for k in j.keys if k != column))
     kinds = dict(rows.dtypes)
@@ -117,7 +118,7 @@ def _entities(rows: DataFrame, jobs: list[Job], parts: int) -> DataFrame:
     for entity in dict.fromkeys(j.entity for j in jobs):
         mine = [j for j in jobs if j.entity == entity]
         told = _taken_of(rows, mine).filter(F.col(entity).isNotNull())
-        few, many = _parted(told, entity, "entities")
+        few, many = parted(told, entity, "entities")
         one = distinct(few.repartition(parts, entity), mine).groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n_entities"))
         found = one if found is None else found.unionByName(one)
         if many is not None:
@@ -156,8 +157,8 @@ def profiles(rows: DataFrame, jobs: list[Job]) -> DataFrame:
         sets.setdefault(max(job.keys, key=lambda k: told[k]), []).append(job)
     out = None
     for column, some in sets.items():
-        few, many = _parted(_taken(rows, some), column, "frequent")
-        found = _dealt(few, column, some, parts)
+        few, many = parted(_taken(rows, some), column, "frequent")
+        found = dealt_profiles(few, column, some, parts)
         if many is not None:
             found = found.unionByName(_counted(many, some, parts))
         out = found if out is None else out.unionByName(found)

@@ -140,6 +140,27 @@ def test_catalogue_reads_its_rows_once(spark, tmp_path):
     assert "percentile" not in plan and "Expand" not in plan and "t_offset" not in plan
 
 
+def test_catalogue_of_few_and_of_many_rows(spark, monkeypatch):
+    rows = observations(spark, 7, 400).union(observations(spark, 8, 60).withColumn("field_key", F.lit(None).cast("string")))
+    rows = rows.unionByName(observations(spark, 9, 9).withColumns({"field_key": F.lit("rare"), "value_num": F.lit(None).cast("double"), "value_uom": F.lit(None).cast("string")}))
+    rows = rows.unionByName(observations(spark, 9, 9).withColumn("src_table", F.lit("other")))
+    found = C.field_catalog(rows)
+    order = sorted(found.columns)
+    want = sorted(map(tuple, C.catalog_of(C.field_cells(rows)).select(*order).collect()), key=repr)
+    for piece in (1_000_000, 70, 1):
+        monkeypatch.setattr(O, "PIECE", piece)
+        assert sorted(map(tuple, C.field_catalog(rows).select(*order).collect()), key=repr) == want
+    assert len(want) == 10
+
+
+def test_catalogue_sends_the_rows_of_a_field_once(spark):
+    """Fields of few rows are no cells of stays, values and units, and are not sorted again in pieces."""
+    found = C.field_catalog(observations(spark, 1, 50))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "_piece" not in plan and "kind#" not in plan
+
+
 def test_sketches_merge(spark):
     rows = spark.range(40_000).select((F.col("id") % 3).cast("string").alias("k"), F.pmod(F.xxhash64("id"), F.lit(9000)).alias("e"), F.col("id").cast("double").alias("v"), (F.col("id") % 5).alias("part"))
     rows = rows.withColumn("v", F.when(F.col("k") != "2", F.col("v")))
